@@ -1,0 +1 @@
+"""Empty on purpose: the workload is all batch, so there is no stream operator to offer."""
