@@ -2,8 +2,16 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import (
+    DateType,
+    DoubleType,
+    FloatType,
+    StructType,
+    TimestampNTZType,
+    TimestampType,
+)
 
 
 def capitalised(value: Column) -> Column:
@@ -64,6 +72,24 @@ def verdict(review: Column) -> Column:
     return F.coalesce(F.nullif(found, F.lit("")), F.lit("REVISE"))
 
 
-def mentions(text: Column, name: str) -> Column:
-    """Whether a text names a table, as a whole word and in any case."""
-    return text.rlike(rf"(?i)\b{name}\b")
+def table_references(log: DataFrame, text: str, tables: list[str]) -> DataFrame:
+    """One row per logged text and table it names, as a whole word and in any case."""
+    named = F.array_compact(
+        F.array(*[F.when(F.col(text).rlike(rf"(?i)\b{name}\b"), F.lit(name)) for name in tables])
+    )
+    return log.withColumn("table_name", F.explode(named))
+
+
+def json_document(schema: StructType) -> Column:
+    """A row as JSON text: moments in ISO form, NaN and missing values as null."""
+    fields = []
+    for field in schema.fields:
+        value = F.col(field.name)
+        if isinstance(field.dataType, DoubleType | FloatType):
+            value = F.when(~F.isnan(value), value)
+        elif isinstance(field.dataType, DateType):
+            value = F.date_format(value, "yyyy-MM-dd")
+        elif isinstance(field.dataType, TimestampType | TimestampNTZType):
+            value = F.date_format(value, "yyyy-MM-dd'T'HH:mm:ss")
+        fields.append(value.alias(field.name))
+    return F.to_json(F.struct(*fields), {"ignoreNullFields": "false"})

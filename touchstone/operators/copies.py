@@ -49,3 +49,14 @@ def first_per_key(df: DataFrame, key: str, *order: Column) -> DataFrame:
     """
     ranked = df.withColumn("_rank", F.row_number().over(Window.partitionBy(key).orderBy(*order)))
     return ranked.filter(F.col("_rank") == 1).drop("_rank")
+
+
+def with_group_size(df: DataFrame, columns: list[str], name: str) -> DataFrame:
+    """The rows that share their values with another row, with the size of their group.
+
+    Groups are counted, and only those with several rows are joined back; a window would sort
+    every group within one task. Missing values count as equal.
+    """
+    groups = df.groupBy(*[F.col(c).alias(f"_{c}") for c in columns]).agg(F.count(F.lit(1)).alias(name))
+    same = [F.col(c).eqNullSafe(F.col(f"_{c}")) for c in columns]
+    return df.join(groups.filter(F.col(name) > 1), same).drop(*[f"_{c}" for c in columns])

@@ -1,47 +1,6 @@
-"""The registered queries: one function of (spark, folder) per operator."""
+"""All registered queries; importing a module below registers what it defines."""
 
-from __future__ import annotations
+from touchstone.plans import query_models, query_quality  # noqa: F401
+from touchstone.plans.registry import ORACLES, QUERIES
 
-from collections.abc import Callable
-
-from pyspark.sql import DataFrame, SparkSession
-
-from touchstone.plans.lakehouse import Lakehouse
-from touchstone.plans import medallion
-from touchstone.plans.oracles import CTES, statement
-
-Query = Callable[[SparkSession, str], DataFrame]
-
-QUERIES: dict[str, Query] = {}
-ORACLES: dict[str, str] = {}
-
-
-def register(name: str, oracle: str | None = None) -> Callable[[Callable[[Lakehouse], DataFrame]], Query]:
-    """Register a query over the lakehouse tables, with the SQL it must agree with."""
-
-    def add(plan: Callable[[Lakehouse], DataFrame]) -> Query:
-        def run(spark: SparkSession, folder: str) -> DataFrame:
-            return plan(Lakehouse.over_test_tables(spark, folder))
-
-        QUERIES[name] = run
-        if oracle is not None:
-            ORACLES[name] = statement(oracle)
-        return run
-
-    return add
-
-
-def _register_models() -> None:
-    for name in ["silver_customers", "silver_accounts", "silver_transactions", "gold_customer_360",
-                 "gold_monthly_channel_volume"]:
-        register(name, f"SELECT * FROM {name}")(lambda lake, n=name: lake[n])
-    # The rejection time is the run's own moment, not a result.
-    for name in ["silver_customers_rejected", "silver_accounts_rejected"]:
-        register(name, f"SELECT * FROM {name}")(lambda lake, n=name: lake[n].drop("rejected_at"))
-
-
-_register_models()
-register("scan_bronze_customers", "SELECT * FROM bronze_customers")(lambda lake: lake["bronze_customers"])
-register("evolve_customers", "SELECT * FROM evolved_customers")(
-    lambda lake: medallion.evolve_customers(lake["silver_customers"])
-)
+__all__ = ["ORACLES", "QUERIES"]

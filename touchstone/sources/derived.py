@@ -115,10 +115,16 @@ def source_table(spark: SparkSession, folder: str, name: str) -> DataFrame:
     return spark.read.schema(schema).parquet(f"{folder}/{table}.parquet")
 
 
+def select_items(expressions: dict[str, str]) -> list[str]:
+    return [f"{expression} AS {column}" for column, expression in expressions.items()]
+
+
+def select_list(expressions: dict[str, str]) -> str:
+    return ", ".join(select_items(expressions))
+
+
 def derive(spark: SparkSession, folder: str, name: str) -> DataFrame:
-    rows = source_table(spark, folder, name).selectExpr(
-        *[f"{expression} AS {column}" for column, expression in EXPRESSIONS[name].items()]
-    )
+    rows = source_table(spark, folder, name).selectExpr(*select_items(EXPRESSIONS[name]))
     repeats = REPEATS[name]
     if not repeats:
         return rows
@@ -131,7 +137,6 @@ def derive(spark: SparkSession, folder: str, name: str) -> DataFrame:
 
 def derive_sql(name: str) -> str:
     """The same table as SQL text, for the oracle."""
-    columns = ", ".join(f"{expression} AS {column}" for column, expression in EXPRESSIONS[name].items())
-    select = f"SELECT {columns} FROM {SOURCES[name][0]}"
+    select = f"SELECT {select_list(EXPRESSIONS[name])} FROM {SOURCES[name][0]}"
     parts = [select] + [f"SELECT * FROM ({select}) AS rows WHERE {condition}" for condition in REPEATS[name]]
     return " UNION ALL ".join(parts)
