@@ -1,6 +1,6 @@
 """All registered queries; importing a module below registers what it defines."""
 
-from touchstone.plans import query_models, query_quality  # noqa: F401
+from touchstone.plans import query_catalog, query_models, query_quality  # noqa: F401
 from touchstone.plans.registry import ORACLES, QUERIES
 
 __all__ = ["ORACLES", "QUERIES"]
