@@ -45,26 +45,6 @@ def masked(value: Column) -> Column:
     return F.when(at > 0, address).when(F.length(value) <= 1, F.lit("*")).otherwise(stars)
 
 
-def plain_number(value: Column) -> Column:
-    """A double as text without an exponent: 12500000.0 rather than 1.25E7.
-
-    Values outside the decimal range keep Spark's own text.
-    """
-    text = value.cast("string")
-    fixed = value.try_cast("decimal(38,16)").cast("string")
-    digits = F.regexp_replace(fixed, "0+$", "")
-    padded = F.when(digits.endswith("."), F.concat(digits, F.lit("0"))).otherwise(digits)
-    return F.when(text.contains("E"), F.coalesce(padded, text)).otherwise(text)
-
-
-def layer_of(table: Column) -> Column:
-    return F.substring_index(table, "_", 1)
-
-
-def subject_of(table: Column) -> Column:
-    return F.substr(table, F.instr(table, "_") + 1)
-
-
 def verdict(review: Column) -> Column:
     """APPROVE or REVISE as the review states it; a review without a verdict asks for changes."""
     # The verdict line and the default.

@@ -3,7 +3,10 @@
 A table is profiled in two reads. One plain aggregate gives counts, ranges and moments of all
 columns. The other turns the table into (column, value) pairs and counts the distinct ones,
 which combines equal values in every task; exact distinct counts of many columns in one
-aggregate would copy every row once per column in full width.
+aggregate would copy every row once per column in full width. The pairs of all tables go
+through one shuffle.
+
+Expressions that repeat per column are SQL text: a schema may have hundreds of columns.
 """
 
 from __future__ import annotations
@@ -11,12 +14,11 @@ from __future__ import annotations
 from collections.abc import Iterable, Mapping, Sequence
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import (
     DataType,
     DateType,
-    DecimalType,
     DoubleType,
     FloatType,
     NumericType,
@@ -24,7 +26,7 @@ from pyspark.sql.types import (
     TimestampType,
 )
 
-from touchstone.functions.text import masked, plain_number
+from touchstone.functions.text import masked
 
 SAMPLES = 5
 
@@ -59,82 +61,74 @@ def is_temporal(data_type: DataType) -> bool:
     return isinstance(data_type, DateType | TimestampType | TimestampNTZType)
 
 
-def as_text(column: Column, data_type: DataType) -> Column:
-    if isinstance(data_type, DoubleType | FloatType):
-        return plain_number(column.cast("double"))
-    return column.cast("string")
-
-
-def columns_of(spark: SparkSession, tables: Mapping[str, DataFrame]) -> list[tuple[str, int, str, str]]:
-    return [
-        (table, ordinal, field.name, type_name(field.dataType))
-        for table, df in tables.items()
-        for ordinal, field in enumerate(df.schema.fields, start=1)
-    ]
+def as_text(column: str, data_type: DataType) -> str:
+    """SQL for a value as text; a double never gets an exponent."""
+    if not isinstance(data_type, DoubleType | FloatType):
+        return f"CAST({column} AS STRING)"
+    plain = f"regexp_replace(CAST(try_cast({column} AS DECIMAL(38,16)) AS STRING), '0+$', '')"
+    text = f"CAST(CAST({column} AS DOUBLE) AS STRING)"
+    return (
+        f"CASE WHEN contains({text}, 'E') THEN coalesce(regexp_replace({plain}, '[.]$', '.0'), {text}) "
+        f"ELSE {text} END"
+    )
 
 
 def _quoted(name: str) -> str:
     return "`" + name.replace("`", "``") + "`"
 
 
-def _statistics(df: DataFrame) -> DataFrame:
+def _inlined(rows: Sequence[str]) -> str:
+    return f"inline(array({', '.join(rows)}))"
+
+
+def _statistics(df: DataFrame, table: str) -> DataFrame:
     """One row per column: counts, range and moments, from one aggregate over the table."""
-    fields = df.schema.fields
-    measures = [F.count(F.lit(1)).alias("_rows")]
+    measures = ["count(*) AS _rows"]
     rows = []
-    no_text, no_number = F.lit(None).cast("string"), F.lit(None).cast("double")
-    for i, field in enumerate(fields):
-        column = F.col(_quoted(field.name))
-        measures.append(F.count(column).alias(f"_filled_{i}"))
-        low = high = no_text
-        low_number = high_number = mean = deviation = no_number
-        if is_numeric(field.dataType) or is_temporal(field.dataType):
-            measures += [F.min(column).alias(f"_min_{i}"), F.max(column).alias(f"_max_{i}")]
-            low = as_text(F.col(f"_min_{i}"), field.dataType)
-            high = as_text(F.col(f"_max_{i}"), field.dataType)
-        if is_numeric(field.dataType):
-            measures += [F.avg(column).alias(f"_mean_{i}"), F.stddev_samp(column).alias(f"_sd_{i}")]
-            low_number, high_number = F.col(f"_min_{i}").cast("double"), F.col(f"_max_{i}").cast("double")
-            mean, deviation = F.col(f"_mean_{i}").cast("double"), F.col(f"_sd_{i}")
+    for i, field in enumerate(df.schema.fields, start=1):
+        column, kind = _quoted(field.name), field.dataType
+        measures.append(f"count({column}) AS _filled_{i}")
+        low = high = "CAST(NULL AS STRING)"
+        low_number = high_number = mean = deviation = "CAST(NULL AS DOUBLE)"
+        if is_numeric(kind) or is_temporal(kind):
+            measures += [f"min({column}) AS _min_{i}", f"max({column}) AS _max_{i}"]
+            low, high = as_text(f"_min_{i}", kind), as_text(f"_max_{i}", kind)
+        if is_numeric(kind):
+            measures += [f"avg({column}) AS _mean_{i}", f"stddev_samp({column}) AS _sd_{i}"]
+            low_number, high_number = f"CAST(_min_{i} AS DOUBLE)", f"CAST(_max_{i} AS DOUBLE)"
+            mean, deviation = f"CAST(_mean_{i} AS DOUBLE)", f"_sd_{i}"
+        name = field.name.replace("'", "\\'")
         rows.append(
-            F.struct(
-                F.lit(i + 1).alias("ordinal"),
-                F.lit(field.name).alias("column_name"),
-                F.lit(type_name(field.dataType)).alias("data_type"),
-                F.lit(_family(field.dataType)).alias("family"),
-                F.col("_rows").alias("row_count"),
-                (F.col("_rows") - F.col(f"_filled_{i}")).alias("null_count"),
-                low.alias("min_text"),
-                high.alias("max_text"),
-                low_number.alias("min_number"),
-                high_number.alias("max_number"),
-                mean.alias("mean"),
-                deviation.alias("stddev"),
-            )
+            f"named_struct('table_name', '{table}', 'ordinal', {i}, 'column_name', '{name}', "
+            f"'data_type', '{type_name(kind)}', 'row_count', _rows, 'null_count', _rows - _filled_{i}, "
+            f"'min_text', {low}, 'max_text', {high}, 'min_number', {low_number}, 'max_number', {high_number}, "
+            f"'mean', {mean}, 'stddev', {deviation})"
         )
-    return df.agg(*measures).select(F.inline(F.array(*rows)))
+    return df.selectExpr(*measures).selectExpr(_inlined(rows))
 
 
-def _family(data_type: DataType) -> str:
+def family(data_type: DataType) -> str:
     if is_numeric(data_type):
         return "numeric"
     return "temporal" if is_temporal(data_type) else "other"
 
 
-def distinct_values(df: DataFrame) -> DataFrame:
-    """Distinct (column, value) pairs of a whole table, values as text with a number to sort by."""
-    cells = []
-    for i, field in enumerate(df.schema.fields):
-        column = F.col(_quoted(field.name))
-        number = column.cast("double") if is_numeric(field.dataType) else F.lit(None).cast("double")
-        cells.append(
-            F.struct(
-                F.lit(i + 1).alias("ordinal"),
-                as_text(column, field.dataType).alias("value"),
-                number.alias("number"),
+def distinct_values(tables: Mapping[str, DataFrame]) -> DataFrame:
+    """Distinct values of every column of the tables, as text with a number to sort by."""
+
+    def cells(table: str, df: DataFrame) -> DataFrame:
+        rows = []
+        for i, field in enumerate(df.schema.fields, start=1):
+            column = _quoted(field.name)
+            number = f"CAST({column} AS DOUBLE)" if is_numeric(field.dataType) else "CAST(NULL AS DOUBLE)"
+            rows.append(
+                f"named_struct('table_name', '{table}', 'ordinal', {i}, "
+                f"'value', {as_text(column, field.dataType)}, 'number', {number})"
             )
-        )
-    return df.select(F.inline(F.array(*cells))).filter(F.col("value").isNotNull()).distinct()
+        return df.selectExpr(_inlined(rows))
+
+    every = reduce(DataFrame.union, [cells(table, df) for table, df in tables.items()])
+    return every.filter("value IS NOT NULL").distinct()
 
 
 def smallest_values(values: DataFrame, size: int = SAMPLES) -> DataFrame:
@@ -142,86 +136,78 @@ def smallest_values(values: DataFrame, size: int = SAMPLES) -> DataFrame:
 
     Spark keeps only `size` rows per column and task before it shuffles them.
     """
-    order = Window.partitionBy("ordinal").orderBy("number", "value")
+    order = Window.partitionBy("table_name", "ordinal").orderBy("number", "value")
     ranked = values.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= size)
-    return ranked.select("ordinal", "rank", "value")
+    return ranked.select("table_name", "ordinal", "rank", "value")
 
 
-def profile(
-    df: DataFrame,
-    table: str,
+def _exact(tables: Mapping[str, DataFrame]) -> DataFrame:
+    values = distinct_values(tables)
+    counts = values.groupBy("table_name", "ordinal").agg(F.count(F.lit(1)).alias("distinct_count"))
+    return counts.unionByName(smallest_values(values), allowMissingColumns=True)
+
+
+def _estimated(table: str, df: DataFrame) -> DataFrame:
+    names = [f"approx_count_distinct({_quoted(c)}) AS _{i}" for i, c in enumerate(df.columns, start=1)]
+    rows = [
+        f"named_struct('table_name', '{table}', 'ordinal', {i}, 'distinct_count', _{i}, "
+        "'rank', CAST(NULL AS INT), 'value', CAST(NULL AS STRING))"
+        for i in range(1, len(names) + 1)
+    ]
+    return df.selectExpr(*names).selectExpr(_inlined(rows))
+
+
+def profiles(
+    tables: Mapping[str, DataFrame],
     *,
-    personal: Iterable[str] = PERSONAL,
+    personal: Sequence[str] = PERSONAL,
     mask: bool = True,
     exact: bool = True,
 ) -> DataFrame:
-    """One row per column of a table. Values of personal columns are masked unless asked not to.
+    """One row per column of the tables. Values of personal columns are masked unless asked not to.
 
-    With `exact=False` the distinct counts are estimates from the one aggregate, and there are
-    no samples; that saves the second read and its shuffle.
+    With `exact=False` the distinct counts are estimates and there are no samples; that saves
+    the shuffle of distinct values.
     """
-    if exact:
-        values = distinct_values(df)
-        counts = values.groupBy("ordinal").agg(F.count(F.lit(1)).alias("distinct_count"))
-        samples = (
-            smallest_values(values)
-            .groupBy("ordinal")
-            .agg(F.array_sort(F.collect_list(F.struct("rank", "value"))).alias("_ranked"))
-            .select("ordinal", F.col("_ranked.value").alias("samples"))
-        )
-    else:
-        estimates = df.agg(
-            *[F.approx_count_distinct(F.col(_quoted(c))).alias(f"_{i + 1}") for i, c in enumerate(df.columns)]
-        )
-        counts = estimates.select(
-            F.inline(
-                F.array(
-                    *[
-                        F.struct(F.lit(i + 1).alias("ordinal"), F.col(f"_{i + 1}").alias("distinct_count"))
-                        for i in range(len(df.columns))
-                    ]
-                )
-            )
-        )
-        samples = counts.select("ordinal", F.array().cast("array<string>").alias("samples"))
-
-    personal_names = list(personal)
-    is_personal = F.col("column_name").isin(personal_names) if personal_names else F.lit(False)
-    hide = is_personal if mask else F.lit(False)
-    rows = F.greatest("row_count", F.lit(1))
-    distinct = F.coalesce("distinct_count", F.lit(0).cast("bigint"))
-    return (
-        _statistics(df)
-        .join(counts, "ordinal", "left")
-        .join(samples, "ordinal", "left")
-        .select(
-            F.lit(table).alias("table_name"),
-            "ordinal",
-            "column_name",
-            "data_type",
-            "family",
-            "row_count",
-            "null_count",
-            (F.lit(100.0) * F.col("null_count") / rows).alias("null_pct"),
-            distinct.alias("distinct_count"),
-            (F.lit(100.0) * distinct / rows).alias("distinct_pct"),
-            F.when(hide, masked(F.col("min_text"))).otherwise(F.col("min_text")).alias("min_text"),
-            F.when(hide, masked(F.col("max_text"))).otherwise(F.col("max_text")).alias("max_text"),
-            "min_number",
-            "max_number",
-            "mean",
-            "stddev",
-            F.when(hide, F.transform("samples", masked))
-            .otherwise(F.coalesce("samples", F.array().cast("array<string>")))
-            .alias("samples"),
-            is_personal.alias("is_personal"),
+    parts = [_statistics(df, table) for table, df in tables.items()]
+    parts += [_exact(tables)] if exact else [_estimated(table, df) for table, df in tables.items()]
+    measures = ["column_name", "data_type", "row_count", "null_count", "distinct_count", "min_text", "max_text",
+                "min_number", "max_number", "mean", "stddev"]
+    gathered = (
+        reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), parts)
+        .groupBy("table_name", "ordinal")
+        .agg(
+            *[F.max(name).alias(name) for name in measures],
+            # At most SAMPLES entries: only the smallest values carry a rank.
+            F.expr("transform(array_sort(collect_list(CASE WHEN rank IS NOT NULL THEN struct(rank, value) END)), "
+                   "s -> s.value)").alias("samples"),
         )
+    )
+    names = ", ".join(f"'{name}'" for name in personal)
+    is_personal = f"column_name IN ({names})" if names else "false"
+    return gathered.selectExpr(
+        "table_name", "ordinal", "column_name", "data_type", "row_count", "null_count",
+        "100.0D * null_count / greatest(row_count, 1) AS null_pct",
+        "coalesce(distinct_count, 0L) AS distinct_count",
+        "100.0D * coalesce(distinct_count, 0L) / greatest(row_count, 1) AS distinct_pct",
+        "min_text", "max_text", "min_number", "max_number", "mean", "stddev", "samples",
+        f"{is_personal} AS is_personal",
+    ).transform(_hide if mask else lambda df: df)
+
+
+def _hide(rows: DataFrame) -> DataFrame:
+    personal = F.col("is_personal")
+    return rows.withColumns(
+        {
+            "min_text": F.when(personal, masked(F.col("min_text"))).otherwise(F.col("min_text")),
+            "max_text": F.when(personal, masked(F.col("max_text"))).otherwise(F.col("max_text")),
+            "samples": F.when(personal, F.transform("samples", masked)).otherwise(F.col("samples")),
+        }
     )
 
 
-def profiles(tables: Mapping[str, DataFrame], **options) -> DataFrame:
-    """The profiles of several tables."""
-    return reduce(DataFrame.unionByName, [profile(df, name, **options) for name, df in tables.items()])
+def profile(df: DataFrame, table: str, **options) -> DataFrame:
+    return profiles({table: df}, **options)
 
 
 # ------------------------------------------------------------------ catalog
@@ -314,23 +300,14 @@ def column_listing(tables: Mapping[str, DataFrame]) -> DataFrame:
     """Columns in table order with their types and how many values each holds."""
 
     def listing(table: str, df: DataFrame) -> DataFrame:
-        filled = df.agg(*[F.count(F.col(_quoted(f.name))).alias(f"_{i}") for i, f in enumerate(df.schema.fields)])
-        return filled.select(
-            F.inline(
-                F.array(
-                    *[
-                        F.struct(
-                            F.lit(table).alias("table_name"),
-                            F.lit(i + 1).alias("ordinal"),
-                            F.lit(f.name).alias("column_name"),
-                            F.lit(type_name(f.dataType)).alias("data_type"),
-                            F.col(f"_{i}").alias("n_values"),
-                        )
-                        for i, f in enumerate(df.schema.fields)
-                    ]
-                )
-            )
-        )
+        fields = list(enumerate(df.schema.fields, start=1))
+        filled = df.selectExpr(*[f"count({_quoted(f.name)}) AS _{i}" for i, f in fields])
+        rows = [
+            f"named_struct('table_name', '{table}', 'ordinal', {i}, 'column_name', '{f.name}', "
+            f"'data_type', '{type_name(f.dataType)}', 'n_values', _{i})"
+            for i, f in fields
+        ]
+        return filled.selectExpr(_inlined(rows))
 
     return reduce(DataFrame.unionByName, [listing(name, df) for name, df in tables.items()])
 
@@ -360,5 +337,5 @@ def lineage_edges(counts: DataFrame, lineage: Mapping[str, Sequence[str]]) -> Da
 def hide_personal(df: DataFrame, personal: Iterable[str] = PERSONAL) -> DataFrame:
     """A table with its personal columns masked, as text."""
     types = {f.name: f.dataType for f in df.schema.fields}
-    hidden = {c: masked(as_text(F.col(c), types[c])) for c in personal if c in types}
+    hidden = {c: masked(F.expr(as_text(_quoted(c), types[c]))) for c in personal if c in types}
     return df.withColumns(hidden) if hidden else df

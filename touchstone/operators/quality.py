@@ -6,7 +6,7 @@ rules it has. Rules about groups count the groups first, which combines equal ro
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Mapping, Sequence
 from dataclasses import dataclass
 from datetime import datetime
 from functools import reduce
@@ -98,6 +98,11 @@ def row_count(df: DataFrame) -> DataFrame:
     return df.agg(F.count(F.lit(1)).alias("n"))
 
 
+def row_counts(tables: Mapping[str, DataFrame]) -> DataFrame:
+    counts = [df.selectExpr(f"'{name}' AS table_name", "count(*) AS n_rows") for name, df in tables.items()]
+    return reduce(DataFrame.unionByName, counts)
+
+
 # ------------------------------------------------------------------ generic data tests
 
 

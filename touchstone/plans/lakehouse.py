@@ -8,6 +8,7 @@ from datetime import datetime
 from pyspark.sql import DataFrame, SparkSession
 
 from touchstone.plans import medallion
+from touchstone.session import materialise
 from touchstone.sources.derived import derive
 from touchstone.sources.tables import read_bronze, write_full_refresh
 
@@ -108,6 +109,11 @@ class Lakehouse:
             )
         return medallion.gold_monthly_channel_volume(self["silver_transactions"])
 
+    def materialise(self) -> None:
+        """Write every model to the shared folder and use the written copies from now on."""
+        for name in LINEAGE:
+            self.replace(name, materialise(self[name], name))
+
     def build(self, folder: str) -> dict[str, DataFrame]:
         """Write all models in dependency order. Each model reads the written ones before it,
         so a lost executor costs a re-read and not a recomputation of the layers below."""

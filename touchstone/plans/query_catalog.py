@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-from functools import reduce
-
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -45,6 +43,13 @@ def tables(lake: Lakehouse, names: list[str]) -> dict[str, DataFrame]:
     return {name: lake[name].drop("rejected_at") for name in names}
 
 
+def written_tables(lake: Lakehouse) -> dict[str, DataFrame]:
+    """All tables, the models as written copies: each is read several times, and most are built
+    on one another, so every model is computed once."""
+    lake.materialise()
+    return tables(lake, TABLES)
+
+
 def _hidden(value: str) -> str:
     return (
         f"CASE WHEN {value} IS NULL THEN NULL WHEN position('@' IN {value}) > 0 THEN "
@@ -117,7 +122,7 @@ def _landed_profile(lake: Lakehouse, family: str) -> DataFrame:
     """Only columns of one family are read, so the others are pruned from the scan."""
 
     def wanted(df: DataFrame) -> DataFrame:
-        return df.select(*[f.name for f in df.schema.fields if profiling._family(f.dataType) == family])
+        return df.select(*[f.name for f in df.schema.fields if profiling.family(f.dataType) == family])
 
     return rounded_profile(profiling.profiles({n: wanted(df) for n, df in tables(lake, sorted(BRONZE)).items()}))
 
@@ -146,14 +151,14 @@ for _family, _key, _more in [
     ),
 )
 def _samples(lake: Lakehouse) -> DataFrame:
-    def samples(name: str) -> DataFrame:
-        names = F.array(*[F.lit(c) for c in lake[name].columns])
-        smallest = profiling.smallest_values(profiling.distinct_values(lake[name]))
-        return smallest.select(
-            F.lit(name).alias("table_name"), F.element_at(names, F.col("ordinal")).alias("column_name"), "rank", "value"
-        )
-
-    return reduce(DataFrame.unionByName, [samples(name) for name in sorted(BRONZE)])
+    landed = {name: lake[name] for name in sorted(BRONZE)}
+    position = F.create_map(
+        *[F.lit(part) for name, df in landed.items() for part in (name, ",".join(df.columns))]
+    )
+    column = F.element_at(F.split(F.element_at(position, F.col("table_name")), ","), F.col("ordinal"))
+    return profiling.smallest_values(profiling.distinct_values(landed)).select(
+        "table_name", column.alias("column_name"), "rank", "value"
+    )
 
 
 @over_tables(
@@ -175,7 +180,7 @@ over_tables(
 
 
 over_tables("catalog_profile", f"SELECT {ROUNDED} FROM whole_profile")(
-    lambda lake: rounded_profile(profiling.profiles(tables(lake, TABLES)))
+    lambda lake: rounded_profile(profiling.profiles(written_tables(lake)))
 )
 
 
@@ -200,7 +205,7 @@ CTES["whole_catalog"] = (
 
 
 def whole_catalog(lake: Lakehouse, **options) -> DataFrame:
-    return profiling.catalog(tables(lake, TABLES), LINEAGE, OWNERS, UNOWNED, **options)
+    return profiling.catalog(written_tables(lake), LINEAGE, OWNERS, UNOWNED, **options)
 
 
 over_tables(
@@ -240,7 +245,7 @@ over_tables(
         for t in TABLES
         for i, (c, k) in enumerate(SCHEMAS[t], start=1)
     ),
-)(lambda lake: profiling.column_listing(tables(lake, TABLES)))
+)(lambda lake: profiling.column_listing(written_tables(lake)))
 
 
 @over_tables(
@@ -256,8 +261,4 @@ over_tables(
     ),
 )
 def _lineage(lake: Lakehouse) -> DataFrame:
-    counts = reduce(
-        DataFrame.unionByName,
-        [quality.row_count(lake[n]).select(F.lit(n).alias("table_name"), F.col("n").alias("n_rows")) for n in TABLES],
-    )
-    return profiling.lineage_edges(counts, LINEAGE)
+    return profiling.lineage_edges(quality.row_counts(written_tables(lake)), LINEAGE)

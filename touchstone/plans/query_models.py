@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-from functools import reduce
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -37,8 +35,8 @@ def _written_accounts(lake: Lakehouse) -> DataFrame:
     " UNION ALL ".join(f"SELECT '{n}' AS table_name, count(*) AS n_rows FROM {n}" for n in TABLES),
 )
 def _row_counts(lake: Lakehouse) -> DataFrame:
-    counts = [quality.row_count(lake[n]).select(F.lit(n).alias("table_name"), F.col("n").alias("n_rows")) for n in TABLES]
-    return reduce(DataFrame.unionByName, counts)
+    lake.materialise()
+    return quality.row_counts({name: lake[name] for name in TABLES})
 
 
 @over_tables(
