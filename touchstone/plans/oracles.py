@@ -9,6 +9,7 @@ from __future__ import annotations
 import re
 
 from touchstone.sources.derived import derive_sql
+from touchstone.sources.registry import registry_sql
 
 AS_OF = "TIMESTAMP '2004-01-01 00:00:00'"
 
@@ -101,6 +102,8 @@ CTES: dict[str, str] = {
     ),
 }
 
+CTES |= registry_sql()
+
 
 def statement(body: str) -> str:
     """A statement with the shared tables it names, directly or through others, in front."""
