@@ -21,6 +21,7 @@ from pyspark.sql.types import (
     DateType,
     DoubleType,
     FloatType,
+    IntegralType,
     NumericType,
     TimestampNTZType,
     TimestampType,
@@ -114,37 +115,58 @@ def family(data_type: DataType) -> str:
 
 
 def distinct_values(tables: Mapping[str, DataFrame]) -> DataFrame:
-    """Distinct values of every column of the tables, as text with a number to sort by."""
+    """Distinct values of every column of the tables.
 
-    def cells(table: str, df: DataFrame) -> DataFrame:
+    Numbers stay numbers, in `whole` or `real`, and other types are in `text`: fixed-width keys
+    are cheaper to hash and shuffle, and sort as numbers do.
+    """
+
+    def cells(position: int, df: DataFrame) -> DataFrame:
         rows = []
         for i, field in enumerate(df.schema.fields, start=1):
-            column = _quoted(field.name)
-            number = f"CAST({column} AS DOUBLE)" if is_numeric(field.dataType) else "CAST(NULL AS DOUBLE)"
+            column, kind = _quoted(field.name), field.dataType
+            value = dict.fromkeys(["whole", "real", "text"], "NULL")
+            if isinstance(kind, IntegralType):
+                value["whole"] = column
+            elif isinstance(kind, DoubleType | FloatType):
+                value["real"] = column
+            else:
+                value["text"] = column
             rows.append(
-                f"named_struct('table_name', '{table}', 'ordinal', {i}, "
-                f"'value', {as_text(column, field.dataType)}, 'number', {number})"
+                f"named_struct('place', {position}, 'ordinal', {i}, 'whole', CAST({value['whole']} AS BIGINT), "
+                f"'real', CAST({value['real']} AS DOUBLE), 'text', CAST({value['text']} AS STRING))"
             )
         return df.selectExpr(_inlined(rows))
 
-    every = reduce(DataFrame.union, [cells(table, df) for table, df in tables.items()])
-    return every.filter("value IS NOT NULL").distinct()
+    every = reduce(DataFrame.union, [cells(position, df) for position, df in enumerate(tables.values())])
+    return every.filter("whole IS NOT NULL OR real IS NOT NULL OR text IS NOT NULL").distinct()
 
 
-def smallest_values(values: DataFrame, size: int = SAMPLES) -> DataFrame:
-    """The smallest distinct values of every column, with their rank.
+def smallest_values(values: DataFrame, tables: Sequence[str], size: int = SAMPLES) -> DataFrame:
+    """The smallest distinct values of every column as text, with their rank.
 
     Spark keeps only `size` rows per column and task before it shuffles them.
     """
-    order = Window.partitionBy("table_name", "ordinal").orderBy("number", "value")
+    order = Window.partitionBy("place", "ordinal").orderBy("whole", "real", "text")
     ranked = values.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= size)
-    return ranked.select("table_name", "ordinal", "rank", "value")
+    return ranked.selectExpr(
+        _place(tables), "ordinal", "rank",
+        f"coalesce(text, CAST(whole AS STRING), {as_text('real', DoubleType())}) AS value",
+    )
+
+
+def _place(tables: Sequence[str]) -> str:
+    names = ", ".join(f"'{name}'" for name in tables)
+    return f"element_at(array({names}), place + 1) AS table_name"
 
 
 def _exact(tables: Mapping[str, DataFrame]) -> DataFrame:
     values = distinct_values(tables)
-    counts = values.groupBy("table_name", "ordinal").agg(F.count(F.lit(1)).alias("distinct_count"))
-    return counts.unionByName(smallest_values(values), allowMissingColumns=True)
+    names = list(tables)
+    counts = values.groupBy("place", "ordinal").agg(F.count(F.lit(1)).alias("distinct_count"))
+    return counts.selectExpr(_place(names), "ordinal", "distinct_count").unionByName(
+        smallest_values(values, names), allowMissingColumns=True
+    )
 
 
 def _estimated(table: str, df: DataFrame) -> DataFrame:

@@ -156,7 +156,7 @@ def _samples(lake: Lakehouse) -> DataFrame:
         *[F.lit(part) for name, df in landed.items() for part in (name, ",".join(df.columns))]
     )
     column = F.element_at(F.split(F.element_at(position, F.col("table_name")), ","), F.col("ordinal"))
-    return profiling.smallest_values(profiling.distinct_values(landed)).select(
+    return profiling.smallest_values(profiling.distinct_values(landed), list(landed)).select(
         "table_name", column.alias("column_name"), "rank", "value"
     )
 
