@@ -121,6 +121,13 @@ def next_versions(summaries: DataFrame) -> DataFrame:
     )
 
 
+def promoted(new_headers: DataFrame, versions: DataFrame) -> DataFrame:
+    """The proposed headers under the versions that the baseline and the changes lead to."""
+    return new_headers.drop("version").join(
+        versions.select("contract_id", F.col("next_version").alias("version")), "contract_id"
+    )
+
+
 def history(headers: DataFrame, versions: DataFrame) -> DataFrame:
     """The change log of every contract after promotion, newest entry first."""
     note = F.concat_ws(
@@ -130,7 +137,8 @@ def history(headers: DataFrame, versions: DataFrame) -> DataFrame:
     logs = headers.select("contract_id", "change_log").join(
         versions.select("contract_id", entry.alias("_entry")), "contract_id"
     )
-    entries = F.concat(F.array("_entry"), F.coalesce("change_log", F.expr("array()").cast("array<struct<version:string,note:string>>")))
+    earlier = F.coalesce("change_log", F.array().cast("array<struct<version:string,note:string>>"))
+    entries = F.concat(F.array("_entry"), earlier)
     return logs.select("contract_id", F.posexplode(entries).alias("position", "entry")).select(
         "contract_id", "position", "entry.version", "entry.note"
     )

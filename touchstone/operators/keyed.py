@@ -24,6 +24,15 @@ def without_by_outer_join(left: DataFrame, right: DataFrame, key: str) -> DataFr
     return joined.filter(F.col("_hit").isNull()).select(*left.columns)
 
 
+def ids_only_in(left: DataFrame, right: DataFrame, key: str) -> DataFrame:
+    """Key values of the left that the right does not have. Repeats go before the comparison."""
+    return keys(left, key).subtract(keys(right, key))
+
+
+def ids_in_both(left: DataFrame, right: DataFrame, key: str) -> DataFrame:
+    return keys(left, key).intersect(keys(right, key))
+
+
 def bounded(df: DataFrame, order: list[str], limit: int) -> DataFrame:
     """The first rows in a given order and whether there were more.
 

@@ -2,7 +2,8 @@
 
 The index stays where Spark has partitioned it. Every task multiplies its batches with the
 query vectors and keeps k results per query, so what is shuffled is k rows per query and task,
-never a row per pair. Queries are sent in passes of a fixed number of bytes.
+never a row per pair. Queries are sent in passes of bounded size, and every pass is exact for
+its queries, so any number of them gets whole results.
 """
 
 from __future__ import annotations
@@ -25,7 +26,10 @@ from touchstone.session import materialise
 # The search function travels with the job, so executors need no copy of this package.
 cloudpickle.register_pickle_by_value(sys.modules[__name__])
 
+# Bounds on one pass of queries, and on the score matrix a task holds at a time.
 PASS_BYTES = 32 * 1024 * 1024
+PASS_QUERIES = 1024
+SCORES_HELD = 4_000_000
 # Scores are compared at this many decimals, so equal vectors tie in every batch.
 DECIMALS = 9
 DIMENSIONS = 384
@@ -61,10 +65,13 @@ def _searcher(shared, k: int, schema: pa.Schema):
                 raise ValueError(f"index vectors do not all have {matrix.shape[1]} dimensions")
             if not len(ids):
                 continue
-            scores = np.round(values.reshape(len(ids), -1) @ matrix.T, DECIMALS)
-            rows, queries = _candidates(scores, k)
-            found = queries, scores[rows, queries], ids[rows]
-            held = _best(*(found if held is None else map(np.concatenate, zip(held, found, strict=True))), k)
+            vectors = values.reshape(len(ids), -1)
+            step = max(k, SCORES_HELD // len(matrix))
+            for start in range(0, len(ids), step):
+                scores = np.round(vectors[start : start + step] @ matrix.T, DECIMALS)
+                rows, queries = _candidates(scores, k)
+                found = queries, scores[rows, queries], ids[start : start + step][rows]
+                held = _best(*(found if held is None else map(np.concatenate, zip(held, found, strict=True))), k)
         if held is not None:
             queries, scores, ids = held
             columns = [names[queries], ids, scores]
@@ -76,10 +83,11 @@ def _searcher(shared, k: int, schema: pa.Schema):
 
 
 def _passes(queries: Iterable[tuple[int | str, Sequence[float]]]) -> Iterator[list]:
-    """Queries in groups of at most PASS_BYTES of vectors."""
+    """Queries in groups of bounded size."""
     group: list = []
     for query in queries:
-        if group and (len(group) + 1) * len(query[1]) * 8 > PASS_BYTES:
+        full = len(group) == PASS_QUERIES or (len(group) + 1) * len(query[1]) * 8 > PASS_BYTES
+        if group and full:
             yield group
             group = []
         group.append(query)

@@ -116,7 +116,12 @@ class Lakehouse:
 
     def build(self, folder: str) -> dict[str, DataFrame]:
         """Write all models in dependency order. Each model reads the written ones before it,
-        so a lost executor costs a re-read and not a recomputation of the layers below."""
+        so a lost executor costs a re-read and not a recomputation of the layers below.
+
+        Plans start from bronze, so a rebuild never reads the files it replaces.
+        """
+        fresh = self.in_session(self.spark)
         for name in LINEAGE:
-            self.replace(name, write_full_refresh(self[name], folder, name))
+            fresh.replace(name, write_full_refresh(fresh[name], folder, name))
+        self._tables = fresh._tables
         return {name: self[name] for name in LINEAGE}

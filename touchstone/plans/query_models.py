@@ -96,7 +96,7 @@ def _dropped(lake: Lakehouse) -> DataFrame:
     "SELECT customer_id FROM bronze_customers EXCEPT SELECT customer_id FROM silver_customers",
 )
 def _except_ids(lake: Lakehouse) -> DataFrame:
-    return lake["bronze_customers"].select("customer_id").subtract(lake["silver_customers"].select("customer_id"))
+    return keyed.ids_only_in(lake["bronze_customers"], lake["silver_customers"], "customer_id")
 
 
 @over_tables(
@@ -104,7 +104,7 @@ def _except_ids(lake: Lakehouse) -> DataFrame:
     "SELECT customer_id FROM bronze_customers INTERSECT SELECT customer_id FROM silver_customers",
 )
 def _intersect_ids(lake: Lakehouse) -> DataFrame:
-    return lake["bronze_customers"].select("customer_id").intersect(lake["silver_customers"].select("customer_id"))
+    return keyed.ids_in_both(lake["bronze_customers"], lake["silver_customers"], "customer_id")
 
 
 @over_tables("distinct_rows", "SELECT DISTINCT * FROM bronze_transactions")
