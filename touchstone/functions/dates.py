@@ -27,4 +27,6 @@ def naive_timestamp(moment: datetime) -> Column:
 
 
 def month_of(moment: Column) -> Column:
-    return F.date_trunc("month", moment).cast("timestamp_ntz")
+    """The first of the month as a timestamp. By way of a date, since truncating a timestamp
+    would take it through the session time zone."""
+    return F.trunc(moment.cast("date"), "month").cast("timestamp_ntz")
