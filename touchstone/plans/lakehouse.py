@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Sequence
 from datetime import datetime
 
 from pyspark.sql import DataFrame, SparkSession
@@ -37,6 +37,8 @@ UNOWNED = "Unassigned"
 
 BRONZE = ["bronze_customers", "bronze_accounts", "bronze_transactions"]
 TABLES = sorted(BRONZE + list(LINEAGE))
+# Models that other models are built from: worth writing where several tables are read.
+SHARED_MODELS = [name for name in LINEAGE if any(name in upstreams for upstreams in LINEAGE.values())]
 
 Reader = Callable[[SparkSession, str], DataFrame]
 
@@ -109,10 +111,11 @@ class Lakehouse:
             )
         return medallion.gold_monthly_channel_volume(self["silver_transactions"])
 
-    def materialise(self) -> None:
-        """Write every model to the shared folder and use the written copies from now on."""
+    def materialise(self, names: Sequence[str] = tuple(LINEAGE)) -> None:
+        """Write models to the shared folder and use the written copies from now on."""
         for name in LINEAGE:
-            self.replace(name, materialise(self[name], name))
+            if name in names:
+                self.replace(name, materialise(self[name], name))
 
     def build(self, folder: str) -> dict[str, DataFrame]:
         """Write all models in dependency order. Each model reads the written ones before it,

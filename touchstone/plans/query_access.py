@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from touchstone.operators import profiling
 from touchstone.operators.access import ROLES, ScopedCatalog
-from touchstone.plans.lakehouse import OWNERS, TABLES, UNOWNED, Lakehouse
+from touchstone.plans.lakehouse import OWNERS, SHARED_MODELS, TABLES, UNOWNED, Lakehouse
 from touchstone.plans.oracles import CTES
 from touchstone.plans.query_catalog import _owner_case, profile_oracle, rounded_profile, ROUNDED
 from touchstone.plans.registry import over_folder, over_tables
@@ -95,7 +95,7 @@ def _listing_oracle() -> str:
 
 @over_tables("scoped_table_list", _listing_oracle())
 def _listing(lake: Lakehouse) -> DataFrame:
-    lake.materialise()
+    lake.materialise(SHARED_MODELS)
     return ScopedCatalog(lake, LONDON).listing(OWNERS, UNOWNED)
 
 
@@ -114,7 +114,7 @@ def _listing(lake: Lakehouse) -> DataFrame:
 )
 def _visible(lake: Lakehouse) -> DataFrame:
     """Roles without row filters see the same counts, so those are taken once."""
-    lake.materialise()
+    lake.materialise(SHARED_MODELS)
     unfiltered = ScopedCatalog(lake, ROLES["analyst"]).listing(OWNERS, UNOWNED)
     everything = unfiltered.select(
         F.explode(F.array(F.lit("analyst"), F.lit("dq_auditor"))).alias("role"), "table_name", "owner", "n_rows"

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from touchstone.operators import profiling, quality
-from touchstone.plans.lakehouse import BRONZE, LINEAGE, OWNERS, TABLES, UNOWNED, Lakehouse
+from touchstone.plans.lakehouse import BRONZE, LINEAGE, OWNERS, SHARED_MODELS, TABLES, UNOWNED, Lakehouse
 from touchstone.plans.oracles import CTES
 from touchstone.plans.registry import over_tables
 from touchstone.sources.derived import EXPRESSIONS
@@ -43,10 +43,10 @@ def tables(lake: Lakehouse, names: list[str]) -> dict[str, DataFrame]:
     return {name: lake[name].drop("rejected_at") for name in names}
 
 
-def written_tables(lake: Lakehouse) -> dict[str, DataFrame]:
-    """All tables, the models as written copies: each is read several times, and most are built
-    on one another, so every model is computed once."""
-    lake.materialise()
+def written_tables(lake: Lakehouse, *, read_once: bool = False) -> dict[str, DataFrame]:
+    """All tables, with written copies of the models that are read more than once: all of them
+    for a profile, and for a single read those that other models are built from."""
+    lake.materialise(SHARED_MODELS if read_once else tuple(LINEAGE))
     return tables(lake, TABLES)
 
 
@@ -245,7 +245,7 @@ over_tables(
         for t in TABLES
         for i, (c, k) in enumerate(SCHEMAS[t], start=1)
     ),
-)(lambda lake: profiling.column_listing(written_tables(lake)))
+)(lambda lake: profiling.column_listing(written_tables(lake, read_once=True)))
 
 
 @over_tables(
@@ -261,4 +261,4 @@ over_tables(
     ),
 )
 def _lineage(lake: Lakehouse) -> DataFrame:
-    return profiling.lineage_edges(quality.row_counts(written_tables(lake)), LINEAGE)
+    return profiling.lineage_edges(quality.row_counts(written_tables(lake, read_once=True)), LINEAGE)

@@ -9,7 +9,7 @@ from touchstone.functions import text
 from touchstone.functions.dates import latest_adult_birth, month_of
 from touchstone.operators import copies, keyed, quality
 from touchstone.plans import medallion
-from touchstone.plans.lakehouse import LINEAGE, TABLES, Lakehouse
+from touchstone.plans.lakehouse import LINEAGE, SHARED_MODELS, TABLES, Lakehouse
 from touchstone.plans.registry import over_folder, over_tables
 from touchstone.session import materialise
 from touchstone.sources.derived import select_items, select_list, source_table
@@ -35,7 +35,7 @@ def _written_accounts(lake: Lakehouse) -> DataFrame:
     " UNION ALL ".join(f"SELECT '{n}' AS table_name, count(*) AS n_rows FROM {n}" for n in TABLES),
 )
 def _row_counts(lake: Lakehouse) -> DataFrame:
-    lake.materialise()
+    lake.materialise(SHARED_MODELS)
     return quality.row_counts({name: lake[name] for name in TABLES})
 
 

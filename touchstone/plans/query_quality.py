@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from touchstone.functions.dates import naive_timestamp
 from touchstone.operators import quality
-from touchstone.plans.lakehouse import Lakehouse
+from touchstone.plans.lakehouse import SHARED_MODELS, Lakehouse
 from touchstone.plans.registry import over_tables
 
 
@@ -117,6 +117,7 @@ def _test_oracle(test: str, table: str, column: str, failures: str) -> str:
     ),
 )
 def _not_null(lake: Lakehouse) -> DataFrame:
+    lake.materialise(SHARED_MODELS)
     return reduce(DataFrame.unionByName, [quality.not_null(lake[t], t, c) for t, c in NOT_NULL.items()])
 
 
@@ -312,6 +313,6 @@ over_tables(
 
 over_tables(
     "conflicting_duplicates",
-    "SELECT account_id, count(*) AS n_versions FROM (SELECT DISTINCT account_id, amount FROM bronze_transactions) "
-    "GROUP BY account_id HAVING count(*) > 1",
-)(lambda lake: quality.conflicting_ids(lake["bronze_transactions"].select("account_id", "amount"), "account_id"))
+    "SELECT txn_id, count(*) AS n_versions FROM (SELECT DISTINCT * FROM bronze_transactions) "
+    "GROUP BY txn_id HAVING count(*) > 1",
+)(lambda lake: quality.conflicting_ids(lake["bronze_transactions"], "txn_id"))

@@ -7,6 +7,8 @@ import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
+SHARED_DIR = "spark.checkpoint.dir"
+
 SETTINGS = {
     "spark.sql.session.timeZone": "UTC",
     "spark.sql.adaptive.enabled": "true",
@@ -37,7 +39,7 @@ def isolated(spark: SparkSession) -> SparkSession:
     """
     child = spark.newSession()
     for key, value in spark.conf.getAll.items():
-        if key.startswith("spark.sql.") and child.conf.isModifiable(key):
+        if key == SHARED_DIR or (key.startswith("spark.sql.") and child.conf.isModifiable(key)):
             child.conf.set(key, value)
     child.conf.set("spark.sql.runSQLOnFiles", "false")
     return child
@@ -49,13 +51,13 @@ def shared_dir(spark: SparkSession) -> str:
     Only a local master may fall back to a temporary folder; executors on other machines
     could not read it.
     """
-    folder = spark.conf.get("spark.checkpoint.dir", None)
+    folder = spark.conf.get(SHARED_DIR, None)
     if folder:
         return folder
     if not spark.sparkContext.master.startswith("local"):
-        raise RuntimeError("set spark.checkpoint.dir to a folder that every executor can reach")
+        raise RuntimeError(f"set {SHARED_DIR} to a folder that every executor can reach")
     folder = tempfile.mkdtemp(prefix="touchstone-")
-    spark.conf.set("spark.checkpoint.dir", folder)
+    spark.conf.set(SHARED_DIR, folder)
     return folder
 
 

@@ -128,11 +128,9 @@ def derive(spark: SparkSession, folder: str, name: str) -> DataFrame:
     repeats = REPEATS[name]
     if not repeats:
         return rows
-    copies = F.lit(1)
-    for condition in repeats:
-        copies = copies + F.expr(f"coalesce(CAST({condition} AS INT), 0)")
-    choices = F.array(*[F.array(*[F.lit(i) for i in range(n + 1)]) for n in range(len(repeats) + 1)])
-    return rows.withColumn("_copy", F.explode(F.element_at(choices, copies))).drop("_copy")
+    copies = " + ".join(f"coalesce(CAST({condition} AS INT), 0)" for condition in repeats)
+    choices = ", ".join(f"array({', '.join(map(str, range(n + 1)))})" for n in range(len(repeats) + 1))
+    return rows.withColumn("_copy", F.expr(f"explode(element_at(array({choices}), 1 + {copies}))")).drop("_copy")
 
 
 def derive_sql(name: str) -> str:
