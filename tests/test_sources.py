@@ -5,7 +5,7 @@ from datetime import datetime
 import pytest
 
 from touchstone.plans.lakehouse import Lakehouse
-from touchstone.session import isolated, materialise, shared_dir
+from touchstone.session import isolated, materialise, settings_for, shared_dir
 from touchstone.sources import tables
 from touchstone.sources.derived import derive
 
@@ -62,3 +62,10 @@ def test_isolated_session_keeps_settings_and_drops_views(spark):
     child = isolated(spark)
     assert child.conf.get("spark.sql.session.timeZone") == "UTC"
     assert "only_in_parent" not in [t.name for t in child.catalog.listTables()]
+
+
+def test_shuffle_partitions_follow_the_input():
+    def partitions(size):
+        return int(settings_for(size)["spark.sql.shuffle.partitions"])
+
+    assert partitions(10**9) == 200 and partitions(10 * 1024**4) == 20480 and partitions(100 * 1024**4) == 100_000

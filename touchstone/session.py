@@ -8,6 +8,7 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 
 SHARED_DIR = "spark.checkpoint.dir"
+_LOCAL_FOLDERS: dict[str, str] = {}
 
 SETTINGS = {
     "spark.sql.session.timeZone": "UTC",
@@ -23,6 +24,22 @@ SETTINGS = {
 }
 
 
+def settings_for(input_bytes: int) -> dict[str, str]:
+    """Settings for a job that reads this much.
+
+    Adaptive execution joins small shuffle partitions but never splits those of an aggregate, so
+    their number is set for the whole input: about half a gigabyte each, which fits a task's
+    memory or spills once. Merging then aims at that size rather than at one task per core.
+    """
+    partitions = max(200, min(100_000, input_bytes // (512 * 1024**2)))
+    return {
+        "spark.sql.shuffle.partitions": str(partitions),
+        "spark.sql.files.maxPartitionBytes": "256m",
+        "spark.sql.adaptive.advisoryPartitionSizeInBytes": "256m",
+        "spark.sql.adaptive.coalescePartitions.parallelismFirst": "false",
+    }
+
+
 def build_session(app: str = "touchstone", master: str | None = None, **settings: str) -> SparkSession:
     builder = SparkSession.builder.appName(app)
     if master:
@@ -39,7 +56,7 @@ def isolated(spark: SparkSession) -> SparkSession:
     """
     child = spark.newSession()
     for key, value in spark.conf.getAll.items():
-        if key == SHARED_DIR or (key.startswith("spark.sql.") and child.conf.isModifiable(key)):
+        if key.startswith("spark.sql.") and child.conf.isModifiable(key):
             child.conf.set(key, value)
     child.conf.set("spark.sql.runSQLOnFiles", "false")
     return child
@@ -54,11 +71,12 @@ def shared_dir(spark: SparkSession) -> str:
     folder = spark.conf.get(SHARED_DIR, None)
     if folder:
         return folder
-    if not spark.sparkContext.master.startswith("local"):
+    context = spark.sparkContext
+    if not context.master.startswith("local"):
         raise RuntimeError(f"set {SHARED_DIR} to a folder that every executor can reach")
-    folder = tempfile.mkdtemp(prefix="touchstone-")
-    spark.conf.set(SHARED_DIR, folder)
-    return folder
+    if context.applicationId not in _LOCAL_FOLDERS:
+        _LOCAL_FOLDERS[context.applicationId] = tempfile.mkdtemp(prefix="touchstone-")
+    return _LOCAL_FOLDERS[context.applicationId]
 
 
 def materialise(df: DataFrame, name: str) -> DataFrame:
