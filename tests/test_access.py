@@ -5,7 +5,7 @@ from datetime import date
 
 import pytest
 
-from touchstone.operators.access import (
+from touchstone.plans.access import (
     ROLE_SETTING,
     ROLES,
     AccessError,
@@ -121,6 +121,12 @@ def test_saved_tables_are_out_of_scope(spark, london, tmp_path):
         spark.sql("DROP TABLE saved_numbers")
 
 
+def test_explain_shows_the_row_filter(london):
+    assert "London" in london.explain("SELECT count(*) FROM silver_customers")
+    with pytest.raises(QueryError):
+        london.explain("DROP VIEW silver_customers")
+
+
 def test_fetch_is_capped_and_says_so(london):
     exact = london.fetch("SELECT account_id FROM silver_accounts ORDER BY account_id LIMIT 200")
     assert len(exact["rows"]) == 200 and exact["truncated"] is False

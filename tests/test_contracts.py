@@ -151,14 +151,26 @@ CONTRACT = {
         {"name": "gone", "type": "DATE"},
     ],
     "quality_rules": [
-        {"name": "kinds", "severity": "blocking", "assertion": "SELECT count(*) FROM t WHERE kind IS NOT NULL AND kind NOT IN ('A','B')"},
+        {
+            "name": "kinds",
+            "severity": "blocking",
+            "assertion": "SELECT count(*) FROM t WHERE kind IS NOT NULL AND kind NOT IN ('A','B')",
+        },
         {"name": "nothing", "assertion": "SELECT sum(size) FROM t WHERE id < 0"},
         {"name": "broken", "severity": "review", "assertion": "SELECT count(*) FROM t WHERE no_such_column > 1"},
         {"name": "unreadable", "severity": "review", "assertion": "SELEC 1"},
-        {"name": "two_tables", "severity": "blocking", "assertion": "SELECT (SELECT count(*) FROM t) - (SELECT count(*) FROM u)"},
+        {
+            "name": "two_tables",
+            "severity": "blocking",
+            "assertion": "SELECT (SELECT count(*) FROM t) - (SELECT count(*) FROM u)",
+        },
     ],
-    "profile_expectations": {"row_count_min": 5, "null_rate_tolerance": 0.25, "columns": {"kind": {"null_rate": 0.25}, "size": {"null_rate": 0.0}}},
-}
+    "profile_expectations": {
+        "row_count_min": 5,
+        "null_rate_tolerance": 0.25,
+        "columns": {"kind": {"null_rate": 0.25}, "size": {"null_rate": 0.0}},
+    },
+}
 
 
 def test_all_kinds_of_drift(spark):
@@ -204,5 +216,20 @@ def test_a_report_shows_ten_values_and_counts_the_rest(spark):
     assert drift.unexpected_values(df, "kind", ["A", "B"]).count() == 30
 
 
+def test_rules_of_one_table_share_a_pass(spark):
+    rules = [
+        {"name": "keys", "assertion": "SELECT count(*) - count(DISTINCT id) FROM t"},
+        {"name": "one", "assertion": "SELECT abs(1 - count_if(id = 0)) FROM t"},
+        {"name": "few", "assertion": "SELECT count(*) FROM t WHERE id > 3"},
+    ]
+
+    def unused(sql: str):
+        raise AssertionError(sql)
+
+    df = spark.createDataFrame([(1,), (1,), (None,)], "id BIGINT")
+    found = drift.checks(df, "t", {"schema": [], "quality_rules": rules}, unused, ["RULE_FAILING"]).collect()
+    assert {r["subject"]: r["observed"] for r in found} == {"keys": 2.0, "one": 1.0, "few": 0.0}
+
+
 def test_nothing_to_check(spark):
     assert drift.checks(spark.range(1), "t", {"schema": []}, spark.sql, ["NULLABILITY"]).count() == 0

@@ -66,7 +66,8 @@ def test_counts_at_a_larger_scale(spark):
 
 
 def test_clean_customer(spark):
-    row = medallion.silver_customers(customers(spark, [customer(7, risk_rating=99, kyc_status="  ")])).filter("customer_id = 7").first()
+    silver = medallion.silver_customers(customers(spark, [customer(7, risk_rating=99, kyc_status="  ")]))
+    row = silver.filter("customer_id = 7").first()
     assert (row["first_name"], row["city"], row["email"]) == ("Ann", "Leeds", "ann@x.com")
     assert row["kyc_status"] is None and row["risk_rating"] is None
 
@@ -130,7 +131,8 @@ def test_customer_without_an_id_is_kept_and_rejected(spark):
 def test_unresolved_accounts_point_to_the_unknown_member(spark):
     bronze_customers = customers(spark, [customer(1), customer(2, date(2015, 1, 1))])
     silver = medallion.silver_customers(bronze_customers)
-    bronze = accounts(spark, [account(1, 1), account(2, 2), account(3, 99), account(4, None), account(5, 1, kind="isa", status=" ")])
+    owned = [account(1, 1), account(2, 2), account(3, 99), account(4, None), account(5, 1, kind="isa", status=" ")]
+    bronze = accounts(spark, owned)
     owners = {r["account_id"]: r["customer_id"] for r in medallion.silver_accounts(bronze, silver).collect()}
     assert owners == {1: 1, 2: 0, 3: 0, 4: 0, 5: 1}
     rejected = medallion.silver_accounts_rejected(bronze, bronze_customers, silver, NOW)
@@ -200,3 +202,5 @@ def test_models_read_the_written_ones(spark, folder, tmp_path):
     for name in ("silver_accounts", "gold_customer_360"):
         assert built[name].exceptAll(fresh[name]).count() == 0 and built[name].dtypes == fresh[name].dtypes
     assert lake.build(str(tmp_path))["silver_accounts"].count() == 1500
+    for reader in (lake, lake.in_session(spark.newSession())):  # nobody plans a built table again
+        assert all(str(tmp_path) in file for file in reader["gold_customer_360"].inputFiles())

@@ -23,6 +23,10 @@ def test_lakehouse_over_landed_files(spark, folder, tmp_path):
         derive(spark, folder, name).write.parquet(str(tmp_path / name))
     lake = Lakehouse.over_folder(spark, str(tmp_path), datetime(2004, 1, 1))
     assert lake["gold_customer_360"].exceptAll(Lakehouse.over_test_tables(spark, folder)["gold_customer_360"]).count() == 0
+    lake.build(str(tmp_path / "models"))
+    later = Lakehouse.over_folder(spark, str(tmp_path), datetime(2004, 1, 1), str(tmp_path / "models"))
+    assert later["silver_transactions"].count() == 5811
+    assert all("models" in file for file in later["silver_transactions"].inputFiles())
     with pytest.raises(KeyError):
         lake["no_such_table"]
 

@@ -137,13 +137,13 @@ class ScopedCatalog:
         df = filtered(self.lake[name], self.role.row_filters.get(name), self.lake)
         return profiling.hide_personal(df) if masked and not self.role.unmask else df
 
-    def listing(self, lineage_owners: Mapping[str, str], unowned: str) -> DataFrame:
+    def listing(self, owners: Mapping[str, str], unowned: str) -> DataFrame:
         """The role's tables with layer, owner and the number of rows it can see."""
         counted = [
             self.table(name).selectExpr(
                 f"'{name}' AS table_name",
                 f"'{name.partition('_')[0]}' AS layer",
-                f"'{profiling.owner_of(name, lineage_owners, unowned)}' AS owner",
+                f"'{profiling.owner_of(name, owners, unowned)}' AS owner",
                 "count(*) AS n_rows",
             )
             for name in self.names
@@ -165,6 +165,18 @@ class ScopedCatalog:
         a name is either one of them or unknown. Inside the parentheses of a FROM clause Spark
         accepts a query and nothing else.
         """
+        child, text = self._prepared(statement)
+        try:
+            result = child.sql(text)
+            plan = child.sql(f"EXPLAIN EXTENDED {text}").first()[0]
+        except (AnalysisException, ParseException) as error:
+            raise QueryError(f"not a query over your tables: {error}") from error
+        if "spark_catalog." in plan.partition("== Optimized Logical Plan ==")[0]:
+            raise AccessError("saved tables of the session catalog are not in scope")
+        return result
+
+    def _prepared(self, statement: str) -> tuple[SparkSession, str]:
+        """A session with the role's views that a statement names, and the statement as a subquery."""
         text = statement.strip().rstrip(";")
         child = isolated(self.lake.spark)
         scoped = ScopedCatalog(self.lake.in_session(child), self.role)
@@ -172,14 +184,13 @@ class ScopedCatalog:
         self.role.require(named)
         for name in named:
             scoped.table(name).createOrReplaceTempView(name)
-        try:
-            result = child.sql(f"SELECT * FROM (\n{text}\n) AS result")
-            plan = child.sql(f"EXPLAIN EXTENDED SELECT * FROM (\n{text}\n) AS result").first()[0]
-        except (AnalysisException, ParseException) as error:
-            raise QueryError(f"not a query over your tables: {error}") from error
-        if "spark_catalog." in plan.partition("== Optimized Logical Plan ==")[0]:
-            raise AccessError("saved tables of the session catalog are not in scope")
-        return result
+        return child, f"SELECT * FROM (\n{text}\n) AS result"
+
+    def explain(self, statement: str) -> str:
+        """The plan of a statement, with the row filters it runs under."""
+        self.query(statement)
+        child, text = self._prepared(statement)
+        return child.sql(f"EXPLAIN FORMATTED {text}").first()[0]
 
     def fetch(self, statement: str) -> dict:
         """At most 200 rows of a statement as JSON-safe records, and whether there were more."""

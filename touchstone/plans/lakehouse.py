@@ -8,7 +8,7 @@ from datetime import datetime
 from pyspark.sql import DataFrame, SparkSession
 
 from touchstone.plans import medallion
-from touchstone.session import materialise
+from touchstone.session import scratch_path
 from touchstone.sources.derived import derive
 from touchstone.sources.tables import read_bronze, write_full_refresh
 
@@ -46,7 +46,8 @@ Reader = Callable[[SparkSession, str], DataFrame]
 class Lakehouse:
     """Lazy plans of all tables over one reader of the bronze layer.
 
-    Nothing runs until a table is used, and then only what that table needs.
+    Nothing runs until a table is used, and then only what that table needs. A model that has
+    been written is read from its files, also by the sessions of scoped queries.
     """
 
     def __init__(self, spark: SparkSession, reader: Reader, as_of: datetime = AS_OF) -> None:
@@ -54,36 +55,54 @@ class Lakehouse:
         self.reader = reader
         self.as_of = as_of
         self._tables: dict[str, DataFrame] = {}
+        self._written: dict[str, str] = {}
 
     @classmethod
     def over_test_tables(cls, spark: SparkSession, folder: str) -> Lakehouse:
         return cls(spark, lambda session, name: derive(session, folder, name))
 
     @classmethod
-    def over_folder(cls, spark: SparkSession, folder: str, as_of: datetime) -> Lakehouse:
-        """Bronze tables landed as parquet folders with their declared types."""
-        return cls(spark, lambda session, name: read_bronze(session, folder, name), as_of)
+    def over_folder(
+        cls, spark: SparkSession, folder: str, as_of: datetime, models: str | None = None
+    ) -> Lakehouse:
+        """Bronze tables landed as parquet folders with their declared types, and the models as
+        an earlier build wrote them, if their folder is given."""
+        lake = cls(spark, lambda session, name: read_bronze(session, folder, name), as_of)
+        if models:
+            lake._written = {name: f"{models}/{name}" for name in LINEAGE}
+        return lake
 
     def in_session(self, spark: SparkSession) -> Lakehouse:
-        return Lakehouse(spark, self.reader, self.as_of)
+        """The same tables for another session."""
+        other = Lakehouse(spark, self.reader, self.as_of)
+        other._written = dict(self._written)
+        return other
 
     def __getitem__(self, name: str) -> DataFrame:
         if name not in self._tables:
             if name not in TABLES:
                 raise KeyError(f"no table {name}")
-            self._tables[name] = self._plan(name)
+            if name in self._written:
+                self._tables[name] = self.spark.read.parquet(self._written[name])
+            else:
+                self._tables[name] = self._plan(name)
         return self._tables[name]
 
     def replace(self, name: str, df: DataFrame) -> None:
-        """Use this DataFrame for a table from now on, such as its written copy."""
+        """Use this DataFrame for a table of this session from now on."""
         self._tables[name] = df
 
+    def _use_written(self, name: str, path: str) -> None:
+        """Read a table from here on, also in models that were planned on the unwritten one."""
+        self._written[name] = path
+        self._tables = {n: df for n, df in self._tables.items() if n in BRONZE}
+
     @property
     def conformed_transactions(self) -> DataFrame:
         """Transactions for a plan that joins the accounts itself, which makes the account
         check of the silver table a second, unneeded join. A written silver table is used."""
-        if "silver_transactions" in self._tables:
-            return self._tables["silver_transactions"]
+        if "silver_transactions" in self._written:
+            return self["silver_transactions"]
         return medallion.conformed_transactions(self["bronze_transactions"], self.as_of)
 
     def _plan(self, name: str) -> DataFrame:
@@ -114,8 +133,10 @@ class Lakehouse:
     def materialise(self, names: Sequence[str] = tuple(LINEAGE)) -> None:
         """Write models to the shared folder and use the written copies from now on."""
         for name in LINEAGE:
-            if name in names:
-                self.replace(name, materialise(self[name], name))
+            if name in names and name not in self._written:
+                path = scratch_path(self.spark, name)
+                self[name].write.parquet(path)
+                self._use_written(name, path)
 
     def build(self, folder: str) -> dict[str, DataFrame]:
         """Write all models in dependency order. Each model reads the written ones before it,
@@ -123,8 +144,8 @@ class Lakehouse:
 
         Plans start from bronze, so a rebuild never reads the files it replaces.
         """
-        fresh = self.in_session(self.spark)
+        self._tables, self._written = {}, {}
         for name in LINEAGE:
-            fresh.replace(name, write_full_refresh(fresh[name], folder, name))
-        self._tables = fresh._tables
+            write_full_refresh(self[name], folder, name)
+            self._use_written(name, f"{folder}/{name}")
         return {name: self[name] for name in LINEAGE}

@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from touchstone.operators import profiling
-from touchstone.operators.access import ROLES, ScopedCatalog
+from touchstone.plans.access import ROLES, ScopedCatalog
 from touchstone.plans.lakehouse import OWNERS, SHARED_MODELS, TABLES, UNOWNED, Lakehouse
 from touchstone.plans.oracles import CTES
 from touchstone.plans.query_catalog import _owner_case, profile_oracle, rounded_profile, ROUNDED

@@ -24,7 +24,7 @@ SCHEMAS |= {f"silver_{n}": SCHEMAS[f"bronze_{n}"] for n in ["customers", "accoun
 REJECTION = [("reason_code", "VARCHAR"), ("rejected_by", "VARCHAR")]
 SCHEMAS |= {f"silver_{n}_rejected": SCHEMAS[f"bronze_{n}"] + REJECTION for n in ["customers", "accounts"]}
 SCHEMAS["gold_customer_360"] = [
-    *[c for c in SCHEMAS["silver_customers"] if c[0] in ("customer_id", "first_name", "last_name", "city", "kyc_status", "risk_rating")],
+    *[c for c in SCHEMAS["silver_customers"] if c[0] not in ("email", "date_of_birth", "created_at")],
     ("n_accounts", "BIGINT"),
     ("total_balance", "DOUBLE"),
     ("n_txns", "BIGINT"),

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from touchstone.functions import vectors
 from touchstone.operators import profiling, retrieval
-from touchstone.operators.access import ROLES
+from touchstone.plans.access import ROLES
 from touchstone.plans.lakehouse import TABLES, Lakehouse
 from touchstone.plans.oracles import CTES
 from touchstone.plans.query_catalog import whole_catalog

@@ -18,6 +18,7 @@ CONTRACT_SCHEMA = (
     "profile_expectations STRUCT<row_count_min: BIGINT, null_rate_tolerance: DOUBLE, "
     "columns: MAP<STRING, STRUCT<null_rate: DOUBLE>>>"
 )
+# The approved contract of silver_customers, its columns, rules and expectations.
 SHIPPED = Path(__file__).parent.parent / "contracts"
 
 
