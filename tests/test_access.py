@@ -160,6 +160,18 @@ def test_filter_reaches_the_scan(spark, tmp_path, capsys):
     assert "PushedFilters: [IsNotNull(city), EqualTo(city,London)]" in capsys.readouterr().out
 
 
+def test_filter_through_accounts_is_one_join_for_transactions(spark, folder, capsys):
+    unwritten = Lakehouse.over_test_tables(spark, folder)
+    scoped = ScopedCatalog(unwritten, LONDON).table("silver_transactions")
+    scoped.explain()
+    assert capsys.readouterr().out.count("LeftSemi") == 2  # transactions to accounts, accounts to customers
+    assert scoped.count() == 1879
+    kept = unwritten["silver_transactions"].limit(5)
+    unwritten.replace("silver_transactions", kept)
+    assert ScopedCatalog(unwritten, ROLES["analyst"]).table("silver_transactions").count() == 5
+    assert ScopedCatalog(unwritten, LONDON).table("silver_transactions").count() <= 5
+
+
 def test_describe_and_contracts(spark, london):
     listing = {r["column_name"]: (r["data_type"], r["n_values"]) for r in london.describe("silver_customers").collect()}
     assert listing["customer_id"] == ("BIGINT", 46)

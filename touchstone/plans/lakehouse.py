@@ -56,6 +56,7 @@ class Lakehouse:
         self.as_of = as_of
         self._tables: dict[str, DataFrame] = {}
         self._written: dict[str, str] = {}
+        self._replaced: dict[str, DataFrame] = {}
 
     @classmethod
     def over_test_tables(cls, spark: SparkSession, folder: str) -> Lakehouse:
@@ -79,6 +80,8 @@ class Lakehouse:
         return other
 
     def __getitem__(self, name: str) -> DataFrame:
+        if name in self._replaced:
+            return self._replaced[name]
         if name not in self._tables:
             if name not in TABLES:
                 raise KeyError(f"no table {name}")
@@ -89,19 +92,23 @@ class Lakehouse:
         return self._tables[name]
 
     def replace(self, name: str, df: DataFrame) -> None:
-        """Use this DataFrame for a table of this session from now on."""
-        self._tables[name] = df
+        """Use this DataFrame for a table of this session from now on, also in other models."""
+        self._replaced[name] = df
+        self._forget_plans()
 
     def _use_written(self, name: str, path: str) -> None:
         """Read a table from here on, also in models that were planned on the unwritten one."""
         self._written[name] = path
+        self._forget_plans()
+
+    def _forget_plans(self) -> None:
         self._tables = {n: df for n, df in self._tables.items() if n in BRONZE}
 
     @property
     def conformed_transactions(self) -> DataFrame:
         """Transactions for a plan that joins the accounts itself, which makes the account
-        check of the silver table a second, unneeded join. A written silver table is used."""
-        if "silver_transactions" in self._written:
+        check of the silver table a second, unneeded join. A table that is there is used as it is."""
+        if "silver_transactions" in self._written or "silver_transactions" in self._replaced:
             return self["silver_transactions"]
         return medallion.conformed_transactions(self["bronze_transactions"], self.as_of)
 
@@ -133,7 +140,7 @@ class Lakehouse:
     def materialise(self, names: Sequence[str] = tuple(LINEAGE)) -> None:
         """Write models to the shared folder and use the written copies from now on."""
         for name in LINEAGE:
-            if name in names and name not in self._written:
+            if name in names and name not in self._written and name not in self._replaced:
                 path = scratch_path(self.spark, name)
                 self[name].write.parquet(path)
                 self._use_written(name, path)
@@ -144,7 +151,7 @@ class Lakehouse:
 
         Plans start from bronze, so a rebuild never reads the files it replaces.
         """
-        self._tables, self._written = {}, {}
+        self._tables, self._written, self._replaced = {}, {}, {}
         for name in LINEAGE:
             write_full_refresh(self[name], folder, name)
             self._use_written(name, f"{folder}/{name}")
