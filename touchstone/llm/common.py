@@ -17,7 +17,7 @@ __all__ = ["WORD", "byte_slices", "documents", "materialise", "position_key", "r
 WORD = r"[^\x20\x09-\x0D]+"
 
 #: Rows that one group of a running total holds on average.
-GROUP_ROWS = 4096
+GROUP_ROWS = 1024
 
 #: Arrow batches stay under this, so that a task with very long documents stays in memory.
 BATCH_BYTES = 16 * 1024**2

@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from touchstone.llm import mixing
+from touchstone.llm import mixing, packing
 from touchstone.llm.common import documents
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -46,3 +46,14 @@ FROM laid JOIN (SELECT source AS named, source_size, target FROM shares) ON sour
 )
 def source_mix(spark: SparkSession, folder: str) -> DataFrame:
     return mixing.mix(documents(spark, folder))
+
+
+def tokenizer() -> str:
+    import public_tokenizers
+
+    return public_tokenizers.path("word_bpe_49k.json")
+
+
+@query("op9_pack")
+def pack(spark: SparkSession, folder: str) -> DataFrame:
+    return packing.pack(documents(spark, folder), tokenizer())
