@@ -14,12 +14,15 @@ from touchstone.llm.queries import tokenizer
 SCHEMA = "doc_id BIGINT, text STRING, lang STRING, source STRING, n_chars BIGINT"
 
 
+ENCODER = packing.WordEncoder(tokenizer())
+PLAIN = Tokenizer.from_file(tokenizer())
+
+
 @given(st.text(alphabet=st.sampled_from("aBé ß\n\t\x1c\x85  'lls 12!-İΣ́😀<|endoftext|>"), max_size=60))
 @settings(max_examples=300, deadline=None)
 def test_words_encode_like_the_whole_text(text):
-    encoder = packing.WordEncoder(tokenizer())
-    whole = Tokenizer.from_file(tokenizer()).encode(text, add_special_tokens=False).ids
-    assert np.frombuffer(encoder.encode(text), "<u4").tolist() == whole
+    whole = PLAIN.encode(text, add_special_tokens=False).ids
+    assert np.frombuffer(ENCODER.encode(text), "<u4").tolist() == whole
 
 
 def test_least_squares_is_optimal():
@@ -61,10 +64,9 @@ def test_packed_documents(spark):
     rows = [(i, t, "en", "s", 0) for i, t in enumerate(texts)] + [(5, texts[5], "en", "s", 0), (None, "a b", None, None, None)]
     docs = spark.createDataFrame(rows, SCHEMA).withColumn("length", packing.F.lit("clash"))
     out = packing.pack(docs, tokenizer(), 128).collect()
-    plain = Tokenizer.from_file(tokenizer())
     wanted = []
     for doc_id, text, *_ in rows:
-        ids = plain.encode(text or "", add_special_tokens=False).ids + [1]
+        ids = PLAIN.encode(text or "", add_special_tokens=False).ids + [1]
         for piece, at in enumerate(range(0, len(ids), 128)):
             part = ids[at : at + 128]
             wanted.append((doc_id, piece, at, len(part), zlib.crc32(np.array(part, "<u4").tobytes())))

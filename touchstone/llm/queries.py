@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from touchstone.llm import mixing, packing
+from touchstone.llm import mixing, packing, secret_scan
 from touchstone.llm.common import documents
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -57,3 +57,8 @@ def tokenizer() -> str:
 @query("op9_pack")
 def pack(spark: SparkSession, folder: str) -> DataFrame:
     return packing.pack(documents(spark, folder), tokenizer())
+
+
+@query("op5_secrets")
+def secrets(spark: SparkSession, folder: str) -> DataFrame:
+    return secret_scan.report(documents(spark, folder))
