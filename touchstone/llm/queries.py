@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from touchstone.llm import mixing, packing, secret_scan
+from touchstone.llm import language, mixing, packing, secret_scan
 from touchstone.llm.common import documents
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -62,3 +62,8 @@ def pack(spark: SparkSession, folder: str) -> DataFrame:
 @query("op5_secrets")
 def secrets(spark: SparkSession, folder: str) -> DataFrame:
     return secret_scan.report(documents(spark, folder))
+
+
+@query("op4_language")
+def languages(spark: SparkSession, folder: str) -> DataFrame:
+    return language.predict(documents(spark, folder))
