@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from touchstone.llm import language, mixing, packing, secret_scan
+from touchstone.llm import imatch, language, mixing, packing, secret_scan
 from touchstone.llm.common import documents
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -67,3 +67,8 @@ def secrets(spark: SparkSession, folder: str) -> DataFrame:
 @query("op4_language")
 def languages(spark: SparkSession, folder: str) -> DataFrame:
     return language.predict(documents(spark, folder))
+
+
+@query("op10_imatch")
+def fingerprints(spark: SparkSession, folder: str) -> DataFrame:
+    return imatch.report(documents(spark, folder))
