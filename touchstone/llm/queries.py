@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from touchstone.llm import imatch, language, mixing, packing, secret_scan
+from touchstone.llm import imatch, language, mixing, packing, repeats, secret_scan
 from touchstone.llm.common import documents
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -72,3 +72,8 @@ def languages(spark: SparkSession, folder: str) -> DataFrame:
 @query("op10_imatch")
 def fingerprints(spark: SparkSession, folder: str) -> DataFrame:
     return imatch.report(documents(spark, folder))
+
+
+@query("op3_repeats")
+def repeated_bytes(spark: SparkSession, folder: str) -> DataFrame:
+    return repeats.remove(documents(spark, folder))
