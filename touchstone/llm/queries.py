@@ -5,8 +5,9 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from touchstone.llm import imatch, language, mixing, packing, repeats, secret_scan
+from touchstone.llm import imatch, language, lines, mixing, packing, repeats, secret_scan
 from touchstone.llm.common import documents
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -77,3 +78,9 @@ def fingerprints(spark: SparkSession, folder: str) -> DataFrame:
 @query("op3_repeats")
 def repeated_bytes(spark: SparkSession, folder: str) -> DataFrame:
     return repeats.remove(documents(spark, folder))
+
+
+@query("op8_line_dedup")
+def line_dedup(spark: SparkSession, folder: str) -> DataFrame:
+    kept = lines.deduplicate(documents(spark, folder))
+    return kept.select("doc_id", "n_lines", "n_removed", "n_runs", F.length("kept").cast("bigint").alias("n_kept"), "kept_sha256")
