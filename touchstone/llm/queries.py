@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from touchstone.llm import imatch, language, lines, mixing, multi_index, packing, repeats, secret_scan
+from touchstone.llm import imatch, language, lines, mixing, multi_index, near_join, packing, repeats, secret_scan
 from touchstone.llm.common import documents
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -91,3 +91,8 @@ def neighbours(spark: SparkSession, folder: str) -> DataFrame:
     schema = "vec_id BIGINT, embedding ARRAY<FLOAT>, label INT"
     vectors = spark.read.schema(schema).parquet(f"{folder}/embeddings.parquet")
     return multi_index.search(vectors, F.col("vec_id") % 100 == 0)
+
+
+@query("op7_near_join")
+def near_join_documents(spark: SparkSession, folder: str) -> DataFrame:
+    return near_join.join(documents(spark, folder))
