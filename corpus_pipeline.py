@@ -3,21 +3,50 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from touchstone.llm import mixing
+from touchstone.llm import language, lines, mixing, near_join, packing
 from touchstone.llm.common import documents, materialise
+from touchstone.llm.queries import tokenizer
 
 COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
 
 
+def known_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents in a language that the labels teach; the rest go."""
+    return language.accepted(docs.select(COLUMNS))
+
+
+def repeated_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """All documents, without the runs of lines that occur earlier."""
+    kept = lines.deduplicate(docs)
+    return kept.select("doc_id", F.col("kept").alias("text"), "lang", "source", F.length("kept").cast("bigint").alias("n_chars"))
+
+
+def near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each group of near copies, that with the smallest doc_id."""
+    return near_join.representatives(docs.select(COLUMNS))
+
+
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents as often as the mix of sources draws them."""
+    """Documents as often as the mix of sources draws them; those without words go."""
     return mixing.mixed(docs.select(COLUMNS))
 
 
-STAGES = [("mix_sources", mix_sources)]
+def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Pieces of the documents with their places in full sequences."""
+    return packing.pack(docs, tokenizer())
+
+
+STAGES = [
+    ("known_language", known_language),
+    ("repeated_lines", repeated_lines),
+    ("near_copies", near_copies),
+    ("mix_sources", mix_sources),
+    ("pack", pack),
+]
 
-#: Language prediction and the schedule of the mix have no SQL form; tests hold the stages against brute force.
+#: Language prediction, shingle sets and tokens have no SQL form; a test holds the stages against brute force.
 ORACLE_SQL = None
 
 

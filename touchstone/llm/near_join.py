@@ -43,8 +43,10 @@ SMALL_GROUP = 8
 CALL_GROUPS = 2000
 #: Bits of the filter for texts: so many for each wanted text, and at most.
 FILTER_BITS, FILTER_MOST = 16, 1 << 27
+#: Groups in which arrays of fixed size are folded before the driver folds those of the groups.
+PARTS = 64
 
-NODES = "doc_id BIGINT, doc BIGINT, mark BIGINT, node BIGINT, size BIGINT, bitmap BINARY, task BIGINT, counts BINARY"
+NODES = "doc_id BIGINT, doc BIGINT, mark BIGINT, node BIGINT, size BIGINT, bitmap BINARY, counts BINARY"
 ENTRIES = "bucket INT, shingles BINARY, nodes BINARY"
 GROUPS = "gid BIGINT, nodes ARRAY<BIGINT>"
 PAIRS = "a BIGINT, b BIGINT"
@@ -79,8 +81,7 @@ def keyed(docs: DataFrame) -> DataFrame:
 def nodes(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     """The node of every document, and in the end one row with the sketch of all shingles of the task."""
     counts = np.zeros(1 << SKETCH_BITS, dtype=np.int64)
-    names = ["doc_id", "doc", "mark", "node", "size", "bitmap", "task", "counts"]
-    task = 0
+    names = ["doc_id", "doc", "mark", "node", "size", "bitmap", "counts"]
     for batch, raw in byte_slices(batches):
         sets = shingle_sets(raw)
         for s in sets:
@@ -88,31 +89,35 @@ def nodes(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         small = [s for s in sets if len(s) <= 4096]
         if small:
             counts += np.bincount((np.concatenate(small) >> np.uint64(64 - SKETCH_BITS)).astype(np.int64), minlength=len(counts))
-        task = int(batch["mark"].iloc[0])
         rows = [
-            (i, d, m, node_of(s), len(s), bitmap(s), None, None)
+            (i, d, m, node_of(s), len(s), bitmap(s), None)
             for i, d, m, s in zip(batch["doc_id"], batch["doc"], batch["mark"], sets, strict=True)
         ]
-        yield pd.DataFrame(rows, columns=names).astype({"doc_id": "Int64", "task": "Int64"})
-    yield pd.DataFrame([(None, 0, 0, 0, 0, None, task, counts.tobytes())], columns=names).astype({"doc_id": "Int64"})
+        yield pd.DataFrame(rows, columns=names).astype({"doc_id": "Int64"})
+    yield pd.DataFrame([(None, 0, 0, 0, 0, None, counts.tobytes())], columns=names).astype({"doc_id": "Int64"})
 
 
-def add_counts(part: pd.DataFrame) -> pd.DataFrame:
-    total = np.zeros(1 << SKETCH_BITS, dtype=np.int64)
-    for counts in part["counts"]:
-        total += np.frombuffer(counts, np.int64)
-    return pd.DataFrame({"task": [0], "counts": [total.tobytes()]})
+def folded_rows(rows: DataFrame, column: str, dtype: type, fold: np.ufunc) -> np.ndarray | None:
+    """Arrays of one fixed size, held in `column`, folded into one: in PARTS groups first, then here."""
+
+    def halfway(part: pd.DataFrame) -> pd.DataFrame:
+        total = np.frombuffer(part[column].iloc[0], dtype)
+        for data in part[column].iloc[1:]:
+            total = fold(total, np.frombuffer(data, dtype))
+        return pd.DataFrame({column: [total.tobytes()]})
+
+    parts = rows.select(F.pmod(F.xxhash64(column), F.lit(PARTS)).alias("part"), column)
+    total = None
+    for row in parts.groupBy("part").applyInPandas(halfway, f"{column} BINARY").toLocalIterator():
+        some = np.frombuffer(row[column], dtype)
+        total = some if total is None else fold(total, some)
+    return total
 
 
 def rarity(table: DataFrame) -> np.ndarray:
     """For each cell of the sketch, the magnitude of its count over all documents. The size is fixed."""
-    parts = table.filter("counts IS NOT NULL").withColumn("part", F.pmod("task", F.lit(64)))
-    schema = "task BIGINT, counts BINARY"
-    halfway = parts.groupBy("part").applyInPandas(add_counts, schema)
-    total = np.zeros(1 << SKETCH_BITS, dtype=np.int64)
-    for row in halfway.toLocalIterator():
-        total += np.frombuffer(row["counts"], np.int64)
-    return np.log2(total + 1).astype(np.uint8)
+    total = folded_rows(table.filter("counts IS NOT NULL"), "counts", np.int64, np.add)
+    return np.log2(total + 1).astype(np.uint8) if total is not None else np.zeros(1 << SKETCH_BITS, np.uint8)
 
 
 def entries(magnitude, buckets: int) -> Callable[[Iterator[pd.DataFrame]], Iterator[pd.DataFrame]]:
@@ -241,11 +246,21 @@ def tile_pairs(call: pd.DataFrame) -> pd.DataFrame:
     return pd.DataFrame(sorted(found), columns=["a", "b"], dtype=np.int64)
 
 
-def wanted_texts(filter_bits) -> Callable[[Iterator[pd.DataFrame]], Iterator[pd.DataFrame]]:
+def filter_bits(size: int) -> Callable[[Iterator[pd.DataFrame]], Iterator[pd.DataFrame]]:
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        bits = np.zeros(size, dtype=bool)
+        for batch in batches:
+            bits[batch["mark"].to_numpy().view(np.uint64) % np.uint64(size)] = True
+        yield pd.DataFrame({"bits": [np.packbits(bits).tobytes()]})
+
+    return run
+
+
+def wanted_texts(held) -> Callable[[Iterator[pd.DataFrame]], Iterator[pd.DataFrame]]:
     """For mapInPandas: compressed texts of the documents that may be wanted."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        bits, pack = filter_bits.value, zstandard.ZstdCompressor(level=3)
+        bits, pack = held.value, zstandard.ZstdCompressor(level=3)
         for batch in batches:
             some = bits[batch["mark"].to_numpy().view(np.uint64) % np.uint64(len(bits))]
             kept = batch[some]
@@ -275,10 +290,8 @@ def with_texts(documents: DataFrame, table: DataFrame, pairs: DataFrame) -> Data
     wanted = pairs.select(F.col("a").alias("node")).union(pairs.select("b")).distinct()
     places = materialise(table.join(wanted, "node").select("node", "rep.doc", "rep.mark"), "near-wanted")
     size = int(min(FILTER_MOST, max(1024, FILTER_BITS * places.count())))
-    bits = np.zeros(size, dtype=bool)
-    cells = F.expr(f"CAST(conv(hex(mark), 16, 10) AS DECIMAL(20, 0)) % {size}").cast("bigint").alias("cell")
-    for row in places.select(cells).distinct().toLocalIterator():
-        bits[row["cell"]] = True
+    folded = folded_rows(places.select("mark").mapInPandas(filter_bits(size), "bits BINARY"), "bits", np.uint8, np.bitwise_or)
+    bits = np.unpackbits(folded, count=size).astype(bool)
     held = documents.sparkSession.sparkContext.broadcast(bits)
     texts = documents.select("doc", "mark", "text").mapInPandas(wanted_texts(held), "doc BIGINT, mark BIGINT, packed BINARY")
     found = materialise(texts.join(places, ["doc", "mark"]).select("node", "packed").dropDuplicates(["node"]), "near-texts")

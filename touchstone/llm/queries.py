@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from touchstone.llm import imatch, language, lines, mixing, multi_index, near_join, packing, repeats, secret_scan
+from touchstone.llm import imatch, language, licences, lines, mixing, multi_index, near_join, packing, repeats, secret_scan
 from touchstone.llm.common import documents
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -96,3 +96,8 @@ def neighbours(spark: SparkSession, folder: str) -> DataFrame:
 @query("op7_near_join")
 def near_join_documents(spark: SparkSession, folder: str) -> DataFrame:
     return near_join.join(documents(spark, folder))
+
+
+@query("op6_licences")
+def licence_families(spark: SparkSession, folder: str) -> DataFrame:
+    return licences.report(documents(spark, folder))
