@@ -77,7 +77,10 @@ def lexicon(documents: DataFrame, band: tuple[float, float] = IDF_BAND) -> DataF
 
 
 def edited(documents: DataFrame, nexts: DataFrame) -> DataFrame:
-    """Each document with its edited text: the last half replaced by the start of the next document."""
+    """Each document with its edited text: the last half replaced by the start of the next document.
+
+    Both joins read the same columns of the documents, so they share one shuffle of the texts.
+    """
     heads = documents.join(nexts.withColumnRenamed("key", "of").withColumnRenamed("next_key", "key"), "key").select(
         F.col("of").alias("key"), F.expr("substring(text, 1, half)").alias("head"), "half",
         F.col("key").alias("next_key"), F.col("doc_id").alias("next_doc_id"),
@@ -94,7 +97,7 @@ def fingerprints(documents: DataFrame, nexts: DataFrame, terms: DataFrame) -> Da
 
     about = F.struct(
         "doc_id", "next_key", F.length("text").cast("bigint").alias("n_chars"), F.sha2("edited", 256).alias("edited_sha256"),
-        all_terms("text").alias("whole"), all_terms("edited").alias("edited_whole"),
+        all_terms("text").alias("whole"), all_terms("edited").alias("edited_whole"), "next_doc_id",
     )
     rows = edited(documents, nexts).select("key", about.alias("about"), F.array("text", "edited").alias("texts"))
     texts = rows.select("key", "about", F.posexplode("texts").alias("which", "text"))
@@ -141,7 +144,7 @@ def likeness(a: str, b: str, whole_a: str, whole_b: str) -> Column:
 
 
 def report(docs: DataFrame, band: tuple[float, float] = IDF_BAND) -> DataFrame:
-    """Per document: doc_id, n_chars, edited_sha256, fingerprint, edited_fingerprint, near_edited, near_next."""
+    """Per document: doc_id, n_chars, edited_sha256, fingerprint, edited_fingerprint, near_edited, near_next, next_doc_id."""
     documents = keyed(docs)
     terms = materialise(lexicon(documents, band), "imatch-lexicon")
     prints = materialise(fingerprints(documents, next_documents(documents), terms), "imatch-prints")
@@ -150,5 +153,5 @@ def report(docs: DataFrame, band: tuple[float, float] = IDF_BAND) -> DataFrame:
         "doc_id", "n_chars", "edited_sha256", shown("own", "whole").alias("fingerprint"),
         shown("other", "edited_whole").alias("edited_fingerprint"),
         likeness("own", "other", "whole", "edited_whole").alias("near_edited"),
-        likeness("own", "next_own", "whole", "next_whole").alias("near_next"),
+        likeness("own", "next_own", "whole", "next_whole").alias("near_next"), "next_doc_id",
     )
