@@ -12,6 +12,7 @@ from touchstone.plans.access import (
     QueryError,
     ScopedCatalog,
     current_role,
+    role_table,
 )
 from touchstone.operators.contract_diff import IGNORED_PARTS
 from touchstone.plans.lakehouse import OWNERS, TABLES, UNOWNED, Lakehouse
@@ -31,22 +32,24 @@ def london(lake):
     return ScopedCatalog(lake, LONDON)
 
 
-def test_roles():
-    assert ROLES["analyst"].may_read("bronze_customers") and not ROLES["analyst"].unmask
-    assert ROLES["dq_auditor"].may_read("bronze_customers") and ROLES["dq_auditor"].unmask
-    assert LONDON.may_read("silver_customers_rejected") and not LONDON.may_read("bronze_customers")
+def test_roles(spark):
+    assert ROLES["analyst"].to("bronze_customers") and not ROLES["analyst"].reveals
+    assert ROLES["dq_auditor"].to("bronze_customers") and ROLES["dq_auditor"].reveals
+    assert LONDON.to("silver_customers_rejected") and "bronze_customers" not in LONDON.grants
+    table = role_table(spark).groupBy("role").count().collect()
+    assert {r["role"]: r["count"] for r in table} == {name: len(access.grants) for name, access in ROLES.items()}
 
 
 def test_denied_tables_are_named_in_order():
     with pytest.raises(AccessError, match="bronze_accounts, bronze_customers$"):
-        LONDON.require({"silver_customers", "bronze_customers", "bronze_accounts"})
-    LONDON.require(["silver_customers", "gold_customer_360"])
+        LONDON.to("silver_customers", "bronze_customers", "bronze_accounts")
+    assert len(LONDON.to("silver_customers", "gold_customer_360")) == 2
 
 
 def test_role_of_the_session(spark):
-    assert current_role(spark).name == "analyst"
+    assert current_role(spark).role == "analyst"
     spark.conf.set(ROLE_SETTING, "dq_auditor")
-    assert current_role(spark).name == "dq_auditor"
+    assert current_role(spark).role == "dq_auditor"
     spark.conf.set(ROLE_SETTING, "nope")
     with pytest.raises(AccessError, match="known roles: analyst, branch_ops_london, dq_auditor"):
         current_role(spark)
@@ -56,7 +59,7 @@ def test_role_of_the_session(spark):
 def test_scoped_rows(lake, london):
     counts = {r["table_name"]: r["n_rows"] for r in london.listing(OWNERS, UNOWNED).collect()}
     assert counts["silver_customers"] == 46 and counts["silver_accounts"] == 479
-    assert counts["silver_transactions"] == 1879 and set(counts) == LONDON.allowed_tables
+    assert counts["silver_transactions"] == 1879 and set(counts) == set(LONDON.grants)
     assert counts["silver_accounts_rejected"] > 0  # would be none by way of silver customers
     with pytest.raises(AccessError):
         london.table("bronze_customers")
@@ -115,12 +118,45 @@ def test_out_of_scope_data_cannot_be_named(spark, folder, london, tmp_path):
 def test_saved_tables_are_out_of_scope(spark, london, tmp_path):
     spark.range(3).write.mode("overwrite").option("path", str(tmp_path / "saved")).saveAsTable("saved_numbers")
     try:
+        for place in ("saved_numbers", "default.saved_numbers", "spark_catalog.default.saved_numbers"):
+            with pytest.raises(AccessError, match="saved tables"):
+                london.query(f"SELECT * FROM {place}")
         with pytest.raises(AccessError, match="saved tables"):
-            london.query("SELECT * FROM saved_numbers")
+            london.query("SELECT * FROM silver_customers WHERE customer_id IN (SELECT id FROM saved_numbers)")
     finally:
         spark.sql("DROP TABLE saved_numbers")
 
 
+def test_global_views_and_foreign_code_are_out_of_scope(spark, london):
+    spark.range(3).createOrReplaceGlobalTempView("everyone")
+    try:
+        for statement in (
+            "SELECT count(*) FROM global_temp.everyone",
+            "SELECT (SELECT count(*) FROM global_temp.everyone) AS n FROM silver_customers",
+            "WITH e AS (SELECT * FROM global_temp.everyone) SELECT * FROM e",
+        ):
+            with pytest.raises(AccessError, match="everyone"):
+                london.query(statement)
+    finally:
+        spark.catalog.dropGlobalTempView("everyone")
+    for call in ("java_method", "reflect", "try_reflect"):
+        with pytest.raises(AccessError, match="JVM"):
+            london.query(f"SELECT upper({call}('java.lang.System', 'getProperty', 'user.name')) FROM silver_customers")
+    assert london.query("SELECT 'spark_catalog.x' AS name").first()[0] == "spark_catalog.x"
+    made = london.query("SELECT * FROM VALUES (1), (2) AS t(a) UNION ALL SELECT id FROM range(3)")
+    assert made.count() == 5
+
+
+def test_inspection_statements(london):
+    columns = london.query("DESCRIBE silver_customers").collect()
+    assert columns == london.describe("silver_customers").collect() and columns[0]["n_values"] == 46
+    assert "London" in london.query("EXPLAIN SELECT * FROM silver_customers").first()[0]
+    with pytest.raises(AccessError):
+        london.query("DESC TABLE bronze_customers;")
+    with pytest.raises(AccessError):
+        london.query("EXPLAIN SELECT * FROM bronze_customers")
+
+
 def test_explain_shows_the_row_filter(london):
     assert "London" in london.explain("SELECT count(*) FROM silver_customers")
     with pytest.raises(QueryError):

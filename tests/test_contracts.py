@@ -137,8 +137,8 @@ def test_yaml_contract(tmp_path):
 
 def test_listed_values_of_a_rule(spark):
     text = "SELECT count(*) FROM t WHERE \"kyc\" IS NOT NULL and KYC NOT IN ('A', \"B\",'C')"
-    assert drift.enum_rule(text) == ("kyc", ["A", "B", "C"])
-    assert drift.enum_rule("SELECT count(*) FROM t WHERE a IS NOT NULL AND b NOT IN ('A')") is None
+    other = "SELECT count(*) FROM t WHERE a IS NOT NULL AND b NOT IN ('A')"
+    assert drift.listed_values(spark, [{"assertion": text}, {"assertion": other}]) == {"kyc": ["A", "B", "C"]}
     rules = spark.createDataFrame([("r", text), ("s", "SELECT 1")], "name STRING, assertion STRING")
     assert [r["value"] for r in drift.parse_enum_rules(rules).collect()] == ["A", "B", "C"]
 
@@ -195,8 +195,9 @@ def test_all_kinds_of_drift(spark):
         ("RULE_FAILING", "unreadable"): "breaking",
         ("RULE_FAILING", "two_tables"): "blocking",
     }
-    assert found["ENUM_EXPANDED", "kind"]["detail"].endswith(": C, D")
-    with pytest.raises(drift.DriftError, match="11 checks drifted"):
+    details = {r["detail"] for r in checks.filter("kind = 'ENUM_EXPANDED'").collect()}
+    assert details == {f"kind has a value outside the list: {v}, in 1 rows" for v in "CD"}
+    with pytest.raises(drift.DriftError, match="12 checks drifted"):
         drift.require_no_drift(checks)
 
 
@@ -208,12 +209,36 @@ def test_null_rate_may_deviate_by_the_tolerance(spark, nulls, drifts):
     assert drift.gate(checks).first()["n_drifts"] == drifts
 
 
-def test_a_report_shows_ten_values_and_counts_the_rest(spark):
-    df = spark.range(30).selectExpr("concat('v', lpad(id, 2, '0')) AS kind")
+def test_a_report_has_a_row_for_every_value_outside_a_list(spark):
+    df = spark.range(60).selectExpr("concat('v', lpad(id % 30, 2, '0')) AS kind")
     contract = {"schema": [], "quality_rules": CONTRACT["quality_rules"][:1]}
-    check = drift.checks(df, "t", contract, spark.sql, ["ENUM_EXPANDED"]).first()
-    assert check["observed"] == 30 and check["detail"].endswith("v08, v09 and 20 more")
-    assert drift.unexpected_values(df, "kind", ["A", "B"]).count() == 30
+    found = drift.report(drift.checks(df, "t", contract, spark.sql, ["ENUM_EXPANDED"])).collect()
+    assert len(found) == 30 and {r["observed"] for r in found} == {2.0}
+    assert {r["detail"] for r in found} == {f"kind has a value outside the list: v{i:02}, in 2 rows" for i in range(30)}
+
+
+def test_every_rule_gives_one_row_and_one_failure_stays_alone(spark):
+    rules = [
+        ("divides", "SELECT count(*) FROM t WHERE 1 / id > 5"),
+        ("grouped", "SELECT count(*) FROM t WHERE id >= 0 GROUP BY id % 2"),
+        ("limited", "SELECT count(*) FROM t WHERE id > 1 LIMIT 1"),
+        ("plain", "SELECT 0 * id FROM t"),
+        ("boolean", "SELECT max(id) > 2 FROM T"),
+        ("few", "SELECT count(*) FROM t WHERE id > 3"),
+        ("distinct", "SELECT count(*) - count(DISTINCT id) FROM t"),
+        ("unreadable", "SELECT FROM WHERE"),
+        ("lost", "SELECT count(*) FROM no_such_table"),
+    ]
+    df = spark.range(5)
+    df.createOrReplaceTempView("t")
+    contract = {"schema": [], "quality_rules": [{"name": n, "assertion": a, "severity": "blocking"} for n, a in rules]}
+    found = {r["subject"]: r for r in drift.checks(df, "t", contract, spark.sql, ["RULE_FAILING"]).collect()}
+    assert {n: r["observed"] for n, r in found.items()} == {
+        "divides": None, "grouped": 3.0, "limited": 3.0, "plain": 0.0, "boolean": 1.0, "few": 1.0, "distinct": 0.0,
+        "unreadable": None, "lost": None,
+    }
+    assert {n for n, r in found.items() if r["severity"] == "breaking" and r["drifted"]} == {"divides", "unreadable", "lost"}
+    assert "DIVIDE_BY_ZERO" in found["divides"]["detail"]
 
 
 def test_rules_of_one_table_share_a_pass(spark):

@@ -5,6 +5,7 @@ from __future__ import annotations
 from datetime import date, datetime
 
 import pytest
+from pyspark.sql import functions as F
 
 from touchstone.operators import copies, quality
 from touchstone.plans import medallion
@@ -166,6 +167,10 @@ def test_transactions_are_not_fanned_out(spark):
         assert gold[-4:] == (2, 150.0, 5, 3)
     check = medallion.fanout_check(held, spending).first()
     assert (check["right_total"], check["fanned_out_total"]) == (150.0, 550.0)
+    twice = held.filter("account_id = 2").withColumn("balance", F.lit(10.0)).select("customer_id", "account_id", "balance")
+    three = spark.createDataFrame([(i, 2, 1.0) for i in range(3)], "txn_id BIGINT, account_id BIGINT, amount DOUBLE")
+    check = medallion.fanout_check(twice.union(twice), three).first()
+    assert (check["right_total"], check["fanned_out_total"]) == (20.0, 60.0)
     losses = quality.transaction_losses(bronze, held, bronze["txn_ts"] <= NOW)
     assert {r["cause"]: r["n_rows"] for r in losses.collect()} == {
         "LOADED": 5,

@@ -6,6 +6,7 @@ import pytest
 from compare import connect, difference
 
 import __spark_entry__ as contract
+from touchstone.plans.queries import ORACLES, QUERIES
 
 ROWS_ONLY = {"catalog_json", "embed_documents", "search_catalog"}
 
@@ -15,18 +16,18 @@ def duck(folder):
     return connect(folder)
 
 
-@pytest.mark.parametrize("name", sorted(contract.oracle_sql()))
+@pytest.mark.parametrize("name", sorted(ORACLES))
 def test_query_agrees_with_sql(spark, folder, duck, name):
-    assert difference(contract.queries()[name](spark, folder), duck, contract.oracle_sql()[name]) == []
+    assert difference(QUERIES[name](spark, folder), duck, ORACLES[name]) == []
 
 
 @pytest.mark.parametrize("name", sorted(ROWS_ONLY))
 def test_rows_only_queries_return_rows(spark, folder, name):
-    assert contract.queries()[name](spark, folder).count() > 0
+    assert QUERIES[name](spark, folder).count() > 0
 
 
 def test_which_queries_have_no_sql():
-    assert set(contract.queries()) - set(contract.oracle_sql()) == ROWS_ONLY
+    assert set(QUERIES) - set(ORACLES) == ROWS_ONLY
 
 
 def test_entry(spark):

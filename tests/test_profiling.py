@@ -2,6 +2,8 @@ from __future__ import annotations
 
 from datetime import date
 
+from pyspark.sql.types import DoubleType
+
 from touchstone.operators import profiling
 
 PEOPLE = "id BIGINT, email STRING, born DATE, score DOUBLE, active BOOLEAN"
@@ -50,6 +52,23 @@ def test_large_whole_numbers_stay_exact(spark):
     assert row["samples"] == [str(-(2**60)), str(2**53), str(2**53 + 1)]
 
 
+def test_decimals_sort_as_numbers_and_doubles_have_no_exponent(spark):
+    df = spark.sql("SELECT CAST(v AS DECIMAL(9,1)) AS d FROM VALUES (100), (2), (30), (4), (500), (9), (10), (-3.5) AS t(v)")
+    row = by_column(profiling.profile(df, "t"))["d"]
+    assert row["samples"] == ["-3.5", "2.0", "4.0", "9.0", "10.0"] and row["distinct_count"] == 8
+    values = [1e-20, 3.5e-18, -1.25e-7, 1.5e7, 123456789.125, 1e300, -2e22, 0.5]
+    rows = spark.createDataFrame([(v,) for v in values], "v DOUBLE").selectExpr("v", f"{profiling.as_text('v', DoubleType())} AS t")
+    for r in rows.collect():
+        assert "E" not in r["t"] and float(r["t"]) == r["v"]
+    assert {r["t"] for r in rows.filter("abs(v) < 1e-10").collect()} == {"0.00000000000000000001", "0.0000000000000000035"}
+
+
+def test_odd_column_names(spark):
+    df = spark.createDataFrame([(1, 2)], ["it's", "back\\slash"])
+    assert set(by_column(profiling.profile(df, "t"))) == set(df.columns)
+    assert [r["column_name"] for r in profiling.column_listing({"t": df}).collect()] == df.columns
+
+
 def test_estimates_need_no_shuffle_of_values(spark):
     df = spark.range(1000).selectExpr("id", "id % 7 AS d")
     rows = by_column(profiling.profile(df, "t", exact=False))

@@ -72,4 +72,4 @@ def test_shuffle_partitions_follow_the_input():
     def partitions(size):
         return int(settings_for(size)["spark.sql.shuffle.partitions"])
 
-    assert partitions(10**9) == 200 and partitions(10 * 1024**4) == 20480 and partitions(100 * 1024**4) == 100_000
+    assert partitions(10**9) == 200 and partitions(10 * 1024**4) == 20480 and partitions(100 * 1024**4) == 204_800

@@ -61,7 +61,7 @@ def table_references(log: DataFrame, text: str, tables: list[str]) -> DataFrame:
 
 
 def json_document(schema: StructType) -> Column:
-    """A row as JSON text: moments in ISO form, NaN and missing values as null."""
+    """A row as JSON text: moments in ISO form with any part of a second, NaN and missing values as null."""
     fields = []
     for field in schema.fields:
         value = F.col(field.name)
@@ -70,6 +70,8 @@ def json_document(schema: StructType) -> Column:
         elif isinstance(field.dataType, DateType):
             value = F.date_format(value, "yyyy-MM-dd")
         elif isinstance(field.dataType, TimestampType | TimestampNTZType):
-            value = F.date_format(value, "yyyy-MM-dd'T'HH:mm:ss")
+            part = F.date_format(value, ".SSSSSS")
+            seconds = F.date_format(value, "yyyy-MM-dd'T'HH:mm:ss")
+            value = F.concat(seconds, F.when(part == ".000000", F.lit("")).otherwise(part))
         fields.append(value.alias(field.name))
     return F.to_json(F.struct(*fields), {"ignoreNullFields": "false"})

@@ -19,6 +19,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import (
     DataType,
     DateType,
+    DecimalType,
     DoubleType,
     FloatType,
     IntegralType,
@@ -66,18 +67,26 @@ def as_text(column: str, data_type: DataType) -> str:
     """SQL for a value as text; a double never gets an exponent."""
     if not isinstance(data_type, DoubleType | FloatType):
         return f"CAST({column} AS STRING)"
-    plain = f"regexp_replace(CAST(try_cast({column} AS DECIMAL(38,16)) AS STRING), '0+$', '')"
     text = f"CAST(CAST({column} AS DOUBLE) AS STRING)"
-    return (
-        f"CASE WHEN contains({text}, 'E') THEN coalesce(regexp_replace({plain}, '[.]$', '.0'), {text}) "
-        f"ELSE {text} END"
+    sign = f"CASE WHEN startswith({text}, '-') THEN '-' ELSE '' END"
+    digits = f"regexp_replace(regexp_replace(substring_index({text}, 'E', 1), '[-.]', ''), '0+$', '')"
+    power = f"CAST(substring_index({text}, 'E', -1) AS INT)"
+    small = f"concat({sign}, '0.', repeat('0', -{power} - 1), {digits})"
+    large = (
+        f"concat({sign}, left(rpad({digits}, {power} + 1, '0'), {power} + 1), '.', "
+        f"CASE WHEN length({digits}) > {power} + 1 THEN substring({digits}, {power} + 2) ELSE '0' END)"
     )
+    return f"CASE WHEN NOT contains({text}, 'E') THEN {text} WHEN {power} < 0 THEN {small} ELSE {large} END"
 
 
 def _quoted(name: str) -> str:
     return "`" + name.replace("`", "``") + "`"
 
 
+def _literal(text: str) -> str:
+    return "'" + text.replace("\\", "\\\\").replace("'", "\\'") + "'"
+
+
 def _inlined(rows: Sequence[str]) -> str:
     return f"inline(array({', '.join(rows)}))"
 
@@ -98,9 +107,8 @@ def _statistics(df: DataFrame, table: str) -> DataFrame:
             measures += [f"avg({column}) AS _mean_{i}", f"stddev_samp({column}) AS _sd_{i}"]
             low_number, high_number = f"CAST(_min_{i} AS DOUBLE)", f"CAST(_max_{i} AS DOUBLE)"
             mean, deviation = f"CAST(_mean_{i} AS DOUBLE)", f"_sd_{i}"
-        name = field.name.replace("'", "\\'")
         rows.append(
-            f"named_struct('table_name', '{table}', 'ordinal', {i}, 'column_name', '{name}', "
+            f"named_struct('table_name', '{table}', 'ordinal', {i}, 'column_name', {_literal(field.name)}, "
             f"'data_type', '{type_name(kind)}', 'row_count', _rows, 'null_count', _rows - _filled_{i}, "
             f"'min_text', {low}, 'max_text', {high}, 'min_number', {low_number}, 'max_number', {high_number}, "
             f"'mean', {mean}, 'stddev', {deviation})"
@@ -118,7 +126,8 @@ def distinct_values(tables: Mapping[str, DataFrame]) -> DataFrame:
     """Distinct values of every column of the tables.
 
     Numbers stay numbers, in `whole` or `real`, and other types are in `text`: fixed-width keys
-    are cheaper to hash and shuffle, and sort as numbers do.
+    are cheaper to hash and shuffle, and sort as numbers do. A decimal is in `text`, all its digits,
+    and in `real`, to sort by.
     """
 
     def cells(position: int, df: DataFrame) -> DataFrame:
@@ -130,6 +139,8 @@ def distinct_values(tables: Mapping[str, DataFrame]) -> DataFrame:
                 value["whole"] = column
             elif isinstance(kind, DoubleType | FloatType):
                 value["real"] = column
+            elif isinstance(kind, DecimalType):
+                value["real"] = value["text"] = column
             else:
                 value["text"] = column
             rows.append(
@@ -325,7 +336,7 @@ def column_listing(tables: Mapping[str, DataFrame]) -> DataFrame:
         fields = list(enumerate(df.schema.fields, start=1))
         filled = df.selectExpr(*[f"count({_quoted(f.name)}) AS _{i}" for i, f in fields])
         rows = [
-            f"named_struct('table_name', '{table}', 'ordinal', {i}, 'column_name', '{f.name}', "
+            f"named_struct('table_name', '{table}', 'ordinal', {i}, 'column_name', {_literal(f.name)}, "
             f"'data_type', '{type_name(f.dataType)}', 'n_values', _{i})"
             for i, f in fields
         ]

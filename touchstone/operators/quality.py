@@ -206,6 +206,12 @@ def city_spellings(customers: DataFrame, as_of: datetime) -> DataFrame:
     )
 
 
+def unknown_cities(customers: DataFrame, as_of: datetime) -> DataFrame:
+    """The spellings outside the known cities, with how many rows hold each."""
+    outside = F.expr(landed_customer_rules(as_of)["R8"].violation)
+    return customers.filter(outside).groupBy("city").agg(F.count(F.lit(1)).alias("n_rows"))
+
+
 def shared_emails(customers: DataFrame) -> DataFrame:
     return (
         customers.filter(F.col("email").isNotNull())

@@ -10,7 +10,7 @@ from __future__ import annotations
 
 import re
 from collections.abc import Iterable, Mapping, Sequence
-from dataclasses import dataclass, field
+from dataclasses import dataclass
 
 from pyspark.errors import AnalysisException, ParseException
 from pyspark.sql import DataFrame, SparkSession
@@ -25,6 +25,8 @@ from touchstone.session import isolated
 ROLE_SETTING = "touchstone.role"
 DEFAULT_ROLE = "analyst"
 MAX_ROWS = 200
+DESCRIBE = re.compile(r"\s*DESC(?:RIBE)?\s+(?:TABLE\s+)?`?(\w+)`?\s*;?\s*", re.I)
+EXPLAIN = re.compile(r"\s*EXPLAIN\s+(?:EXTENDED\s+|FORMATTED\s+)?(.+)", re.I | re.S)
 
 
 class AccessError(RuntimeError):
@@ -36,113 +38,134 @@ class QueryError(RuntimeError):
 
 
 @dataclass(frozen=True)
-class Where:
-    """Rows that meet a SQL condition on their own columns."""
+class Grant:
+    """A row of the role table: a role may read the rows of a table that meet a condition.
 
-    condition: str
+    With a path of (key, parent), the condition is on the last parent, and a row is read if its
+    key is among the rows of the parent that are reached.
+    """
 
+    role: str
+    table_name: str
+    condition: str = "true"
+    path: tuple[tuple[str, str], ...] = ()
 
-@dataclass(frozen=True)
-class Through:
-    """Rows whose key is among the filtered rows of a parent table."""
 
-    key: str
-    parent: str
-    rows: Where | Through
+IN_LONDON, LANDED_IN_LONDON = "city = 'London'", "upper(trim(city)) = 'LONDON'"
+BY_CUSTOMER = ("customer_id", "silver_customers")
 
+# The roles, their tables and their rows, and the roles that see personal values.
+GRANTS = [
+    *[Grant("analyst", name) for name in TABLES],
+    *[Grant("dq_auditor", name) for name in TABLES],
+    Grant("branch_ops_london", "silver_customers", IN_LONDON),
+    Grant("branch_ops_london", "silver_accounts", IN_LONDON, (BY_CUSTOMER,)),
+    Grant("branch_ops_london", "silver_transactions", IN_LONDON, (("account_id", "silver_accounts"), BY_CUSTOMER)),
+    # No rejected account has a silver customer, so its city is looked up in bronze.
+    Grant("branch_ops_london", "silver_accounts_rejected", LANDED_IN_LONDON, (("customer_id", "bronze_customers"),)),
+    Grant("branch_ops_london", "silver_customers_rejected", LANDED_IN_LONDON),
+    Grant("branch_ops_london", "gold_customer_360", IN_LONDON),
+]
+REVEALING = {"dq_auditor"}
 
-@dataclass(frozen=True)
-class Role:
-    name: str
-    allowed_tables: frozenset[str] | None = None  # None allows all
-    row_filters: Mapping[str, Where | Through] = field(default_factory=dict)
-    unmask: bool = False
-
-    def may_read(self, table: str) -> bool:
-        return self.allowed_tables is None or table in self.allowed_tables
-
-    def require(self, tables: Iterable[str]) -> None:
-        denied = sorted(t for t in tables if not self.may_read(t))
-        if denied:
-            raise AccessError(f"role {self.name} may not read {', '.join(denied)}")
-
-
-LONDON = Where("city = 'London'")
-LONDON_CUSTOMERS = Through("customer_id", "silver_customers", LONDON)
-LANDED_LONDON = Where("upper(trim(city)) = 'LONDON'")
-
-# The roles, their tables and their rows.
-ROLES = {
-    "analyst": Role("analyst"),
-    "dq_auditor": Role("dq_auditor", unmask=True),
-    "branch_ops_london": Role(
-        "branch_ops_london",
-        allowed_tables=frozenset(
-            [
-                "silver_customers",
-                "silver_accounts",
-                "silver_transactions",
-                "silver_accounts_rejected",
-                "silver_customers_rejected",
-                "gold_customer_360",
-            ]
-        ),
-        row_filters={
-            "silver_customers": LONDON,
-            "gold_customer_360": LONDON,
-            "silver_accounts": LONDON_CUSTOMERS,
-            "silver_transactions": Through("account_id", "silver_accounts", LONDON_CUSTOMERS),
-            # No rejected account has a silver customer, so its city is looked up in bronze.
-            "silver_accounts_rejected": Through("customer_id", "bronze_customers", LANDED_LONDON),
-            "silver_customers_rejected": LANDED_LONDON,
-        },
-    ),
-}
-
-
-def role_named(name: str) -> Role:
-    if name not in ROLES:
-        raise AccessError(f"unknown role {name}; known roles: {', '.join(sorted(ROLES))}")
-    return ROLES[name]
-
-
-def current_role(spark: SparkSession) -> Role:
-    """The role that whoever started the session has set; a query cannot change it."""
-    return role_named(spark.conf.get(ROLE_SETTING, DEFAULT_ROLE))
 
+def role_table(spark: SparkSession, grants: Iterable[Grant] = GRANTS) -> DataFrame:
+    """The grants as a table: role, table_name, condition, path, reveals."""
+    rows = [(g.role, g.table_name, g.condition, list(g.path), g.role in REVEALING) for g in grants]
+    path = "path ARRAY<STRUCT<key: STRING, parent: STRING>>"
+    return spark.createDataFrame(rows, f"role STRING, table_name STRING, condition STRING, {path}, reveals BOOLEAN")
+
+
+class Access:
+    """The grants of one role by table."""
+
+    def __init__(self, role: str, grants: Sequence[Grant] = GRANTS) -> None:
+        self.role = role
+        self.reveals = role in REVEALING
+        self.grants = {grant.table_name: grant for grant in grants if grant.role == role}
+        if not self.grants:
+            raise AccessError(f"unknown role {role}; known roles: {', '.join(sorted({g.role for g in grants}))}")
+
+    def to(self, *tables: str) -> list[Grant]:
+        """The grants to some tables; an error names all tables that there is none for."""
+        if refused := sorted({*tables} - self.grants.keys()):
+            raise AccessError(f"role {self.role} may not read {', '.join(refused)}")
+        return [self.grants[table] for table in tables]
 
-def filtered(df: DataFrame, rows: Where | Through | None, lake: Lakehouse) -> DataFrame:
-    if rows is None:
-        return df
-    if isinstance(rows, Where):
-        return df.filter(rows.condition)
-    parents = keys(filtered(lake[rows.parent], rows.rows, lake), rows.key)
-    return df.join(parents, rows.key, "left_semi").select(*df.columns)
+
+ROLES = {name: Access(name) for name in dict.fromkeys(grant.role for grant in GRANTS)}
+
+
+def current_role(spark: SparkSession) -> Access:
+    """The role that whoever started the session has set; a query cannot change it."""
+    return Access(spark.conf.get(ROLE_SETTING, DEFAULT_ROLE))
+
+
+def granted_rows(df: DataFrame, grant: Grant, lake: Lakehouse) -> DataFrame:
+    """The rows of a table that a grant covers, by way of the parents on its path."""
+    chain = [df, *[lake[parent] for _, parent in grant.path]]
+    rows = chain.pop().filter(grant.condition)
+    for key, _ in reversed(grant.path):
+        child = chain.pop()
+        rows = child.join(keys(rows, key), key, "left_semi").select(*child.columns)
+    return rows
+
+
+# What a query's plan may consist of besides the role's views: rows it makes up itself, and names in it.
+OWN_ROWS = {"OneRowRelation", "LocalRelation", "Range", "CTERelationRef", "UnionLoopRef"}
+FOREIGN_CODE = {"CallMethodViaReflection", "TryReflect"}
+
+
+def _require_scope(plan, names: set[str]) -> None:
+    """Refuse an analysed plan that reads anything but the role's views, or calls into the JVM."""
+    nodes = [plan]
+    while nodes:
+        node = nodes.pop()
+        kind = node.getClass().getSimpleName()
+        if kind == "View":
+            view = node.desc().identifier()
+            if view.table() not in names or view.database().isDefined() or view.catalog().isDefined():
+                raise AccessError(f"{view.unquotedString()} is not in scope")
+            continue
+        expressions = _listed(node.expressions())
+        while expressions:
+            expression = expressions.pop()
+            if expression.getClass().getSimpleName() in FOREIGN_CODE:
+                raise AccessError("calls into the JVM are not in scope")
+            expressions += _listed(expression.children())
+        inner = _listed(node.children()) + _listed(node.innerChildren()) + _listed(node.subqueries())
+        if not inner and kind.rstrip("$") not in OWN_ROWS:
+            raise AccessError("only the tables of the role are in scope, not saved tables or files")
+        nodes += inner
+
+
+def _listed(sequence) -> list:
+    """A sequence of the JVM as a list; a node may list itself with others that are not plans or expressions."""
+    return [sequence.apply(i) for i in range(sequence.size())]
 
 
 class ScopedCatalog:
     """What one role sees of a lakehouse."""
 
-    def __init__(self, lake: Lakehouse, role: Role) -> None:
+    def __init__(self, lake: Lakehouse, role: Access) -> None:
         self.lake = lake
         self.role = role
 
     @property
     def names(self) -> list[str]:
-        return [name for name in TABLES if self.role.may_read(name)]
+        return [name for name in TABLES if name in self.role.grants]
 
     def table(self, name: str, masked: bool = False) -> DataFrame:
         """The role's rows of a table; with `masked`, personal columns hidden as its rights say."""
-        self.role.require([name])
-        rows = self.role.row_filters.get(name)
-        df = filtered(self._unfiltered(name, rows), rows, self.lake)
-        return profiling.hide_personal(df) if masked and not self.role.unmask else df
-
-    def _unfiltered(self, name: str, rows: Where | Through | None) -> DataFrame:
-        """A filter through the accounts makes the account check of the transactions unneeded."""
-        if name == "silver_transactions" and isinstance(rows, Through) and rows.parent == "silver_accounts":
+        (grant,) = self.role.to(name)
+        df = granted_rows(self._unfiltered(grant), grant, self.lake)
+        return profiling.hide_personal(df) if masked and not self.role.reveals else df
+
+    def _unfiltered(self, grant: Grant) -> DataFrame:
+        """A path through the accounts makes the account check of the transactions unneeded."""
+        if grant.table_name == "silver_transactions" and ("account_id", "silver_accounts") in grant.path:
             return self.lake.conformed_transactions
-        return self.lake[name]
+        return self.lake[grant.table_name]
 
     def listing(self, owners: Mapping[str, str], unowned: str) -> DataFrame:
         """The role's tables with layer, owner and the number of rows it can see."""
@@ -163,24 +186,32 @@ class ScopedCatalog:
     def profile(self, name: str, columns: Sequence[str] | None = None) -> DataFrame:
         """The profile of the role's rows; personal values are masked unless it may see them."""
         df = self.table(name)
-        return profiling.profile(df.select(*columns) if columns else df, name, mask=not self.role.unmask)
+        return profiling.profile(df.select(*columns) if columns else df, name, mask=not self.role.reveals)
 
     def query(self, statement: str) -> DataFrame:
-        """Run one read statement on the role's rows.
+        """Run one read statement on the role's rows: a query, DESCRIBE of a table, or EXPLAIN of a query.
 
-        The statement runs in a session of its own that holds only the role's tables as views, so
-        a name is either one of them or unknown. Inside the parentheses of a FROM clause Spark
-        accepts a query and nothing else.
+        The statement runs in a session of its own that holds only the role's tables as views, and
+        its plan must consist of them: global views, saved tables and other catalogs are found
+        there whatever they are called. Inside the parentheses of a FROM clause Spark accepts a
+        query and nothing else.
         """
+        if described := DESCRIBE.fullmatch(statement):
+            name = described[1].lower()
+            self.role.to(name)
+            return self.describe(name)
+        if explained := EXPLAIN.fullmatch(statement):
+            return self.lake.spark.createDataFrame([(self.explain(explained[1]),)], "plan STRING")
+        return self._scoped(statement)[2]
+
+    def _scoped(self, statement: str) -> tuple[SparkSession, str, DataFrame]:
         child, text = self._prepared(statement)
         try:
             result = child.sql(text)
-            plan = child.sql(f"EXPLAIN EXTENDED {text}").first()[0]
         except (AnalysisException, ParseException) as error:
             raise QueryError(f"not a query over your tables: {error}") from error
-        if "spark_catalog." in plan.partition("== Optimized Logical Plan ==")[0]:
-            raise AccessError("saved tables of the session catalog are not in scope")
-        return result
+        _require_scope(result._jdf.queryExecution().analyzed(), {*self.names})
+        return child, text, result
 
     def _prepared(self, statement: str) -> tuple[SparkSession, str]:
         """A session with the role's views that a statement names, and the statement as a subquery."""
@@ -188,15 +219,14 @@ class ScopedCatalog:
         child = isolated(self.lake.spark)
         scoped = ScopedCatalog(self.lake.in_session(child), self.role)
         named = [name for name in TABLES if re.search(rf"\b{name}\b", text, re.I)]
-        self.role.require(named)
+        self.role.to(*named)
         for name in named:
             scoped.table(name).createOrReplaceTempView(name)
         return child, f"SELECT * FROM (\n{text}\n) AS result"
 
     def explain(self, statement: str) -> str:
         """The plan of a statement, with the row filters it runs under."""
-        self.query(statement)
-        child, text = self._prepared(statement)
+        child, text, _ = self._scoped(statement)
         return child.sql(f"EXPLAIN FORMATTED {text}").first()[0]
 
     def fetch(self, statement: str) -> dict:
@@ -215,6 +245,4 @@ class ScopedCatalog:
 
     def contract_columns(self, columns: DataFrame, table_column: str = "contract_id") -> DataFrame:
         """The columns of the contracts of tables the role may read."""
-        if self.role.allowed_tables is None:
-            return columns
-        return columns.filter(F.col(table_column).isin(sorted(self.role.allowed_tables)))
+        return columns.filter(F.col(table_column).isin(sorted(self.role.grants)))

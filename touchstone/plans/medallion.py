@@ -182,6 +182,7 @@ def account_activity(accounts: DataFrame, transactions: DataFrame) -> DataFrame:
         "balance",
         F.coalesce(F.col("n_txns") * F.col("_rows"), none).alias("n_txns"),
         F.coalesce(F.col("n_large_txns") * F.col("_rows"), none).alias("n_large_txns"),
+        F.col("_rows").alias("n_rows"),
     )
 
 
@@ -228,7 +229,8 @@ def gold_monthly_channel_volume(transactions: DataFrame) -> DataFrame:
 def fanout_check(accounts: DataFrame, transactions: DataFrame) -> DataFrame:
     """Per customer, the balance total and what it becomes when accounts are joined to their
     transactions before summing. The joined rows are counted, not built."""
-    repeated = F.col("balance") * F.greatest(F.col("n_txns"), F.lit(1))
+    # An account listed twice has its balance and its transactions counted twice already.
+    repeated = F.col("balance") * F.greatest(F.expr("n_txns div n_rows"), F.lit(1))
     return (
         account_activity(accounts, transactions)
         .groupBy("customer_id")

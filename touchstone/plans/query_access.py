@@ -120,7 +120,7 @@ def _visible(lake: Lakehouse) -> DataFrame:
         F.explode(F.array(F.lit("analyst"), F.lit("dq_auditor"))).alias("role"), "table_name", "owner", "n_rows"
     )
     london = ScopedCatalog(lake, LONDON).listing(OWNERS, UNOWNED)
-    return everything.unionByName(london.select(F.lit(LONDON.name).alias("role"), "table_name", "owner", "n_rows"))
+    return everything.unionByName(london.select(F.lit(LONDON.role).alias("role"), "table_name", "owner", "n_rows"))
 
 
 def _personal_oracle(role: str, masked: bool, relation: str) -> str:

@@ -230,12 +230,16 @@ def _date_functions(lake: Lakehouse) -> DataFrame:
 @over_tables(
     "json_safe_rows",
     "SELECT txn_id, account_id, CAST(json_object('txn_id', txn_id, 'amount', CASE WHEN txn_id % 101 <> 0 THEN amount END, "
-    "'txn_ts', strftime(txn_ts, '%Y-%m-%dT%H:%M:%S'), 'channel', channel) AS VARCHAR) AS document "
-    "FROM silver_transactions",
+    "'txn_ts', strftime(txn_ts, '%Y-%m-%dT%H:%M:%S') || CASE WHEN part > 0 THEN '.' || lpad(CAST(part AS VARCHAR), 6, '0') ELSE '' END, 'channel', channel) AS VARCHAR) AS document "
+    "FROM (SELECT * REPLACE (txn_ts + to_microseconds(txn_id % 7 * 104729) AS txn_ts), txn_id % 7 * 104729 AS part "
+    "FROM silver_transactions)",
 )
 def _json_rows(lake: Lakehouse) -> DataFrame:
-    measured = lake["silver_transactions"].withColumn(
-        "amount", F.when(F.col("txn_id") % 101 == 0, F.lit(float("nan"))).otherwise(F.col("amount"))
+    measured = lake["silver_transactions"].withColumns(
+        {
+            "amount": F.when(F.col("txn_id") % 101 == 0, F.lit(float("nan"))).otherwise(F.col("amount")),
+            "txn_ts": F.expr("txn_ts + make_dt_interval(0, 0, 0, (txn_id % 7 * 104729) / 1000000BD)"),
+        }
     )
     return measured.select(
         "txn_id",

@@ -226,6 +226,11 @@ over_tables(
     f"(WHERE {ROW_CONDITIONS['R8']}) AS n_cities, count(DISTINCT city) AS n_spellings FROM bronze_customers",
 )(lambda lake: quality.city_spellings(lake["bronze_customers"], lake.as_of))
 
+over_tables(
+    "dq_r8_cities",
+    f"SELECT city, count(*) AS n_rows FROM bronze_customers WHERE {ROW_CONDITIONS['R8']} GROUP BY city",
+)(lambda lake: quality.unknown_cities(lake["bronze_customers"], lake.as_of))
+
 over_tables(
     "dq_r12",
     "SELECT email, count(*) AS n_customers FROM (SELECT DISTINCT email, customer_id FROM bronze_customers "

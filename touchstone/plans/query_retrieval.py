@@ -45,7 +45,7 @@ def _ranked(index: str) -> str:
     )
 
 
-READABLE = ", ".join(f"'{t}'" for t in sorted(LONDON.allowed_tables))
+READABLE = ", ".join(f"'{t}'" for t in sorted(LONDON.grants))
 CTES["nearest"] = _ranked("")
 CTES["nearest_readable"] = _ranked(f"WHERE table_name IN ({READABLE})")
 
@@ -73,7 +73,7 @@ def _topk(spark: SparkSession, folder: str) -> DataFrame:
 )
 def _topk_scoped(spark: SparkSession, folder: str) -> DataFrame:
     index = embeddings(spark, folder).withColumn("table_name", labelled_table())
-    readable = index.filter(F.col("table_name").isin(sorted(LONDON.allowed_tables)))
+    readable = index.filter(F.col("table_name").isin(sorted(LONDON.grants)))
     return nearest(readable, label_queries(index), "table_name").withColumn("score", F.round("score", 3))
 
 
@@ -109,4 +109,4 @@ def _embed_documents(spark: SparkSession, folder: str) -> DataFrame:
 @over_tables("search_catalog")
 def _search_catalog(lake: Lakehouse) -> DataFrame:
     cards = profiling.cards(whole_catalog(lake))
-    return retrieval.search_cards(cards, "customer email and date of birth", 3, sorted(LONDON.allowed_tables))
+    return retrieval.search_cards(cards, "customer email and date of birth", 3, sorted(LONDON.grants))

@@ -31,7 +31,7 @@ def settings_for(input_bytes: int) -> dict[str, str]:
     their number is set for the whole input: about half a gigabyte each, which fits a task's
     memory or spills once. Merging then aims at that size rather than at one task per core.
     """
-    partitions = max(200, min(100_000, input_bytes // (512 * 1024**2)))
+    partitions = max(200, input_bytes // (512 * 1024**2))
     return {
         "spark.sql.shuffle.partitions": str(partitions),
         "spark.sql.files.maxPartitionBytes": "256m",
@@ -40,11 +40,15 @@ def settings_for(input_bytes: int) -> dict[str, str]:
     }
 
 
-def build_session(app: str = "touchstone", master: str | None = None, **settings: str) -> SparkSession:
+def build_session(
+    app: str = "touchstone", master: str | None = None, input_bytes: int | None = None, **settings: str
+) -> SparkSession:
+    """A session with this package's settings; with `input_bytes`, sized for a job that reads so much."""
+    sized = settings_for(input_bytes) if input_bytes is not None else {}
     builder = SparkSession.builder.appName(app)
     if master:
         builder = builder.master(master)
-    for key, value in {**SETTINGS, **settings}.items():
+    for key, value in {**SETTINGS, **sized, **settings}.items():
         builder = builder.config(key, value)
     return builder.getOrCreate()
 

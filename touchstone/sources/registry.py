@@ -82,12 +82,12 @@ OLD_HEADERS = {
         "CAST(o_orderkey % 7 AS STRING)"
     ),
     "domain": "'domain ' || o_orderpriority",
-    "owner": "'team' || CAST(o_custkey % 20 AS STRING) || '@bank.internal'",
+    "owner": "'team' || CAST(o_custkey % 20 AS STRING) || '@example.com'",
     "description": "'orders of ' || CAST(o_custkey AS STRING)",
     "freshness": "CASE o_orderkey % 4 WHEN 0 THEN NULL WHEN 1 THEN 'hourly' ELSE 'daily' END",
 }
 NEW_HEADERS = OLD_HEADERS | {
-    "owner": f"CASE WHEN o_custkey % 9 = 0 THEN 'office@bank.internal' ELSE {OLD_HEADERS['owner']} END",
+    "owner": f"CASE WHEN o_custkey % 9 = 0 THEN 'office@example.com' ELSE {OLD_HEADERS['owner']} END",
     "freshness": f"CASE WHEN o_orderkey % 6 = 0 THEN 'weekly' ELSE {OLD_HEADERS['freshness']} END",
 }
 
