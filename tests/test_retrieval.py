@@ -49,12 +49,10 @@ def test_passes_do_not_change_the_result(index, vectors, monkeypatch):
     assert sorted(map(tuple, retrieval.top_k(index, queries, 3).collect())) == whole
 
 
-def test_hits_get_columns_with_and_without_broadcast(index, vectors, monkeypatch):
+def test_hits_get_columns(index, vectors):
     described = index.withColumn("name", index["vec_id"].cast("string"))
     hits = retrieval.top_k(index, [(0, [float(x) for x in vectors[3]])], 2)
-    rows = sorted(map(tuple, retrieval.with_columns_of(described, hits, 2, "vec_id", "name").collect()))
-    monkeypatch.setattr(retrieval, "BROADCAST_HITS", 0)
-    assert sorted(map(tuple, retrieval.with_columns_of(described, hits, 2, "vec_id", "name").collect())) == rows
+    rows = sorted(map(tuple, retrieval.with_columns_of(described, hits, "vec_id", "name").collect()))
     assert rows[0][1] == str(rows[0][0])
 
 

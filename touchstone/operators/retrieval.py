@@ -33,7 +33,6 @@ SCORES_HELD = 4_000_000
 # Scores are compared at this many decimals, so equal vectors tie in every batch.
 DECIMALS = 9
 DIMENSIONS = 384
-BROADCAST_HITS = 1_000_000
 
 
 def _best(queries: np.ndarray, scores: np.ndarray, ids: np.ndarray, k: int):
@@ -136,14 +135,9 @@ def queries_from(df: DataFrame, id_column: str, vector_column: str) -> list[tupl
     return [(row[0], row[1]) for row in df.select(id_column, vector_column).toLocalIterator()]
 
 
-def with_columns_of(index: DataFrame, hits: DataFrame, at_most: int, id_column: str, *columns: str) -> DataFrame:
-    """Hits with columns of the index rows they point to.
-
-    `at_most` is k times the number of queries. Up to BROADCAST_HITS the hits are sent to the
-    index, which then is not shuffled; more are joined like any other table.
-    """
-    sent = F.broadcast(hits) if at_most <= BROADCAST_HITS else hits
-    return index.select(id_column, *columns).join(sent, id_column)
+def with_columns_of(index: DataFrame, hits: DataFrame, id_column: str, *columns: str) -> DataFrame:
+    """Hits with columns of the index rows they point to. Adaptive execution sends few hits to the index."""
+    return index.select(id_column, *columns).join(hits, id_column)
 
 
 def citations(hits: DataFrame, name: str) -> DataFrame:
@@ -189,6 +183,6 @@ def search_cards(cards: DataFrame, question: str, k: int, allowed: Sequence[str]
     asked = embed(model, cards.sparkSession.createDataFrame([(question,)], "card STRING")).first()
     readable = cards if allowed is None else cards.filter(F.col("table_name").isin(list(allowed)))
     hits = top_k(embed(model, readable, "table_name"), [(0, asked["embedding"])], k, "table_name")
-    return with_columns_of(cards, hits, k, "table_name", "card").select(
+    return with_columns_of(cards, hits, "table_name", "card").select(
         "table_name", F.round("score", 3).alias("score"), "rank", "card"
     )

@@ -55,7 +55,7 @@ def nearest(index: DataFrame, requests: DataFrame, *columns: str) -> DataFrame:
     hits = retrieval.top_k(index, queries, K)
     if not columns:
         return hits
-    return retrieval.with_columns_of(index, hits, K * len(queries), "vec_id", *columns)
+    return retrieval.with_columns_of(index, hits, "vec_id", *columns)
 
 
 @over_folder(
