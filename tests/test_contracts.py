@@ -8,7 +8,7 @@ import json
 import pytest
 
 from touchstone.operators import contract_diff, drift
-from touchstone.sources import contracts
+from touchstone.sources import contracts, tables
 
 COLUMN = "contract_id STRING, name STRING, type STRING, nullable BOOLEAN, pii BOOLEAN, description STRING"
 RULE = "contract_id STRING, name STRING, severity STRING, assertion STRING"
@@ -59,7 +59,7 @@ def test_rule_changes(spark):
     }
 
 
-def test_versions_and_history(spark):
+def test_versions_and_history(spark, tmp_path):
     old = spark.createDataFrame(
         [(i, v, "d", "o", "x", None, [(v, "first")]) for i, v in [("a", "2.0.0"), ("b", "2.3.1"), ("c", "2.3.1")]], HEADER
     )
@@ -77,8 +77,16 @@ def test_versions_and_history(spark):
         ("3.0.0", "0 additive, 1 breaking, 1 metadata"),
         ("2.0.0", "first"),
     ]
+    written = contract_diff.promote(str(tmp_path), old, new, headers.unionByName(columns))
+    assert sorted(map(str, written.collect())) == sorted(map(str, contract_diff.promoted(new, versions).collect()))
+    log = tables.read_current(spark, str(tmp_path), "contract_history")
+    assert sorted(map(str, log.collect())) == sorted(map(str, contract_diff.history(old, versions).collect()))
     promoted = contract_diff.promoted(new, versions).filter("contract_id = 'b'").first()
     assert (promoted["version"], promoted["owner"]) == ("2.4.0", "p")
+    text = contract_diff.document(headers.unionByName(columns), "a").orderBy("position").collect()
+    lines = [r["line"] for r in text]
+    assert lines[0] == "# a" and "consumer_guarantees" in lines[2] and lines[4:6] == contract_diff.REPORT_HEAD and len(lines) == 8
+    assert contract_diff.document(headers, "z").orderBy("position").collect()[-1]["line"] == contract_diff.NO_CHANGES
 
 
 def test_losing_a_rule_is_a_major_version(spark, tmp_path):
@@ -197,6 +205,9 @@ def test_all_kinds_of_drift(spark):
     }
     details = {r["detail"] for r in checks.filter("kind = 'ENUM_EXPANDED'").collect()}
     assert details == {f"kind has a value outside the list: {v}, in 1 rows" for v in "CD"}
+    text = [r["line"] for r in drift.document(checks, "t").orderBy("position").collect()]
+    assert text[2:4] == drift.REPORT_HEAD and len(text) == 16 and text[4].startswith("| ENUM_EXPANDED | kind")
+    assert drift.document(checks.limit(0), "t").orderBy("position").collect()[-1]["line"] == drift.NO_DRIFT
     with pytest.raises(drift.DriftError, match="12 checks drifted"):
         drift.require_no_drift(checks)
 

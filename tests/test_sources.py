@@ -41,8 +41,17 @@ def test_refresh_replaces_and_append_adds(spark, tmp_path):
     folder = str(tmp_path)
     tables.write_full_refresh(spark.range(5), folder, "t")
     assert tables.write_full_refresh(spark.range(3), folder, "t").count() == 3
+    broken = spark.range(4).selectExpr("raise_error('lost') AS id")
+    with pytest.raises(Exception, match="lost"):
+        tables.write_full_refresh(broken, folder, "t")
+    assert tables.read_current(spark, folder, "t").count() == 3  # a failed refresh leaves the table as it was
+    for n in (1, 2, 6):
+        tables.write_full_refresh(spark.range(n), folder, "t")
+    assert tables.read_current(spark, folder, "t").count() == 6 and len(tables.versions(spark, folder, "t")) == 2
+    with pytest.raises(FileNotFoundError):
+        tables.read_current(spark, folder, "nothing")
     tables.append_rows(spark.range(2), folder, "t")
-    assert spark.read.parquet(f"{folder}/t").count() == 5
+    assert tables.read_current(spark, folder, "t").count() == 8
 
 
 def test_json_and_reports(spark, tmp_path):
@@ -55,6 +64,15 @@ def test_json_and_reports(spark, tmp_path):
         tables.write_report(spark.sql("SELECT 'line' AS l"), folder, "script.sh")
 
 
+def test_reports_keep_their_order(spark, tmp_path):
+    rows = spark.range(500).selectExpr("id", "concat('line ', id) AS l").repartition(7)
+    tables.write_report(tables.document(rows, ["id"], "l", ["# head", ""], "none"), str(tmp_path), "r.md")
+    (file,) = (tmp_path / "r.md").glob("part-*")
+    assert file.read_text().splitlines() == ["# head", "", *[f"line {i}" for i in range(500)]]
+    empty = tables.document(rows.limit(0), ["id"], "l", ["# head"], "none").orderBy("position").collect()
+    assert [r["line"] for r in empty] == ["# head", "none"]
+
+
 def test_written_copies_go_to_the_shared_folder(spark):
     copy = materialise(spark.range(4), "numbers")
     assert all(file.removeprefix("file://").startswith(shared_dir(spark)) for file in copy.inputFiles())

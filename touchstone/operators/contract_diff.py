@@ -9,6 +9,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from touchstone.sources import tables
+
 ADDITIVE, BREAKING, METADATA = "additive", "breaking", "metadata"
 COLUMN_FIELDS = ["type", "nullable", "pii", "description"]
 RULE_FIELDS = ["severity", "assertion"]
@@ -159,6 +161,25 @@ def _rule_form(document: Column) -> Column:
     return F.concat(F.coalesce(rule["severity"], F.lit("?")), F.lit(": `"), rule["assertion"], F.lit("`"))
 
 
+# The head of the report, and what it says if nothing changed.
+REPORT_HEAD = ["| path | kind | classification | change |", "|---|---|---|---|"]
+NO_CHANGES = "No changes."
+
+
+def document(changes: DataFrame, contract_id: str) -> DataFrame:
+    """The whole report of one contract: parts a diff does not look at, a head, and the changes by path."""
+    lines = report(changes.filter(F.col("contract_id") == contract_id))
+    unseen = f"Not compared: {', '.join(IGNORED_PARTS)}."
+    return tables.document(lines, ["path"], "line", [f"# {contract_id}", "", unseen, "", *REPORT_HEAD], NO_CHANGES)
+
+
+def promote(folder: str, old: DataFrame, new: DataFrame, changes: DataFrame) -> DataFrame:
+    """Write the proposed headers under their new versions, and the change logs; returns the headers as written."""
+    versions = next_versions(summary(old, changes))
+    tables.write_full_refresh(history(old, versions), folder, "contract_history")
+    return tables.write_full_refresh(promoted(new, versions), folder, "contract_headers")
+
+
 def report(changes: DataFrame) -> DataFrame:
     """A Markdown table line per change, old form to new form."""
 

@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from touchstone.plans import medallion
 from touchstone.session import scratch_path
 from touchstone.sources.derived import derive
-from touchstone.sources.tables import read_bronze, write_full_refresh
+from touchstone.sources.tables import read_bronze, write_version
 
 AS_OF = datetime(2004, 1, 1)  # the test data ends before it
 
@@ -149,10 +149,10 @@ class Lakehouse:
         """Write all models in dependency order. Each model reads the written ones before it,
         so a lost executor costs a re-read and not a recomputation of the layers below.
 
-        Plans start from bronze, so a rebuild never reads the files it replaces.
+        Plans start from bronze, and every build is a new version of its tables, so a rebuild never
+        touches what is being read.
         """
         self._tables, self._written, self._replaced = {}, {}, {}
         for name in LINEAGE:
-            write_full_refresh(self[name], folder, name)
-            self._use_written(name, f"{folder}/{name}")
+            self._use_written(name, write_version(self[name], folder, name))
         return {name: self[name] for name in LINEAGE}

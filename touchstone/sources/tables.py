@@ -2,7 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from collections.abc import Sequence
+
+from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import functions as F
 
 BRONZE_SCHEMAS = {
     "bronze_customers": (
@@ -27,15 +30,51 @@ def read_bronze(spark: SparkSession, folder: str, name: str) -> DataFrame:
     return spark.read.schema(BRONZE_SCHEMAS[name]).parquet(f"{folder}/{name}")
 
 
+def _file_system(spark: SparkSession, path: str):
+    target = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    return target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()), target
+
+
+def versions(spark: SparkSession, folder: str, name: str) -> list[str]:
+    """The complete versions of a table, oldest first. Spark marks a version as it commits its last file."""
+    files, pattern = _file_system(spark, f"{folder}/{name}/version=*/_SUCCESS")
+    return sorted(status.getPath().getParent().toString() for status in files.globStatus(pattern) or [])
+
+
+def write_version(df: DataFrame, folder: str, name: str) -> str:
+    """Write a table as a new version next to the old one and return its path.
+
+    Readers go over to it when it is complete; a job that fails leaves the old version in use. The
+    version before is kept for those who still read it, older ones are deleted.
+    """
+    spark = df.sparkSession
+    earlier = versions(spark, folder, name)
+    number = int(earlier[-1].rpartition("version=")[2]) + 1 if earlier else 1
+    path = f"{folder}/{name}/version={number:08}"
+    df.write.mode("overwrite").parquet(path)
+    for old in earlier[:-1]:
+        files, target = _file_system(spark, old)
+        files.delete(target, True)
+    return path
+
+
+def read_current(spark: SparkSession, folder: str, name: str) -> DataFrame:
+    """The newest complete version of a table."""
+    complete = versions(spark, folder, name)
+    if not complete:
+        raise FileNotFoundError(f"{folder}/{name} has no complete version")
+    return spark.read.parquet(complete[-1])
+
+
 def write_full_refresh(df: DataFrame, folder: str, name: str) -> DataFrame:
     """Replace a table and return it as read from the new files."""
-    path = f"{folder}/{name}"
-    df.write.mode("overwrite").parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(write_version(df, folder, name))
 
 
 def append_rows(df: DataFrame, folder: str, name: str) -> None:
-    df.write.mode("append").parquet(f"{folder}/{name}")
+    """Add rows to the newest version of a table, or to its first one."""
+    complete = versions(df.sparkSession, folder, name)
+    df.write.mode("append").parquet(complete[-1] if complete else f"{folder}/{name}/version={1:08}")
 
 
 def write_json(df: DataFrame, folder: str, name: str) -> None:
@@ -43,11 +82,25 @@ def write_json(df: DataFrame, folder: str, name: str) -> None:
     df.write.mode("overwrite").option("ignoreNullFields", "false").json(f"{folder}/{name}")
 
 
+def document(rows: DataFrame, order: Sequence[str], line: str, head: Sequence[str], empty: str) -> DataFrame:
+    """A text as position and line: the head, then a line per row in order, or a message if there is none."""
+    spark = rows.sparkSession
+    top = spark.createDataFrame([(i - len(head), text) for i, text in enumerate(head)], "position BIGINT, line STRING")
+    place = F.row_number().over(Window.orderBy(*order)).cast("bigint")
+    body = rows.select(place.alias("position"), F.col(line).alias("line"))
+    none = body.agg(F.count("*").alias("_n")).filter("_n = 0").select(F.lit(1).cast("bigint"), F.lit(empty))
+    return top.union(body).union(none)
+
+
 def write_report(lines: DataFrame, folder: str, name: str) -> None:
-    """A text deliverable from a single string column. The name may not lead out of the folder."""
+    """A text deliverable: one string column, or `line` in the order of `position`. One file, since a reader
+    reads it from top to bottom. The name may not lead out of the folder.
+    """
     # The kinds of file a report may be.
     kinds = (".md", ".yml", ".yaml", ".json", ".sql")
     base = name.replace("\\", "/").rsplit("/", 1)[-1]
     if not base.endswith(kinds):
         raise ValueError(f"a report must end in one of {', '.join(kinds)}")
+    if "position" in lines.columns:
+        lines = lines.repartition(1).sortWithinPartitions("position").select("line")
     lines.write.mode("overwrite").text(f"{folder}/{base}")
