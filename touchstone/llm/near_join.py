@@ -39,6 +39,8 @@ BUCKET_ENTRIES = 400_000
 TILE_NODES = 1024
 #: Groups up to this size hand on all pairs at once.
 SMALL_GROUP = 8
+#: Nodes with the most untried pairs that hand on all of theirs in later rounds; this saves rounds.
+MORE_CENTRES = 16
 #: Groups that one task call handles together, on average.
 CALL_GROUPS = 2000
 #: Bits of the filter for texts: so many for each wanted text, and at most.
@@ -200,12 +202,11 @@ def passing(sizes: np.ndarray, bitmaps: list[bytes]) -> tuple[np.ndarray, np.nda
     return np.concatenate(left or [none]), np.concatenate(right or [none])
 
 
-def stars(left: np.ndarray, right: np.ndarray, n: int) -> np.ndarray:
-    """Of the pairs, those of stars that cover all nodes with pairs; centres have the most pairs."""
+def stars(left: np.ndarray, right: np.ndarray, degree: np.ndarray, order: np.ndarray) -> np.ndarray:
+    """Of the pairs, those of stars that cover all nodes with pairs; centres are taken in the order given."""
     chosen = np.zeros(len(left), dtype=bool)
-    degree = np.bincount(left, minlength=n) + np.bincount(right, minlength=n)
     covered = degree == 0
-    for centre in np.argsort(-degree, kind="stable"):
+    for centre in order:
         if covered.all():
             break
         if not covered[centre]:
@@ -216,8 +217,12 @@ def stars(left: np.ndarray, right: np.ndarray, n: int) -> np.ndarray:
     return chosen
 
 
-def tile_pairs(call: pd.DataFrame) -> pd.DataFrame:
-    """For groupBy on calls: the pairs to try next, of every tile among the rows."""
+def tile_pairs(call: pd.DataFrame, first_round: bool) -> pd.DataFrame:
+    """For groupBy on calls: the pairs to try next, of every tile among the rows.
+
+    In the first round the smallest nodes are centres: tiles that hold nearly the same nodes then
+    choose the same pairs. Later the nodes with the most untried pairs are.
+    """
     found: set[tuple[int, int]] = set()
     call = call.sort_values(["gid", "one", "two", "size", "node"], kind="stable")
     keys = call[["gid", "one", "two"]].to_numpy()
@@ -239,13 +244,24 @@ def tile_pairs(call: pd.DataFrame) -> pd.DataFrame:
             fresh = np.array([int(names[j]) not in tried.get(int(names[i]), ()) for i, j in zip(left, right, strict=True)], dtype=bool)
             left, right = left[fresh], right[fresh]
         if b - a > SMALL_GROUP:
-            chosen = stars(left, right, b - a)
+            degree = np.bincount(left, minlength=b - a) + np.bincount(right, minlength=b - a)
+            order = np.argsort(names if first_round else -degree, kind="stable")
+            chosen = stars(left, right, degree, order)
+            if not first_round:
+                chosen |= np.isin(left, order[:MORE_CENTRES]) | np.isin(right, order[:MORE_CENTRES])
             left, right = left[chosen], right[chosen]
         first, second = names[left], names[right]
         found.update(zip(np.minimum(first, second).tolist(), np.maximum(first, second).tolist(), strict=True))
     return pd.DataFrame(sorted(found), columns=["a", "b"], dtype=np.int64)
 
 
+def choice(first_round: bool) -> Callable[[pd.DataFrame], pd.DataFrame]:
+    def run(call: pd.DataFrame) -> pd.DataFrame:
+        return tile_pairs(call, first_round)
+
+    return run
+
+
 def filter_bits(size: int) -> Callable[[Iterator[pd.DataFrame]], Iterator[pd.DataFrame]]:
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         bits = np.zeros(size, dtype=bool)
@@ -318,6 +334,19 @@ def components(links: DataFrame) -> DataFrame:
             return labels
 
 
+def merged(labels: DataFrame, links: DataFrame) -> DataFrame:
+    """The labels after more links. Only the components that these connect are looked at."""
+    ends = links
+    for end in ("a", "b"):
+        own = labels.select(F.col("node").alias(end), F.col("label").alias(f"of_{end}"))
+        ends = ends.join(own, end, "left").withColumn(f"of_{end}", F.coalesce(f"of_{end}", end))
+    apart = ends.filter("of_a <> of_b").select(F.col("of_a").alias("a"), F.col("of_b").alias("b")).distinct()
+    roots = components(apart)
+    moved = roots.select(F.col("node").alias("label"), F.col("label").alias("now"))
+    known = labels.join(moved, "label", "left").select("node", F.coalesce("now", "label").alias("label"))
+    return materialise(known.union(roots.join(labels, "node", "left_anti").select("node", "label")), "near-labels")
+
+
 def join(docs: DataFrame) -> DataFrame:
     """Per document: doc_id, n_shingles, component_id (the smallest doc_id that links lead to)."""
     spark = docs.sparkSession
@@ -350,24 +379,24 @@ def join(docs: DataFrame) -> DataFrame:
     )
     links = spark.createDataFrame([], PAIRS)
     tried, labels = links, spark.createDataFrame([], "node BIGINT, label BIGINT")
-    open_tiles = tiles
+    open_tiles, first_round = tiles, True
     while True:
         calls = max(1, open_tiles.count() // (2 * CALL_GROUPS))
         failed = tried.join(links, ["a", "b"], "left_anti")
         ends = failed.union(failed.select("b", "a")).groupBy(F.col("a").alias("node")).agg(F.collect_set("b").alias("tried"))
         state = open_tiles.join(labels, "node", "left").join(ends, "node", "left").withColumn("label", F.coalesce("label", "node"))
         call = F.pmod(F.xxhash64("gid", "one", "two"), F.lit(calls))
-        pairs = state.groupBy(call.alias("call")).applyInPandas(tile_pairs, PAIRS).distinct()
-        pairs = materialise(pairs, "near-pairs")
+        chosen = state.groupBy(call.alias("call")).applyInPandas(choice(first_round), PAIRS)
+        pairs = materialise(chosen.distinct(), "near-pairs")
         if not pairs.head(1):
             break
         tried = tried.union(pairs)
         fresh = materialise(with_texts(documents, distinct, pairs).mapInPandas(similar, PAIRS), "near-similar")
         links = links.union(fresh)
-        labels = components(links)
-        open_tiles = tiles.filter(F.col("members") > SMALL_GROUP)
+        labels = components(fresh) if first_round else merged(labels, fresh)
+        open_tiles, first_round = tiles.filter(F.col("members") > SMALL_GROUP), False
     named = distinct.join(labels, "node", "left").withColumn("label", F.coalesce("label", "node"))
-    least = named.groupBy("label").agg(F.min("least").alias("component_id"))
+    least = materialise(named.groupBy("label").agg(F.min("least").alias("component_id")), "near-least")
     component = named.join(least, "label").select("node", "component_id")
     return owners.join(component, "node", "left").select(
         "doc_id", F.col("size").alias("n_shingles"), F.coalesce("component_id", "doc_id").alias("component_id")
