@@ -16,7 +16,6 @@ each. No documents give no rows. Only doc_id, text and (to learn) lang are read.
 
 from __future__ import annotations
 
-import re
 from collections import Counter
 from collections.abc import Callable, Iterator
 
@@ -59,13 +58,9 @@ def sample(docs: DataFrame) -> dict[str, str]:
     return {lang: "\n".join(parts)[:share] for lang, parts in sorted(texts.items())}
 
 
-def letters(text: str) -> str:
-    return re.sub(r"[\W\d_]+", " ", text.lower())
-
-
 def alphabet(texts: dict[str, str]) -> np.ndarray:
     """The symbol of every code point: separator, own symbol for frequent letters, else a hashed one."""
-    counts = Counter(c for text in texts.values() for c in letters(text) if c != " ")
+    counts = Counter(c for text in texts.values() for c in text.lower() if c.isalpha())
     own = FILLER - 1 - HASHED
     frequent = sorted(counts, key=lambda c: (-counts[c], c))[:own]
     symbols = np.array([own + 1 + n % HASHED if chr(n).isalpha() else SEPARATOR for n in range(0x110000)], dtype=np.uint8)
