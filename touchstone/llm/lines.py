@@ -130,11 +130,13 @@ def deduplicate(docs: DataFrame, least: int = MIN_WORDS) -> DataFrame:
         "doc_id", F.coalesce("doc_id", F.lit(LAST_ID)).alias("doc"), mark.alias("mark"), "text", "lang", "source"
     )
     prints = materialise(texts.select("doc", "mark", "text").mapInPandas(marks(least), MARKS), "line-prints")
-    several = prints.groupBy("print").agg(F.count("*").alias("n")).filter("n > 1").select("print")
-    around = prints.join(several, "print").select("doc", "mark", F.inline("windows"))
+    # What is joined to hot fingerprints and windows is written first, so that adaptive execution can split them.
+    several = materialise(prints.groupBy("print").agg(F.count("*").alias("n")).filter("n > 1").select("print"), "line-several")
+    around = materialise(prints.join(several, "print").select("doc", "mark", F.inline("windows")), "line-windows")
     origin = around.groupBy("low", "high").agg(
         F.count("*").alias("n"), F.min(F.struct("doc", "mark", "first", "last")).alias("origin")
     ).filter("n > 1")
+    origin = materialise(origin, "line-origins")
     elsewhere = (F.col("doc") != F.col("origin.doc")) | (F.col("mark") != F.col("origin.mark"))
     later = around.join(origin.select("low", "high", "origin"), ["low", "high"]).filter(
         elsewhere | (F.col("first") > F.col("origin.last"))
