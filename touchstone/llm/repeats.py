@@ -28,6 +28,7 @@ from collections.abc import Callable, Iterator
 import numpy as np
 import pandas as pd
 import xxhash
+import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -40,16 +41,32 @@ SLICE = 1 << 19
 #: Enough for a place in what `stretches` yields, which is less than two slices and a string.
 PLACE_BITS = np.uint64(21)
 #: Segments of a block, and of one anchor in a block.
-BLOCK_SEGMENTS, ANCHOR_SEGMENTS = 2048, 1024
+BLOCK_SEGMENTS, ANCHOR_SEGMENTS = 2048, 32_768
 NO_ID = -(1 << 63)
-SEGMENTS = "doc BIGINT, mark BIGINT, anchor BIGINT, digest BIGINT, off BIGINT, lead INT, strings INT"
-CUT = "doc BIGINT, mark BIGINT, off BIGINT, anchor BIGINT, digest BIGINT, lead INT, bytes BINARY"
-FOUND = "doc BIGINT, mark BIGINT, start BIGINT, stop BIGINT, low BIGINT, high BIGINT, known BOOLEAN"
+SEGMENTS = "doc BIGINT, mark INT, anchor BIGINT, digest BIGINT, off BIGINT, lead INT, strings INT"
+CUT = "doc BIGINT, mark INT, off BIGINT, anchor BIGINT, digest BIGINT, lead INT, bytes BINARY"
+FOUND = "doc BIGINT, mark INT, start BIGINT, stop BIGINT, low BIGINT, high BIGINT, known BOOLEAN"
 
 
 def keyed(docs: DataFrame) -> DataFrame:
     text = F.coalesce("text", F.lit(""))
-    return docs.select("doc_id", F.coalesce("doc_id", F.lit(NO_ID)).alias("doc"), F.xxhash64(text).alias("mark"), text.alias("text"))
+    return docs.select("doc_id", F.coalesce("doc_id", F.lit(NO_ID)).alias("doc"), F.hash(text).alias("mark"), text.alias("text"))
+
+
+def packed(texts: DataFrame) -> DataFrame:
+    """The keyed documents with compressed texts, for the shuffles that bring a text to what is known of it."""
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        pack = zstandard.ZstdCompressor(level=3)
+        for batch in batches:
+            data = [pack.compress(t.encode()) for t in batch["text"]]
+            yield batch.drop(columns="text").assign(packed=data).astype({"doc_id": "Int64"})
+
+    return texts.mapInPandas(run, "doc_id BIGINT, doc BIGINT, mark INT, packed BINARY")
+
+
+def unpacked(data: bytes) -> bytes:
+    return zstandard.ZstdDecompressor().decompress(data)
 
 
 def byte_values() -> np.ndarray:
@@ -143,8 +160,8 @@ def cut_out(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     """The bytes of the wanted segments of each document."""
     for batch in batches:
         rows = []
-        for doc, mark, text, wanted in zip(batch["doc"], batch["mark"], batch["text"], batch["wanted"], strict=True):
-            data = text.encode()
+        for doc, mark, text, wanted in zip(batch["doc"], batch["mark"], batch["packed"], batch["wanted"], strict=True):
+            data = unpacked(text)
             rows += [
                 (doc, mark, w["off"], w["anchor"], w["digest"], w["lead"], data[w["off"] : w["off"] + w["strings"] + WIDTH - 1])
                 for w in wanted
@@ -221,8 +238,8 @@ def taken_out(with_text: bool) -> Callable[[Iterator[pd.DataFrame]], Iterator[pd
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             rows = []
-            for doc_id, text, found in zip(batch["doc_id"], batch["text"], batch["found"], strict=True):
-                data, kept, end, n_spans = text.encode(), [], 0, 0
+            for doc_id, text, found in zip(batch["doc_id"], batch["packed"], batch["found"], strict=True):
+                data, kept, end, n_spans = unpacked(text), [], 0, 0
                 last = -1
                 for start, stop in sorted((f["start"], f["stop"]) for f in found) if found is not None else ():
                     if start > last:
@@ -249,7 +266,7 @@ def ends_of_runs(texts: DataFrame, kinds: DataFrame) -> DataFrame:
         "anchor", "digest", "rep.*", (salts > 1).alias("spread"), F.pmod("digest", salts).alias("salt")
     )
     wanted = dealt.groupBy("doc", "mark").agg(F.collect_list(F.struct("anchor", "digest", "off", "lead", "strings")).alias("wanted"))
-    pieces = texts.join(wanted, ["doc", "mark"]).select("doc", "mark", "text", "wanted").mapInPandas(cut_out, CUT)
+    pieces = packed(texts).join(wanted, ["doc", "mark"]).select("doc", "mark", "packed", "wanted").mapInPandas(cut_out, CUT)
     block = F.pmod(F.xxhash64("anchor", "salt"), F.lit(blocks)).alias("block")
     placed = dealt.select("anchor", "digest", "spread", block)
     matched = pieces.join(placed, ["anchor", "digest"]).groupBy("block").applyInPandas(match_block, FOUND)
@@ -257,14 +274,16 @@ def ends_of_runs(texts: DataFrame, kinds: DataFrame) -> DataFrame:
 
 
 def repeats(docs: DataFrame) -> DataFrame:
-    """The documents keyed, with `found`: (start, stop) in bytes of what repeats, unordered and overlapping."""
+    """The documents keyed and packed, with `found`: (start, stop) in bytes of what repeats, unordered and overlapping."""
     small_batches(docs.sparkSession)
     texts = keyed(docs)
     parts = materialise(texts.select("doc", "mark", "text").mapInPandas(segments, SEGMENTS), "repeat-segments")
     anchors = parts.groupBy("anchor").agg(
         F.count("*").alias("n"), (F.min("digest") != F.max("digest")).alias("mixed")
     ).filter("n > 1")
-    again = materialise(parts.join(anchors.select("anchor", "mixed"), "anchor"), "repeat-anchors")
+    # Written first, so that the join deals both sides itself and adaptive execution can split a hot anchor.
+    anchors = materialise(anchors.select("anchor", "mixed"), "repeat-anchors")
+    again = materialise(parts.join(anchors, "anchor"), "repeat-again")
     rep = F.min(F.struct("doc", "mark", "off", "lead", "strings")).alias("rep")
     kinds = materialise(again.filter("mixed").groupBy("anchor", "digest").agg(F.count("*").alias("n"), rep), "repeat-kinds")
     span = [F.col("off").alias("start"), (F.col("off") + F.col("strings") - 1 + WIDTH).alias("stop")]
@@ -278,13 +297,13 @@ def repeats(docs: DataFrame) -> DataFrame:
     across = handed.join(twice, ["low", "high"]).select("doc", "mark", "start", "stop")
     found = whole.union(copied).union(local).union(across)
     listed = found.groupBy("doc", "mark").agg(F.collect_list(F.struct("start", "stop")).alias("found"))
-    return texts.join(listed, ["doc", "mark"], "left")
+    return packed(texts).join(listed, ["doc", "mark"], "left")
 
 
 def remove(docs: DataFrame, with_text: bool = False) -> DataFrame:
     """Per document: doc_id, n_bytes, n_removed, n_spans, kept_sha256; also kept_text if asked for, where a
     character that lost some of its bytes is left out."""
     schema = "doc_id BIGINT, n_bytes BIGINT, n_removed BIGINT, n_spans BIGINT, kept_sha256 STRING"
-    return repeats(docs).select("doc_id", "text", "found").mapInPandas(
+    return repeats(docs).select("doc_id", "packed", "found").mapInPandas(
         taken_out(with_text), schema + ", kept_text STRING" * with_text
     )
