@@ -14,6 +14,7 @@ documents give no rows. Special tokens spelled out in a text are what the tokeni
 
 from __future__ import annotations
 
+import re
 import zlib
 from bisect import bisect_left, insort
 from collections.abc import Callable, Iterator
@@ -28,16 +29,20 @@ from touchstone.llm.common import materialise, running_total, small_batches
 CAPACITY = 4096
 END = 1
 GRID = 256
-CACHE_WORDS = 300_000
+CACHE_WORDS = 1_000_000
+#: Letters that every lower-casing treats alike, and marks.
+PLAIN = re.compile(r"([A-Za-zÀ-ÖØ-öø-ÿ]+)([.,;:!?]*)")
 PIECES = "doc_id BIGINT, piece INT, start BIGINT, length BIGINT, ids_crc32 BIGINT"
 PLACES = "length BIGINT, low BIGINT, high BIGINT, per BIGINT, first_sequence BIGINT, first_offset BIGINT"
 
 
 class WordEncoder(dict):
-    """Ids of a text, as little-endian 32-bit numbers, from a tokenizer that drops white space.
+    """Ids of a text, as little-endian 32-bit numbers, from a tokenizer that drops white space and case.
 
     No token reaches over ASCII white space, so a text is the sequence of its words, and words
-    recur. The memory is emptied when it is full; that changes no result.
+    recur. A plain word is looked up in lower case and without the marks at its end, which are tokens
+    of their own. A full memory is put aside and serves until the next one is full: words that recur
+    stay. That changes no result.
     """
 
     def __init__(self, path: str):
@@ -45,14 +50,24 @@ class WordEncoder(dict):
 
         super().__init__()
         self.tokenizer = Tokenizer.from_file(path)
+        self.aside: dict[bytes, bytes] = {}
 
     def __missing__(self, word: bytes) -> bytes:
         if len(self) >= CACHE_WORDS:
+            self.aside = dict(self)
             self.clear()
-        ids = self.tokenizer.encode(word.decode(), add_special_tokens=False).ids
-        self[word] = found = np.array(ids, dtype="<u4").tobytes()
+        found = self.aside.get(word)
+        if found is None:
+            found = self.look_up(word.decode())
+        self[word] = found
         return found
 
+    def look_up(self, word: str) -> bytes:
+        plain = PLAIN.fullmatch(word)
+        if plain and (plain[2] or word != word.lower()):
+            return self[plain[1].lower().encode()] + (self[plain[2].encode()] if plain[2] else b"")
+        return np.array(self.tokenizer.encode(word, add_special_tokens=False).ids, dtype="<u4").tobytes()
+
     def encode(self, text: str | None) -> bytes:
         return b"".join(map(self.__getitem__, text.encode().split())) if isinstance(text, str) else b""
 
