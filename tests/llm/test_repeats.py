@@ -90,3 +90,15 @@ def test_repeated_rows_long_text_and_nulls(spark, monkeypatch):
     wanted = [(i, *w) for (i, _), w in zip(rows, brute([t for _, t in rows]), strict=True)]
     assert sorted((tuple(r) for r in repeats.remove(docs).collect()), key=repr) == sorted(wanted, key=repr)
     assert repeats.remove(docs.limit(0)).collect() == []
+
+
+def test_passage_beyond_the_places_of_a_portion(spark):
+    """A text of over 2^PLACE_BITS bytes whose late passage recurs in a short document."""
+    rng = random.Random(8)
+    passage, size = "<" + "".join(rng.choices("abcdefgh", k=3000)) + ">", 1 << int(repeats.PLACE_BITS)
+    long = "".join(rng.choices("abcdefgh", k=size + 200_000)) + passage + "".join(rng.choices("abcdefgh", k=100_000))
+    portions = list(repeats.stretches([b"x" * 300, long.encode(), b"y" * 300]))
+    assert all(sum(b - a for _, a, b in p) < size for p in portions)
+    docs = spark.createDataFrame([(1, long, None, None, None), (2, "#" + passage + "#", None, None, None)], SCHEMA)
+    out = {r["doc_id"]: (r["n_removed"], r["n_spans"]) for r in repeats.remove(docs).collect()}
+    assert out == {1: (len(passage), 1), 2: (len(passage), 1)}

@@ -114,9 +114,9 @@ def stretches(raw: list[bytes]) -> Iterator[list[tuple[int, int, int]]]:
             if stop - at >= WIDTH:
                 portion.append((i, at, stop))
                 size += stop - at
-        if size >= SLICE:
-            yield portion
-            portion, size = [], 0
+            if size >= SLICE:
+                yield portion
+                portion, size = [], 0
     if portion:
         yield portion
 
