@@ -1,8 +1,9 @@
 """Line deduplication by winnowing over line hashes.
 
-The lines of a document that hold words are its units. From every unit on, the fewest units that
-hold MIN_WORDS words together are a window. A window occurs again if the same lines follow one another
-elsewhere. The smallest line hash of each window is its fingerprint, so equal windows share theirs,
+The lines of a document that hold words are its units. From every unit on, and up to every unit, the
+fewest units that hold MIN_WORDS words together are a window. A window occurs again if the same lines
+follow one another elsewhere. Every line of a repeated run of MIN_WORDS words or more lies in a window
+that is inside the run, so matches need no extension to either side: what goes is the whole run. The smallest line hash of each window is its fingerprint, so equal windows share theirs,
 and neighbouring windows mostly have the same one. Fingerprints are counted first; only for
 those that occur at several places are the windows around them, to both sides, compared. A window is a
 repeat if it occurs in an earlier document, or earlier in its own without touching it. Repeats that
@@ -48,11 +49,14 @@ def units(text: str) -> tuple[list[int], list[bytes], np.ndarray]:
 
 
 def windows(counts: np.ndarray, least: int) -> tuple[np.ndarray, np.ndarray]:
-    """First and last unit of every window."""
+    """First and last unit of every window; both only rise."""
     total = np.r_[0, np.cumsum(counts)]
-    last = np.searchsorted(total, total[:-1] + least)
-    first = np.flatnonzero(last < len(total))
-    return first, last[first] - 1
+    stop = np.searchsorted(total, total[:-1] + least)
+    onward = np.flatnonzero(stop < len(total))
+    upto = np.flatnonzero(total[1:] >= least)
+    back = np.searchsorted(total, total[upto + 1] - least, side="right") - 1
+    both = np.unique(np.c_[np.r_[onward, back], np.r_[stop[onward] - 1, upto]], axis=0)
+    return both[:, 0], both[:, 1]
 
 
 def signed(n: int) -> int:
