@@ -17,7 +17,7 @@ each. No documents give no rows. Only doc_id, text and (to learn) lang are read.
 from __future__ import annotations
 
 from collections import Counter
-from collections.abc import Callable, Iterator
+from collections.abc import Callable, Iterator, Sequence
 
 import numpy as np
 import pandas as pd
@@ -179,29 +179,38 @@ def predictor(languages: list[str], symbols, tables, noise: np.ndarray) -> Calla
                 noisy = (size[rows] >= JUDGED_SYMBOLS) & (rate[rows] > NOISE_PART * noise[best])
                 known[rows[noisy]] = False
             found = {"lang_pred": names, "score": score, "phrase_rate": rate, "n_symbols": size, "accepted": known}
-            yield pd.DataFrame({"doc_id": batch["doc_id"].astype("Int64"), **found})
+            yield batch.drop(columns="text").astype({"doc_id": "Int64"}).assign(**found)
 
     return run
 
 
-def predict(docs: DataFrame, learn_from: DataFrame | None = None) -> DataFrame:
-    """Per document: doc_id, held_out, lang_pred, score (how far the second language falls behind), phrase_rate,
-    n_symbols, and accepted: a language is known, and the text is not as unlike it as shuffled letters are."""
+def judged(docs: DataFrame, learn_from: DataFrame, by: Sequence[str] = ()) -> DataFrame:
+    """PREDICTED per document, between doc_id and the rest the columns named in `by`, all of them long."""
     context = docs.sparkSession.sparkContext
     small_batches(docs.sparkSession)
-    texts = sample(learn_from if learn_from is not None else docs)
+    texts = sample(learn_from)
     symbols = alphabet(texts)
     learned = [encoded(text, symbols) for text in texts.values()]
     tables = [table(text.tolist()) for text in learned]
     run = predictor(list(texts), context.broadcast(symbols), context.broadcast(tables), noise_rates(learned, tables))
-    found = docs.select("doc_id", "text").mapInPandas(run, PREDICTED)
+    schema = PREDICTED.replace(",", "".join(f", {c} BIGINT" for c in by) + ",", 1)
+    return docs.select("doc_id", *by, "text").mapInPandas(run, schema)
+
+
+def predict(docs: DataFrame, learn_from: DataFrame | None = None) -> DataFrame:
+    """Per document: doc_id, held_out, lang_pred, score (how far the second language falls behind), phrase_rate,
+    n_symbols, and accepted: a language is known, and the text is not as unlike it as shuffled letters are."""
+    found = judged(docs, learn_from if learn_from is not None else docs)
     return found.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), *found.columns[1:])
 
 
 def accepted(docs: DataFrame) -> DataFrame:
     """The documents whose text is in a known language; columns as given.
 
-    A doc_id stays if any of its rows is accepted.
+    Documents are told apart by doc_id and a 64-bit hash of the text.
     """
-    kept = predict(docs).filter("accepted").select(F.col("doc_id").alias("known_id")).distinct()
-    return docs.join(kept, docs["doc_id"].eqNullSafe(kept["known_id"])).select(*[docs[c] for c in docs.columns])
+    mark = F.xxhash64(F.coalesce("text", F.lit("")))
+    known = judged(docs.withColumn("known_mark", mark), docs, ["known_mark"]).filter("accepted")
+    kept = known.select(F.col("doc_id").alias("known_id"), "known_mark").distinct()
+    same = docs["doc_id"].eqNullSafe(kept["known_id"]) & (F.xxhash64(F.coalesce(docs["text"], F.lit(""))) == kept["known_mark"])
+    return docs.join(kept, same).select(*[docs[c] for c in docs.columns])

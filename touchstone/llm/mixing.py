@@ -26,11 +26,11 @@ BLOCK_WORDS = 1024
 CHUNK = 65_536
 
 
-def sized(docs: DataFrame) -> DataFrame:
+def sized(docs: DataFrame, by: Sequence[str] = ()) -> DataFrame:
     size = F.coalesce(F.regexp_count("text", F.lit(WORD)), F.lit(0)).cast("bigint")
     return docs.select(
         "doc_id", "source", position_key(F.col("source")).alias("source_key"), size.alias("size"),
-        F.md5(F.coalesce(F.col("doc_id").cast("string"), F.lit(""))).alias("shuffled"),
+        F.md5(F.coalesce(F.col("doc_id").cast("string"), F.lit(""))).alias("shuffled"), *by,
     )
 
 
@@ -89,10 +89,10 @@ def schedule(plan: DataFrame, block_words: int) -> DataFrame:
     return ranked.select("step", "source_key", F.col("before").alias("rank"), block.alias("block"), words.alias("words"))
 
 
-def pieces(sizes: DataFrame, block_words: int) -> DataFrame:
+def pieces(sizes: DataFrame, block_words: int, by: Sequence[str] = ()) -> DataFrame:
     """The documents in shuffled order, cut where blocks end: block, and words [start, stop) of the block."""
     place = F.conv(F.substring("shuffled", 1, 8), 16, 10).cast("bigint")
-    laid = running_total(sizes, "source_key", place, ["shuffled", "doc_id", "size"], F.col("size"), sizes.count())
+    laid = running_total(sizes, "source_key", place, ["shuffled", "doc_id", "size", *by], F.col("size"), sizes.count())
     blocks = F.expr(f"IF(size > 0, sequence(before div {block_words}, (before + size - 1) div {block_words}), NULL)")
     cut = laid.withColumn("block", F.explode_outer(blocks))
     first = F.col("block") * block_words
@@ -101,24 +101,27 @@ def pieces(sizes: DataFrame, block_words: int) -> DataFrame:
     )
 
 
-def mix(docs: DataFrame, weights: Sequence[int] = (5, 2, 1), cap: int = 3, block_words: int = BLOCK_WORDS) -> DataFrame:
-    """Per document: doc_id, size, source_size, target of its source, taken (words, repeats counted), source."""
-    sizes = materialise(sized(docs), "mix-sizes")
+def mix(docs: DataFrame, weights: Sequence[int] = (5, 2, 1), cap: int = 3, block_words: int = BLOCK_WORDS, by: Sequence[str] = ()) -> DataFrame:
+    """Per document: doc_id, size, source_size, target of its source, taken (words, repeats counted), source, and
+    the columns named in `by`, which tell documents of one doc_id apart."""
+    sizes = materialise(sized(docs, by), "mix-sizes")
     shares = materialise(draws(targets(sizes, weights, cap), block_words), "mix-targets")
     steps = schedule(shares, block_words).select("source_key", "block", "words")
     overlap = F.greatest(F.least(F.col("stop"), F.coalesce("words", F.lit(0))) - F.col("start"), F.lit(0))
-    drawn = pieces(sizes, block_words).join(steps, ["source_key", "block"], "left")
-    row = ["source_key", "bucket", "seq", "doc_id", "source", "size"]
+    drawn = pieces(sizes, block_words, by).join(steps, ["source_key", "block"], "left")
+    row = ["source_key", "bucket", "seq", "doc_id", "source", "size", *by]
     taken = drawn.groupBy(*row).agg(F.coalesce(F.sum(overlap), F.lit(0)).cast("bigint").alias("taken"))
-    return taken.join(shares, "source_key").select("doc_id", "size", "source_size", "target", "taken", "source")
+    return taken.join(shares, "source_key").select("doc_id", "size", "source_size", "target", "taken", "source", *by)
 
 
 def mixed(docs: DataFrame, **settings) -> DataFrame:
     """The documents of the mix, whole, each as often as the mix takes at least half of it; columns as given.
 
-    Rows of one doc_id count together. Documents without words are never drawn and go.
+    Rows of one doc_id and text count together. Documents without words are never drawn and go.
     """
-    taken = mix(docs, **settings).filter("taken > 0").groupBy(F.col("doc_id").alias("mix_id"))
+    marked = docs.withColumn("mix_mark", F.xxhash64(F.coalesce("text", F.lit(""))))
+    taken = mix(marked, by=["mix_mark"], **settings).filter("taken > 0").groupBy(F.col("doc_id").alias("mix_id"), "mix_mark")
     copies = taken.agg(F.round(F.sum("taken") / F.sum("size")).cast("int").alias("mix_copies")).filter("mix_copies > 0")
-    kept = docs.join(copies, docs["doc_id"].eqNullSafe(copies["mix_id"]))
+    same = docs["doc_id"].eqNullSafe(copies["mix_id"]) & (F.xxhash64(F.coalesce(docs["text"], F.lit(""))) == copies["mix_mark"])
+    kept = docs.join(copies, same)
     return kept.withColumn("mix_copies", F.explode(F.expr("sequence(1, mix_copies)"))).select(*[docs[c] for c in docs.columns])

@@ -347,8 +347,8 @@ def merged(labels: DataFrame, links: DataFrame) -> DataFrame:
     return materialise(known.union(roots.join(labels, "node", "left_anti").select("node", "label")), "near-labels")
 
 
-def join(docs: DataFrame) -> DataFrame:
-    """Per document: doc_id, n_shingles, component_id (the smallest doc_id that links lead to)."""
+def labelled(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Per document doc_id, mark, node and size; and per node with shingles its label and the least doc_id of the node."""
     spark = docs.sparkSession
     small_batches(spark)
     documents = keyed(docs)
@@ -395,7 +395,12 @@ def join(docs: DataFrame) -> DataFrame:
         links = links.union(fresh)
         labels = components(fresh) if first_round else merged(labels, fresh)
         open_tiles, first_round = tiles.filter(F.col("members") > SMALL_GROUP), False
-    named = distinct.join(labels, "node", "left").withColumn("label", F.coalesce("label", "node"))
+    return owners, distinct.join(labels, "node", "left").withColumn("label", F.coalesce("label", "node"))
+
+
+def join(docs: DataFrame) -> DataFrame:
+    """Per document: doc_id, n_shingles, component_id (the smallest doc_id that links lead to)."""
+    owners, named = labelled(docs)
     least = materialise(named.groupBy("label").agg(F.min("least").alias("component_id")), "near-least")
     component = named.join(least, "label").select("node", "component_id")
     return owners.join(component, "node", "left").select(
@@ -404,7 +409,14 @@ def join(docs: DataFrame) -> DataFrame:
 
 
 def representatives(docs: DataFrame) -> DataFrame:
-    """One document of each component, the one that names it; columns as given. Repeated rows stay once."""
-    kept = join(docs).filter(F.col("component_id").eqNullSafe(F.col("doc_id"))).select(F.col("doc_id").alias("kept_id")).distinct()
-    rows = docs.join(kept, docs["doc_id"].eqNullSafe(kept["kept_id"])).select(*[docs[c] for c in docs.columns])
-    return rows.dropDuplicates(["doc_id"])
+    """One document of each component, that with the smallest doc_id (null last) and then text hash, and every
+    document without shingles; columns as given. Rows equal in doc_id and text stay once."""
+    owners, named = labelled(docs)
+    linked = owners.filter("size > 0").join(named.select("node", "label"), "node")
+    first = F.min(F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "mark")).alias("first")
+    kept = linked.groupBy("label").agg(first).select("first.doc_id", "first.mark")
+    kept = kept.union(owners.filter("size = 0").select("doc_id", "mark").distinct())
+    kept = materialise(kept.toDF("kept_id", "kept_mark"), "near-kept")
+    same = docs["doc_id"].eqNullSafe(kept["kept_id"]) & (F.xxhash64(F.coalesce(docs["text"], F.lit(""))) == kept["kept_mark"])
+    rows = docs.join(kept, same).select(F.col("kept_mark"), docs["text"].isNull().alias("no_text"), F.struct(*[docs[c] for c in docs.columns]).alias("row"))
+    return rows.groupBy("row.doc_id", "kept_mark", "no_text").agg(F.min("row").alias("row")).select("row.*")
