@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from touchstone.llm import imatch, language, licences, lines, mixing, multi_index, near_join, packing, repeats, secret_scan
+from touchstone.llm import imatch, language, licences, lines, mixing, multi_index, near_join, packing, repeats, secret_scan, turns
 from touchstone.llm.common import documents
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -101,3 +101,9 @@ def near_join_documents(spark: SparkSession, folder: str) -> DataFrame:
 @query("op6_licences")
 def licence_families(spark: SparkSession, folder: str) -> DataFrame:
     return licences.report(documents(spark, folder))
+
+
+@query("op13_turn_repair")
+def repaired_turns(spark: SparkSession, folder: str) -> DataFrame:
+    schema = "conv_id BIGINT, turn BIGINT, role STRING, text STRING"
+    return turns.report(spark.read.schema(schema).parquet(f"{folder}/conversations.parquet"))
