@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from touchstone.llm import imatch, language, licences, lines, mixing, multi_index, near_join, packing, repeats, secret_scan, turns
+from touchstone.llm import imatch, language, licences, lines, mixing, multi_index, near_join, packing, repeats, secret_scan, turns, url_filter
 from touchstone.llm.common import documents
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -107,3 +107,69 @@ def licence_families(spark: SparkSession, folder: str) -> DataFrame:
 def repaired_turns(spark: SparkSession, folder: str) -> DataFrame:
     schema = "conv_id BIGINT, turn BIGINT, role STRING, text STRING"
     return turns.report(spark.read.schema(schema).parquet(f"{folder}/conversations.parquet"))
+
+
+URL_RULES = {
+    "com/": "allow", "example.com/en/": "block", "www.example.com/en/": "allow", "net/es/": "block", "net/fr/": "block",
+}
+_VALUE = r"""\s*=\s*("[^"]*"|''[^'']*''|[^\s"''>]+)"""
+
+
+def _place(url: str) -> str:
+    """host and path of a url, as columns of a SELECT."""
+    return (
+        f"translate(coalesce(regexp_extract({url}, '://([^/?#]*)', 1), ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', "
+        f"'abcdefghijklmnopqrstuvwxyz') AS host, coalesce(regexp_extract({url}, '://[^/?#]*([^?#]*)', 1), '') AS path"
+    )
+
+
+def _attribute(name: str) -> str:
+    value = f"regexp_extract(tag, '(?is)\\s{name}{_VALUE}', 1)"
+    bare = "regexp_replace(" + value + ", '^[\"'']|[\"'']$', '', 'g')"
+    return f"regexp_replace(trim({bare}), '(?i)&amp;', '&', 'g')"
+
+
+#: Names of pages as edges, followed from name to name; one step at a time, which suits few edges.
+URL_ORACLE = rf"""WITH RECURSIVE rules(rule, verdict) AS (VALUES {", ".join(f"('{r}', '{v}')" for r, v in URL_RULES.items())}),
+likely AS (SELECT url, regexp_replace(html, '(?is)<!--.*?-->|<script\b.*?</script\s*>', '', 'g') AS html FROM pages
+  WHERE regexp_matches(html, '(?i)canonical|http-equiv')),
+tags AS (SELECT url, unnest(regexp_extract_all(html, '(?is)<(?:link|meta)\s[^>]*>')) AS tag FROM likely),
+links AS (SELECT url, CASE
+  WHEN regexp_matches(tag, '(?i)^<link') AND regexp_matches(lower({_attribute("rel")}), '(^|\s)canonical(\s|$)') THEN {_attribute("href")}
+  WHEN regexp_matches(tag, '(?i)^<meta') AND lower({_attribute("http-equiv")}) = 'refresh'
+  THEN trim(regexp_extract({_attribute("content")}, '(?is)^\s*[\d.]+\s*[;,]\s*url\s*=\s*["'']?([^"'']*)', 1)) END AS link FROM tags),
+parts AS (SELECT url, link, regexp_extract(url, '^([^:]*:)//', 1) AS scheme, regexp_extract(url, '://([^/?#]*)', 1) AS site,
+  regexp_extract(url, '://[^/?#]*([^?#]*)', 1) AS path, regexp_extract(link, '^([^?#]*)', 1) AS place,
+  regexp_extract(link, '(\?[^#]*)', 1) AS query FROM links),
+laid AS (SELECT *, CASE WHEN link LIKE '/%' THEN place
+  ELSE coalesce(nullif(regexp_extract(path, '^(.*/)?', 1), ''), '/') || place END AS whole FROM parts),
+walked AS (SELECT *, list_reduce(list_transform(string_split(whole, '/'), lambda p: [p]), lambda done, p: CASE p[1] WHEN '.' THEN done
+  WHEN '..' THEN done[1:greatest(len(done) - 1, 1)] ELSE done || p END) AS steps FROM laid),
+targets AS (SELECT url, CASE WHEN regexp_matches(link, '^[A-Za-z][A-Za-z0-9+.\-]*://[^/?#]') THEN link
+  WHEN regexp_matches(link, '^[A-Za-z][A-Za-z0-9+.\-]*:') OR link = '' OR link LIKE '#%' THEN NULL
+  WHEN link LIKE '//%' THEN scheme || link WHEN link LIKE '?%' THEN scheme || '//' || site || path || query
+  ELSE scheme || '//' || site || array_to_string(steps, '/') || CASE WHEN string_split(whole, '/')[-1] IN ('.', '..') THEN '/' ELSE '' END
+  || query END AS target FROM walked),
+named AS (SELECT url, CASE WHEN host <> '' THEN host || CASE path WHEN '' THEN '/' ELSE path END
+  || regexp_extract(url, '://[^?#]*(\?[^#]*)', 1) END AS node FROM (
+  SELECT url, {_place("url")} FROM (SELECT url FROM pages UNION SELECT url FROM targets UNION SELECT target FROM targets))),
+edges AS (SELECT a.node AS a, b.node AS b FROM targets t JOIN named a ON a.url = t.url JOIN named b ON b.url = t.target
+  WHERE a.node <> b.node),
+reached AS (SELECT a AS node, b AS other FROM edges UNION SELECT b, a FROM edges UNION
+  SELECT r.node, e.b FROM reached r JOIN (SELECT a, b FROM edges UNION SELECT b, a FROM edges) e ON e.a = r.other),
+places AS (SELECT DISTINCT host, path FROM (SELECT {_place("url")} FROM pages UNION ALL SELECT {_place("'://' || node")} FROM reached)),
+ruled AS (SELECT host, path, arg_max(rule, (length(rule), verdict = 'allow', rule)) AS rule,
+  arg_max(verdict, (length(rule), verdict = 'allow', rule)) AS verdict FROM places, rules
+  WHERE ('.' || host) LIKE '%.' || split_part(rule, '/', 1) AND starts_with(path, substr(rule, strpos(rule, '/'))) GROUP BY ALL),
+shared AS (SELECT node, bool_or(verdict = 'allow') AS allowed, bool_or(verdict = 'block') AS blocked, min(other) AS alias_of
+  FROM (SELECT node, other, {_place("'://' || other")} FROM reached) LEFT JOIN ruled USING (host, path) GROUP BY node)
+SELECT page_id, p.host, p.path, rule, coalesce(ruled.verdict, CASE WHEN allowed THEN 'allow' WHEN blocked THEN 'block' END, 'allow')
+  AS verdict, alias_of
+FROM (SELECT page_id, url, {_place("url")} FROM pages) p LEFT JOIN ruled USING (host, path)
+LEFT JOIN (SELECT DISTINCT url, node FROM named) n ON n.url = p.url LEFT JOIN shared USING (node)"""
+
+
+@query("op11_url_aliases", URL_ORACLE)
+def url_aliases(spark: SparkSession, folder: str) -> DataFrame:
+    pages = spark.read.schema("page_id BIGINT, url STRING, html STRING").parquet(f"{folder}/pages.parquet")
+    return url_filter.judge(pages, url_filter.rules_of(URL_RULES, pages))
