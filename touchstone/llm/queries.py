@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from touchstone.llm import imatch, language, licences, lines, mixing, multi_index, near_join, packing, repeats, secret_scan, turns, url_filter
+from touchstone.llm import imatch, language, licences, lines, mixing, multi_index, near_join, packing, repeats, secret_scan, token_links, turns, url_filter
 from touchstone.llm.common import documents
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -173,3 +173,12 @@ LEFT JOIN (SELECT DISTINCT url, node FROM named) n ON n.url = p.url LEFT JOIN sh
 def url_aliases(spark: SparkSession, folder: str) -> DataFrame:
     pages = spark.read.schema("page_id BIGINT, url STRING, html STRING").parquet(f"{folder}/pages.parquet")
     return url_filter.judge(pages, url_filter.rules_of(URL_RULES, pages))
+
+
+@query("op12_token_links")
+def token_groups(spark: SparkSession, folder: str) -> DataFrame:
+    import public_tokenizers
+
+    paths = [public_tokenizers.path(name) for name in ("byte_bpe_50k.json", "piece_bpe_32k.model")]
+    found = token_links.align(documents(spark, folder), *paths, whole=False)
+    return found.withColumnRenamed("groups", "groups_sha256")
