@@ -8,7 +8,7 @@ SCHEMA = "doc_id BIGINT, text STRING, lang STRING, source STRING, n_chars BIGINT
 
 
 def brute(rows: list[tuple[int, str | None]], least: int) -> dict[int, str | None]:
-    """Every window against every earlier one, in order of doc_id."""
+    """Every run of lines with `least` words or more, however long, against every earlier one, in order of doc_id."""
     seen: dict[tuple, tuple[int, int]] = {}
     out: dict[int, str | None] = {}
     for doc_id, text in sorted(rows):
@@ -19,16 +19,14 @@ def brute(rows: list[tuple[int, str | None]], least: int) -> dict[int, str | Non
         held = [(n, s.strip(" \t\r\x0b\x0c"), len(s.split())) for n, s in enumerate(split) if s.split()]
         gone = set()
         for i in range(len(held)):
-            total, j = 0, i
-            while j < len(held) and total < least:
-                total += held[j][2]
-                j += 1
-            if total < least:
-                break
-            key = tuple(h[1] for h in held[i:j])
-            first = seen.setdefault(key, (doc_id, j - 1))
-            if first[0] != doc_id or i > first[1]:
-                gone.update(range(i, j))
+            total, run, end = 0, 0, i
+            for j in range(i, len(held)):
+                total, run = total + held[j][2], hash((run, held[j][1]))
+                if total >= least:
+                    first = seen.setdefault((run, j - i), (doc_id, j))
+                    if first[0] != doc_id or i > first[1]:
+                        end = j + 1
+            gone.update(range(i, end))
         removed = {held[k][0] for k in gone}
         removed |= {n for k in gone if k + 1 in gone for n in range(held[k][0], held[k + 1][0])}
         out[doc_id] = "\n".join(s for n, s in enumerate(split) if n not in removed)

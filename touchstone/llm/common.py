@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from touchstone.session import materialise
 
-__all__ = ["WORD", "byte_slices", "documents", "materialise", "position_key", "running_total", "small_batches"]
+__all__ = ["WORD", "byte_slices", "documents", "mapped", "materialise", "position_key", "running_total", "small_batches"]
 
 #: A word: everything but ASCII white space.
 WORD = r"[^\x20\x09-\x0D]+"
@@ -34,6 +34,16 @@ def small_batches(spark: SparkSession) -> None:
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "2000")
 
 
+def mapped(rows: DataFrame, run: Callable[[Iterator[pd.DataFrame]], Iterator[pd.DataFrame]], schema: str) -> DataFrame:
+    """`mapInPandas` for rows with a doc_id that may be null, which the function has as text.
+
+    pandas has whole numbers next to a null as doubles, which are exact up to 2^53 only.
+    """
+    named = rows.withColumn("doc_id", F.col("doc_id").cast("string"))
+    out = named.mapInPandas(run, schema.replace("doc_id BIGINT", "doc_id STRING"))
+    return out.withColumn("doc_id", F.col("doc_id").cast("bigint"))
+
+
 def position_key(column: Column) -> Column:
     """A text that sorts by code point with null last, and that equality joins can use."""
     return F.when(column.isNull(), F.lit("1")).otherwise(F.concat(F.lit("0"), column))

@@ -24,7 +24,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from touchstone.llm.common import small_batches
+from touchstone.llm.common import mapped, small_batches
 
 UNKNOWN = "und"
 #: Bounds of the sample: documents of a language, characters of a document, and characters in all.
@@ -179,7 +179,7 @@ def predictor(languages: list[str], symbols, tables, noise: np.ndarray) -> Calla
                 noisy = (size[rows] >= JUDGED_SYMBOLS) & (rate[rows] > NOISE_PART * noise[best])
                 known[rows[noisy]] = False
             found = {"lang_pred": names, "score": score, "phrase_rate": rate, "n_symbols": size, "accepted": known}
-            yield batch.drop(columns="text").astype({"doc_id": "Int64"}).assign(**found)
+            yield batch.drop(columns="text").assign(**found)
 
     return run
 
@@ -194,7 +194,7 @@ def judged(docs: DataFrame, learn_from: DataFrame, by: Sequence[str] = ()) -> Da
     tables = [table(text.tolist()) for text in learned]
     run = predictor(list(texts), context.broadcast(symbols), context.broadcast(tables), noise_rates(learned, tables))
     schema = PREDICTED.replace(",", "".join(f", {c} BIGINT" for c in by) + ",", 1)
-    return docs.select("doc_id", *by, "text").mapInPandas(run, schema)
+    return mapped(docs.select("doc_id", *by, "text"), run, schema)
 
 
 def predict(docs: DataFrame, learn_from: DataFrame | None = None) -> DataFrame:

@@ -23,7 +23,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from touchstone.llm.common import byte_slices, small_batches
+from touchstone.llm.common import byte_slices, mapped, small_batches
 from touchstone.llm.shingles import PLACES, mixed, word_hashes
 
 FEATURES, ORDERS = 1 << 16, 3
@@ -227,10 +227,10 @@ def classify(docs: DataFrame) -> DataFrame:
                     continue
                 licences[i].append({"start": a, "end": b, "family": family, "probability": float(chances[n, best])})
             counts = np.bincount(document, minlength=len(raw))
-            ids = batch["doc_id"].astype("Int64").reset_index(drop=True)
+            ids = batch["doc_id"].reset_index(drop=True)
             yield pd.DataFrame({"doc_id": ids, "n_paragraphs": counts, "licences": pd.Series(licences, dtype=object)})
 
-    return docs.select("doc_id", "text").mapInPandas(run, FOUND)
+    return mapped(docs.select("doc_id", "text"), run, FOUND)
 
 
 def report(docs: DataFrame) -> DataFrame:

@@ -29,7 +29,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from touchstone.llm.common import materialise, small_batches
+from touchstone.llm.common import mapped, materialise, small_batches
 
 MIN_WORDS = 50
 LAST_ID = (1 << 63) - 1
@@ -148,4 +148,4 @@ def deduplicate(docs: DataFrame, least: int = MIN_WORDS) -> DataFrame:
     found = later.groupBy("doc", "mark").agg(F.collect_set(F.struct("first", "last")).alias("found"))
     schema = "doc_id BIGINT, lang STRING, source STRING, kept STRING, n_lines BIGINT, n_removed BIGINT, n_runs BIGINT, kept_sha256 STRING"
     joined = texts.join(found, ["doc", "mark"], "left").select("doc_id", "lang", "source", "text", "found")
-    return joined.mapInPandas(cut, schema)
+    return mapped(joined, cut, schema)

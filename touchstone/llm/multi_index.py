@@ -32,9 +32,10 @@ from touchstone.llm.common import materialise, small_batches
 
 CENTROIDS, SAMPLE, PROBES, RECALL, ROUNDS = 128, 16_384, 256, 0.95, 12
 BLOCK_ROWS, BLOCK_QUERIES = 2048, 1024
-INDEXED = "vec_id BIGINT, vec ARRAY<DOUBLE>, first INT, second INT"
+#: Without `named` the id is null and vec_id stands for nothing: pandas would make doubles of ids next to a null.
+INDEXED = "vec_id BIGINT, named BOOLEAN, vec ARRAY<DOUBLE>, first INT, second INT"
 VISITS = "query_id BIGINT, vec ARRAY<DOUBLE>, first INT, seconds ARRAY<INT>"
-HITS = "query_id BIGINT, vec_id BIGINT, score DOUBLE"
+HITS = "query_id BIGINT, vec_id BIGINT, named BOOLEAN, score DOUBLE"
 
 
 def usable(vectors: DataFrame, id_column: str = "vec_id", column: str = "embedding") -> DataFrame:
@@ -143,19 +144,22 @@ def rerank(k: int, centroids: int):
         rows = []
         if len(entries) and len(queries):
             points, ids, second = np.stack(entries["vec"]), entries["vec_id"].to_numpy(), entries["second"].to_numpy()
+            named = entries["named"].to_numpy(bool)
             guess = squares(np.stack(queries["vec"]), points)
             for n, (query_id, vec, seconds) in enumerate(zip(queries["query_id"], queries["vec"], queries["seconds"], strict=True)):
                 visited = np.zeros(centroids, dtype=bool)
                 visited[seconds] = True
-                open_rows = np.flatnonzero(visited[second] & (ids != query_id))
+                open_rows = np.flatnonzero(visited[second] & ((ids != query_id) | ~named))
                 if len(open_rows) > k:
                     close = guess[n, open_rows]
                     bound = np.partition(close, k - 1)[k - 1]
                     open_rows = open_rows[close <= bound + 1e-9 * (1 + (vec**2).sum())]
                 score = np.sqrt(((points[open_rows] - vec) ** 2).sum(1))
-                best = np.lexsort((ids[open_rows], score))[:k]
-                rows += [(query_id, i, s) for i, s in zip(ids[open_rows[best]].tolist(), score[best].tolist(), strict=True)]
-        return pd.DataFrame(rows, columns=["query_id", "vec_id", "score"])
+                best = np.lexsort((ids[open_rows], ~named[open_rows], score))[:k]
+                nearest = open_rows[best]
+                found = zip(ids[nearest].tolist(), named[nearest].tolist(), score[best].tolist(), strict=True)
+                rows += [(query_id, *hit) for hit in found]
+        return pd.DataFrame(rows, columns=["query_id", "vec_id", "named", "score"])
 
     return run
 
@@ -172,14 +176,16 @@ def search(vectors: DataFrame, is_query: Column, k: int = 10, centroids: int = C
     points = np.array(sample)
     half = points.shape[1] // 2
     first, second = codebook(points[:, :half], centroids), codebook(points[:, half:], centroids)
-    index = materialise(rows.mapInPandas(quantise(first, second), INDEXED), "multi-index")
+    numbered = rows.select(F.coalesce("vec_id", F.lit(0)).alias("vec_id"), F.col("vec_id").isNotNull().alias("named"), "vec")
+    index = materialise(numbered.mapInPandas(quantise(first, second), INDEXED), "multi-index")
+    asking = index.filter(F.col("named") & is_query)
     counts = np.zeros((centroids, centroids), dtype=np.int64)
     for r in index.groupBy("first", "second").count().collect():
         counts[r["first"], r["second"]] = r["count"]
     quota = max(k + 1, int(np.ceil(counts.sum() * share_for(points, first, second, k))))
-    queries = index.filter(is_query).groupBy("vec_id").agg(F.min("vec").alias("vec"))
+    queries = asking.groupBy("vec_id").agg(F.min("vec").alias("vec"))
     routes = queries.mapInPandas(visits(first, second, counts[: len(first), : len(second)], quota), VISITS)
-    wanted = index.filter(is_query).count()
+    wanted = asking.count()
     parts = F.array(*[F.lit(int(max(1, -(-n // BLOCK_ROWS)))) for n in counts.sum(1)])
     row_parts, query_parts = F.element_at(parts, F.col("first") + 1), max(1, -(-wanted // BLOCK_QUERIES))
     entries = index.withColumn("row_part", F.pmod(F.xxhash64("vec_id"), row_parts).cast("int")).withColumn(
@@ -190,6 +196,6 @@ def search(vectors: DataFrame, is_query: Column, k: int = 10, centroids: int = C
     )
     key = ["first", "row_part", "query_part"]
     hits = entries.groupBy(*key).cogroup(asked.groupBy(*key)).applyInPandas(rerank(k, centroids), HITS)
-    best = Window.partitionBy("query_id").orderBy("score", "vec_id")
-    ranked = hits.withColumn("rank", F.row_number().over(best)).filter(F.col("rank") <= k)
+    best = Window.partitionBy("query_id").orderBy("score", F.asc_nulls_last("vec_id"))
+    ranked = hits.withColumn("vec_id", F.when(F.col("named"), F.col("vec_id"))).withColumn("rank", F.row_number().over(best)).filter(F.col("rank") <= k)
     return ranked.select("query_id", "rank", "vec_id", "score")

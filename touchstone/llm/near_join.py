@@ -29,7 +29,7 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from touchstone.llm.common import byte_slices, materialise, small_batches
+from touchstone.llm.common import byte_slices, mapped, materialise, small_batches
 from touchstone.llm.shingles import shingle_sets
 
 #: The similarity, in per cent.
@@ -95,8 +95,8 @@ def nodes(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
             (i, d, m, node_of(s), len(s), bitmap(s), None)
             for i, d, m, s in zip(batch["doc_id"], batch["doc"], batch["mark"], sets, strict=True)
         ]
-        yield pd.DataFrame(rows, columns=names).astype({"doc_id": "Int64"})
-    yield pd.DataFrame([(None, 0, 0, 0, 0, None, counts.tobytes())], columns=names).astype({"doc_id": "Int64"})
+        yield pd.DataFrame(rows, columns=names)
+    yield pd.DataFrame([(None, 0, 0, 0, 0, None, counts.tobytes())], columns=names)
 
 
 def folded_rows(rows: DataFrame, column: str, dtype: type, fold: np.ufunc) -> np.ndarray | None:
@@ -352,7 +352,7 @@ def labelled(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
     spark = docs.sparkSession
     small_batches(spark)
     documents = keyed(docs)
-    table = materialise(documents.mapInPandas(nodes, NODES), "near-nodes")
+    table = materialise(mapped(documents, nodes, NODES), "near-nodes")
     owners = table.filter("counts IS NULL")
     sized = owners.filter("size > 0")
     rep = F.min(F.struct("doc", "mark")).alias("rep")

@@ -24,7 +24,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from touchstone.llm.common import materialise, running_total, small_batches
+from touchstone.llm.common import mapped, materialise, running_total, small_batches
 
 CAPACITY = 4096
 END = 1
@@ -85,8 +85,7 @@ def cut(path: str, capacity: int = CAPACITY) -> Callable[[Iterator[pd.DataFrame]
                 for piece, at in enumerate(range(0, len(ids), 4 * capacity)):
                     part = ids[at : at + 4 * capacity]
                     rows.append((doc_id, piece, at // 4, len(part) // 4, zlib.crc32(part)))
-            out = pd.DataFrame(rows, columns=["doc_id", "piece", "start", "length", "ids_crc32"])
-            yield out.astype({"doc_id": "Int64"})
+            yield pd.DataFrame(rows, columns=["doc_id", "piece", "start", "length", "ids_crc32"])
 
     return run
 
@@ -238,7 +237,7 @@ def pack(docs: DataFrame, tokenizer: str, capacity: int = CAPACITY) -> DataFrame
     """
     spark = docs.sparkSession
     small_batches(spark)
-    cut_up = docs.select("doc_id", "text").mapInPandas(cut(tokenizer, capacity), PIECES)
+    cut_up = mapped(docs.select("doc_id", "text"), cut(tokenizer, capacity), PIECES)
     pieces = materialise(cut_up, "pieces")
     histogram = {r["length"]: r["count"] for r in pieces.groupBy("length").count().collect()}
     table = spark.createDataFrame(places(histogram, capacity), PLACES)

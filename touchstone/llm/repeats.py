@@ -32,7 +32,7 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from touchstone.llm.common import materialise, small_batches
+from touchstone.llm.common import mapped, materialise, small_batches
 from touchstone.llm.grouping import suffix_array
 
 WIDTH, GRAM, CELL = 200, 24, 16
@@ -60,9 +60,9 @@ def packed(texts: DataFrame) -> DataFrame:
         pack = zstandard.ZstdCompressor(level=3)
         for batch in batches:
             data = [pack.compress(t.encode()) for t in batch["text"]]
-            yield batch.drop(columns="text").assign(packed=data).astype({"doc_id": "Int64"})
+            yield batch.drop(columns="text").assign(packed=data)
 
-    return texts.mapInPandas(run, "doc_id BIGINT, doc BIGINT, mark INT, packed BINARY")
+    return mapped(texts, run, "doc_id BIGINT, doc BIGINT, mark INT, packed BINARY")
 
 
 def unpacked(data: bytes) -> bytes:
@@ -252,7 +252,7 @@ def taken_out(with_text: bool) -> Callable[[Iterator[pd.DataFrame]], Iterator[pd
                 row = (doc_id, len(data), len(data) - len(left), n_spans, hashlib.sha256(left).hexdigest())
                 rows.append((*row, left.decode(errors="ignore")) if with_text else row)
             names = ["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256"] + ["kept_text"] * with_text
-            yield pd.DataFrame(rows, columns=names).astype({"doc_id": "Int64"})
+            yield pd.DataFrame(rows, columns=names)
 
     return run
 
@@ -304,6 +304,5 @@ def remove(docs: DataFrame, with_text: bool = False) -> DataFrame:
     """Per document: doc_id, n_bytes, n_removed, n_spans, kept_sha256; also kept_text if asked for, where a
     character that lost some of its bytes is left out."""
     schema = "doc_id BIGINT, n_bytes BIGINT, n_removed BIGINT, n_spans BIGINT, kept_sha256 STRING"
-    return repeats(docs).select("doc_id", "packed", "found").mapInPandas(
-        taken_out(with_text), schema + ", kept_text STRING" * with_text
-    )
+    found = repeats(docs).select("doc_id", "packed", "found")
+    return mapped(found, taken_out(with_text), schema + ", kept_text STRING" * with_text)

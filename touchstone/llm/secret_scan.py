@@ -28,7 +28,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from touchstone.llm.common import materialise, small_batches
+from touchstone.llm.common import mapped, materialise, small_batches
 
 #: The patterns of the contract, with the smallest whole match or group that counts.
 ASSIGN = re.compile(r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", re.I | re.A)
@@ -137,7 +137,7 @@ def look(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
             base = [{"start": s, "kind": k, "end": e} for s, k, e in spans]
             tokens = [{"start": s, "end": e, "class": c, "step": p} for s, e, c, p in tested_tokens(text, spans)]
             rows.append((doc_id, base, tokens))
-        yield pd.DataFrame(rows, columns=["doc_id", "base", "tokens"]).astype({"doc_id": "Int64"})
+        yield pd.DataFrame(rows, columns=["doc_id", "base", "tokens"])
 
 
 def thresholds(histogram: list[tuple[int, int, int]], rate: float = RATE) -> dict[int, int]:
@@ -156,7 +156,7 @@ def thresholds(histogram: list[tuple[int, int, int]], rate: float = RATE) -> dic
 def scan(docs: DataFrame, rate: float = RATE) -> DataFrame:
     """Per document: doc_id, base and found (arrays of start, kind number, end), in order."""
     small_batches(docs.sparkSession)
-    found = materialise(docs.select("doc_id", "text").mapInPandas(look, FOUND), "secret-tokens")
+    found = materialise(mapped(docs.select("doc_id", "text"), look, FOUND), "secret-tokens")
     counts = found.select(F.explode("tokens").alias("t")).groupBy("t.class", "t.step").count()
     least = thresholds([tuple(r) for r in counts.collect()], rate)
     bounds = F.create_map(*[F.lit(x) for pair in least.items() for x in pair]) if least else F.create_map(F.lit(0), F.lit(0))
