@@ -56,6 +56,18 @@ RESULT = (
 )
 
 
+def moved_down(row: np.ndarray, last: int) -> np.ndarray:
+    out = np.empty_like(row)
+    out[:-1], out[-1] = row[1:], last
+    return out
+
+
+def moved_up(row: np.ndarray, first: int) -> np.ndarray:
+    out = np.empty_like(row)
+    out[1:], out[0] = row[:-1], first
+    return out
+
+
 @dataclass
 class Alignment:
     """Turns that may stay, by initial and by whether they break off, against the alternating string.
@@ -69,22 +81,33 @@ class Alignment:
 
     def __post_init__(self) -> None:
         self.n = len(self.initials)
-        spare = self.incumbent()
-        self.below, above = spare // DELETE, spare // INSERT
+        self.bound = self.incumbent()
+        if not self.bound:  # nothing is cheaper
+            return
+        self.below, above = self.bound // DELETE, self.bound // INSERT
         self.width = self.below + above + 1
         self.step = 1 if (self.n + 1) * self.width <= CELLS else max(1, isqrt(self.n))
         self.offsets = np.arange(self.width)
+        self.ramp = INSERT * self.offsets
+        self.fitting = {
+            (initial, odd): np.where((self.offsets + odd) % 2 == 0, REROLE * (initial != "u"), REROLE * (initial != "a"))
+            for initial in "ua " for odd in (0, 1)
+        }
+        self.systems = self.initials == ord("s")
+        self.names = ["u" if c == ord("u") else "a" if c == ord("a") else " " for c in self.initials.tolist()]
         row = np.where(self.symbols(self.n) >= 0, INSERT * self.symbols(self.n), NEVER)
         self.kept[self.n] = row
         self.opening = np.full(self.n + 1, NEVER)  # least cost from a turn on, if the system turn is yet to come
+        some = self.systems.any()
         for i in range(self.n - 1, -1, -1):
             later, row = row, self.row_before(i, row)
             if i % self.step == 0:
                 self.kept[i] = row
-            ahead = self.opening[i + 1] + DELETE
-            if self.initials[i] == ord("s"):
-                ahead = min(ahead, self.follow_system(i, later).min(initial=NEVER))
-            self.opening[i] = min(ahead, NEVER)
+            if some:
+                ahead = self.opening[i + 1] + DELETE
+                if self.systems[i]:
+                    ahead = min(ahead, self.follow_system(i, later).min())
+                self.opening[i] = min(ahead, NEVER)
         self.block: dict[int, np.ndarray] = {}
 
     def symbols(self, i: int) -> np.ndarray:
@@ -93,26 +116,23 @@ class Alignment:
 
     def incumbent(self) -> int:
         """The cost of keeping all turns with the roles in turn, the last one deleted if it is one too many."""
-        wanted = np.where(np.arange(self.n) % 2 == 0, ord("u"), ord("a"))
-        cost = REROLE * int((self.initials != wanted).sum()) + BREAKS_OFF * int(self.broken.sum())
-        odd = DELETE if self.n % 2 else 0
-        return min(cost + odd, DELETE * self.n)
+        first = int(self.n > 2 and self.initials[0] == ord("s"))
+        rest = self.initials[first:]
+        cost = REROLE * int((rest[::2] != ord("u")).sum() + (rest[1::2] != ord("a")).sum())
+        cost += BREAKS_OFF * int(self.broken.sum()) + (DELETE if len(rest) % 2 else 0)
+        return min(cost, DELETE * self.n)
 
     def stays(self, i: int) -> np.ndarray:
         """What it costs, for each cell, that the turn takes the first symbol that is left."""
-        left = self.symbols(i)
-        right = np.where(left % 2 == 0, ord("u"), ord("a")) == self.initials[i]
-        return np.where(left > 0, np.where(right, 0, REROLE) + BREAKS_OFF * int(self.broken[i]), NEVER)
-
-    def shifted(self, row: np.ndarray) -> np.ndarray:
-        """The row after, at the same number of symbols left."""
-        return np.append(row[1:], NEVER)
+        fitting = self.fitting[self.names[i], (self.n - i - self.below) % 2]
+        return fitting + BREAKS_OFF if self.broken[i] else fitting
 
     def row_before(self, i: int, later: np.ndarray) -> np.ndarray:
-        row = np.minimum(self.shifted(later) + DELETE, later + self.stays(i))
-        row[self.symbols(i) < 0] = NEVER
-        row = np.minimum.accumulate(row - INSERT * self.offsets) + INSERT * self.offsets
-        return np.minimum(row, NEVER)
+        """A row from the next one; cells with fewer than no symbols left cost too much in both."""
+        row = later + self.stays(i)
+        np.minimum(row[:-1], later[1:] + DELETE, out=row[:-1])
+        row = np.minimum.accumulate(row - self.ramp) + self.ramp
+        return np.minimum(row, NEVER, out=row)
 
     def follow_system(self, i: int, later: np.ndarray) -> np.ndarray:
         """Costs of turn i as the system turn, for each cell of the next row."""
@@ -138,36 +158,36 @@ class Alignment:
 
     def trace(self) -> tuple[int, bytes]:
         """The least cost and the initials of its edits that sort first, all lengths in step."""
+        if not self.bound:
+            return 0, b"K" * self.n
         cost, alive, opening = self.least()
         rest, i, out = cost, 0, bytearray()
         while True:
-            row, left = self.row(i), self.symbols(i)
             if i == self.n:
-                if (alive & (left == 0)).any():
+                if (alive & (self.symbols(i) == 0)).any():
                     return cost, bytes(out)
-                alive = np.append(alive[1:], False)
+                alive = moved_down(alive, False)
                 rest -= INSERT
                 out += b"I"
                 continue
             later = self.row(i + 1)
-            gone = alive & (self.shifted(later) + DELETE == rest)
+            gone = alive & (moved_down(later, NEVER) == rest - DELETE)
             waits = opening and int(self.opening[i + 1]) + DELETE == rest
             if gone.any() or waits:
-                alive, opening, rest = np.insert(gone[:-1], 0, False), waits, rest - DELETE
+                alive, opening, rest = moved_up(gone, False), waits, rest - DELETE
                 i += 1
                 out += b"D"
                 continue
-            fewer = np.insert(row[:-1], 0, NEVER)
-            put = alive & (left > 0) & (fewer + INSERT == rest)
+            put = alive & (moved_up(self.row(i), NEVER) == rest - INSERT) & (self.symbols(i) > 0)
             if put.any():
-                alive, opening, rest = np.append(put[1:], False), False, rest - INSERT
+                alive, opening, rest = moved_down(put, False), False, rest - INSERT
                 out += b"I"
                 continue
             stays = self.stays(i)
-            match = alive & (stays < NEVER) & (later + stays == rest)
+            match = alive & (later + stays == rest)
             surplus = BREAKS_OFF * int(self.broken[i])
             kept = match & (stays == surplus)
-            if opening and self.initials[i] == ord("s"):
+            if opening and self.systems[i]:
                 kept |= self.follow_system(i, later) == rest
             if kept.any():
                 alive, rest = kept, rest - surplus
