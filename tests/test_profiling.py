@@ -77,9 +77,8 @@ def test_estimates_need_no_shuffle_of_values(spark):
 
 
 def test_card(spark):
-    catalog = profiling.catalog(
-        {"gold_people": spark.createDataFrame(ROWS, PEOPLE)}, {"gold_people": ["silver_people"]}, {}, "Unassigned"
-    )
+    rows = profiling.profiles({"gold_people": spark.createDataFrame(ROWS, PEOPLE)})
+    catalog = profiling.catalog(rows, ["gold_people"], {"gold_people": ["silver_people"]}, {}, "Unassigned")
     lines = profiling.cards(catalog).first()["card"].split("\n")
     assert lines[:5] == [
         "# Table: gold_people",

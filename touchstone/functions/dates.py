@@ -30,3 +30,8 @@ def month_of(moment: Column) -> Column:
     """The first of the month as a timestamp. By way of a date, since truncating a timestamp
     would take it through the session time zone."""
     return F.trunc(moment.cast("date"), "month").cast("timestamp_ntz")
+
+
+def month_label(moment: Column) -> Column:
+    """The month as text, `2001-03`."""
+    return F.date_format(moment.cast("date"), "yyyy-MM")

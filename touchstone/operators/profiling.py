@@ -11,9 +11,13 @@ Expressions that repeat per column are SQL text: a schema may have hundreds of c
 
 from __future__ import annotations
 
-from collections.abc import Iterable, Mapping, Sequence
+import sys
+from collections.abc import Iterable, Iterator, Mapping, Sequence
 from functools import reduce
 
+import pyarrow as pa
+import pyarrow.compute as pc
+from pyspark import cloudpickle
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import (
@@ -30,6 +34,9 @@ from pyspark.sql.types import (
 
 from touchstone.functions.text import masked
 
+# The function that holds samples travels with the job, so executors need no copy of this package.
+cloudpickle.register_pickle_by_value(sys.modules[__name__])
+
 SAMPLES = 5
 
 # Columns treated as personal where no contract says so, and how types are named.
@@ -153,13 +160,33 @@ def distinct_values(tables: Mapping[str, DataFrame]) -> DataFrame:
     return every.filter("whole IS NOT NULL OR real IS NOT NULL OR text IS NOT NULL").distinct()
 
 
+def _smallest(size: int):
+    """For mapInArrow: the `size` smallest values of each column among a task's rows."""
+    order = [(name, "ascending") for name in ("whole", "real", "text")]
+
+    def keep(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: dict[tuple[int, int], pa.Table] = {}
+        for batch in batches:
+            rows = pa.Table.from_batches([batch])
+            for column in rows.group_by(["place", "ordinal"]).aggregate([]).to_pylist():
+                key = column["place"], column["ordinal"]
+                own = rows.filter((pc.field("place") == key[0]) & (pc.field("ordinal") == key[1]))
+                both = pa.concat_tables([held[key], own]) if key in held else own
+                held[key] = both.take(pc.sort_indices(both, order)[:size])
+        for table in held.values():
+            yield from table.combine_chunks().to_batches()
+
+    return keep
+
+
 def smallest_values(values: DataFrame, tables: Sequence[str], size: int = SAMPLES) -> DataFrame:
     """The smallest distinct values of every column as text, with their rank.
 
-    Spark keeps only `size` rows per column and task before it shuffles them.
+    A task holds `size` values of every column while it goes through its rows, one Arrow batch at a time.
     """
     order = Window.partitionBy("place", "ordinal").orderBy("whole", "real", "text")
-    ranked = values.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= size)
+    few = values.mapInArrow(_smallest(size), values.schema)
+    ranked = few.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= size)
     return ranked.selectExpr(
         _place(tables), "ordinal", "rank",
         f"coalesce(text, CAST(whole AS STRING), {as_text('real', DoubleType())}) AS value",
@@ -190,44 +217,70 @@ def _estimated(table: str, df: DataFrame) -> DataFrame:
     return df.selectExpr(*names).selectExpr(_inlined(rows))
 
 
-def profiles(
-    tables: Mapping[str, DataFrame],
-    *,
-    personal: Sequence[str] = PERSONAL,
-    mask: bool = True,
-    exact: bool = True,
-) -> DataFrame:
-    """One row per column of the tables. Values of personal columns are masked unless asked not to.
+MEASURES = "column_name data_type row_count null_count distinct_count min_text max_text min_number max_number mean stddev"
+#: What `measured` returns, and what is stored next to written tables.
+MEASURED = (
+    "table_name STRING, ordinal INT, column_name STRING, data_type STRING, row_count BIGINT, null_count BIGINT, "
+    "distinct_count BIGINT, min_text STRING, max_text STRING, min_number DOUBLE, max_number DOUBLE, mean DOUBLE, "
+    "stddev DOUBLE, samples ARRAY<STRING>"
+)
 
-    With `exact=False` the distinct counts are estimates and there are no samples; that saves
-    the shuffle of distinct values.
-    """
+
+def measured(tables: Mapping[str, DataFrame], exact: bool = True) -> DataFrame:
+    """One row per column of the tables: what was counted, unmasked."""
     parts = [_statistics(df, table) for table, df in tables.items()]
     parts += [_exact(tables)] if exact else [_estimated(table, df) for table, df in tables.items()]
-    measures = ["column_name", "data_type", "row_count", "null_count", "distinct_count", "min_text", "max_text",
-                "min_number", "max_number", "mean", "stddev"]
-    gathered = (
+    return (
         reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), parts)
         .groupBy("table_name", "ordinal")
         .agg(
-            *[F.max(name).alias(name) for name in measures],
+            *[F.max(name).alias(name) for name in MEASURES.split()],
             # At most SAMPLES entries: only the smallest values carry a rank.
             F.expr("transform(array_sort(collect_list(CASE WHEN rank IS NOT NULL THEN struct(rank, value) END)), "
                    "s -> s.value)").alias("samples"),
         )
+        .withColumn("distinct_count", F.coalesce("distinct_count", F.lit(0).cast("bigint")))
     )
-    names = ", ".join(f"'{name}'" for name in personal)
-    is_personal = f"column_name IN ({names})" if names else "false"
-    return gathered.selectExpr(
+
+
+def presented(rows: DataFrame, personal: Sequence[str] | Mapping[str, Sequence[str]] = PERSONAL, mask: bool = True) -> DataFrame:
+    """Measured columns with percentages, and values of personal columns masked unless asked not to.
+
+    `personal` names columns of all tables, or by table those of some and PERSONAL for the others.
+    """
+
+    def listed(names: Sequence[str]) -> str:
+        quoted = ", ".join(_literal(name) for name in names)
+        return f"column_name IN ({quoted})" if quoted else "false"
+
+    is_personal = listed(personal) if not isinstance(personal, Mapping) else "CASE table_name " + " ".join(
+        f"WHEN {_literal(table)} THEN {listed(names)}" for table, names in personal.items()
+    ) + f" ELSE {listed(PERSONAL)} END"
+    return rows.selectExpr(
         "table_name", "ordinal", "column_name", "data_type", "row_count", "null_count",
         "100.0D * null_count / greatest(row_count, 1) AS null_pct",
-        "coalesce(distinct_count, 0L) AS distinct_count",
-        "100.0D * coalesce(distinct_count, 0L) / greatest(row_count, 1) AS distinct_pct",
+        "distinct_count",
+        "100.0D * distinct_count / greatest(row_count, 1) AS distinct_pct",
         "min_text", "max_text", "min_number", "max_number", "mean", "stddev", "samples",
         f"{is_personal} AS is_personal",
     ).transform(_hide if mask else lambda df: df)
 
 
+def profiles(
+    tables: Mapping[str, DataFrame],
+    *,
+    personal: Sequence[str] | Mapping[str, Sequence[str]] = PERSONAL,
+    mask: bool = True,
+    exact: bool = True,
+) -> DataFrame:
+    """One row per column of the tables. Values of personal columns are masked unless asked not to.
+
+    With `exact=False` the distinct counts are estimates and there are no samples; that saves
+    the shuffle of distinct values.
+    """
+    return presented(measured(tables, exact), personal, mask)
+
+
 def _hide(rows: DataFrame) -> DataFrame:
     personal = F.col("is_personal")
     return rows.withColumns(
@@ -251,11 +304,11 @@ def owner_of(table: str, owners: Mapping[str, str], default: str) -> str:
 
 
 def catalog(
-    tables: Mapping[str, DataFrame],
+    profile_rows: DataFrame,
+    tables: Sequence[str],
     lineage: Mapping[str, Sequence[str]],
     owners: Mapping[str, str],
     unowned: str,
-    **options,
 ) -> DataFrame:
     """One row per table: layer, owner, rows, upstream tables and the profiles of its columns.
 
@@ -275,8 +328,7 @@ def catalog(
         "min_text", "max_text", "mean", "stddev", "samples", "is_personal",
     )
     return (
-        profiles(tables, **options)
-        .groupBy("table_name", "row_count")
+        profile_rows.groupBy("table_name", "row_count")
         .agg(F.array_sort(F.collect_list(entry)).alias("columns"))
         .select(
             "table_name",

@@ -11,6 +11,7 @@ from __future__ import annotations
 import re
 from collections.abc import Iterable, Mapping, Sequence
 from dataclasses import dataclass
+from functools import reduce
 
 from pyspark.errors import AnalysisException, ParseException
 from pyspark.sql import DataFrame, SparkSession
@@ -50,6 +51,10 @@ class Grant:
     condition: str = "true"
     path: tuple[tuple[str, str], ...] = ()
 
+    @property
+    def covers_all(self) -> bool:
+        return self.condition == "true" and not self.path
+
 
 IN_LONDON, LANDED_IN_LONDON = "city = 'London'", "upper(trim(city)) = 'LONDON'"
 BY_CUSTOMER = ("customer_id", "silver_customers")
@@ -168,20 +173,21 @@ class ScopedCatalog:
         return self.lake[grant.table_name]
 
     def listing(self, owners: Mapping[str, str], unowned: str) -> DataFrame:
-        """The role's tables with layer, owner and the number of rows it can see."""
-        counted = [
-            self.table(name).selectExpr(
-                f"'{name}' AS table_name",
-                f"'{name.partition('_')[0]}' AS layer",
-                f"'{profiling.owner_of(name, owners, unowned)}' AS owner",
-                "count(*) AS n_rows",
-            )
+        """The role's tables with layer, owner and the number of rows it can see.
+
+        A table that the role sees whole has the rows that its build counted.
+        """
+        whole = [name for name in self.names if self.role.grants[name].covers_all]
+        counts = [self.lake.row_counts(whole)] if whole else []
+        counts += [
+            self.table(name).selectExpr(f"'{name}' AS table_name", "count(*) AS n_rows")
             for name in self.names
+            if name not in whole
         ]
-        result = counted[0]
-        for other in counted[1:]:
-            result = result.unionByName(other)
-        return result
+        owner = F.create_map(*[F.lit(x) for name in self.names for x in (name, profiling.owner_of(name, owners, unowned))])
+        return reduce(DataFrame.unionByName, counts).select(
+            "table_name", F.substring_index("table_name", "_", 1).alias("layer"), owner[F.col("table_name")].alias("owner"), "n_rows"
+        )
 
     def profile(self, name: str, columns: Sequence[str] | None = None) -> DataFrame:
         """The profile of the role's rows; personal values are masked unless it may see them."""

@@ -9,10 +9,10 @@ from pyspark.sql import functions as F
 
 from touchstone.operators import profiling
 from touchstone.plans.access import ROLES, ScopedCatalog
-from touchstone.plans.lakehouse import OWNERS, SHARED_MODELS, TABLES, UNOWNED, Lakehouse
+from touchstone.plans.lakehouse import OWNERS, TABLES, UNOWNED, Lakehouse
 from touchstone.plans.oracles import CTES
 from touchstone.plans.query_catalog import _owner_case, profile_oracle, rounded_profile, ROUNDED
-from touchstone.plans.registry import over_folder, over_tables
+from touchstone.plans.registry import over_deployed, over_folder, over_tables
 from touchstone.sources.registry import Registry
 
 LONDON = ROLES["branch_ops_london"]
@@ -93,13 +93,12 @@ def _listing_oracle() -> str:
     return f"SELECT table_name, split_part(table_name, '_', 1) AS layer, {_owner_case()} AS owner, n_rows FROM ({counts})"
 
 
-@over_tables("scoped_table_list", _listing_oracle())
+@over_deployed("scoped_table_list", _listing_oracle())
 def _listing(lake: Lakehouse) -> DataFrame:
-    lake.materialise(SHARED_MODELS)
     return ScopedCatalog(lake, LONDON).listing(OWNERS, UNOWNED)
 
 
-@over_tables(
+@over_deployed(
     "role_visible_tables",
     " UNION ALL ".join(
         f"SELECT '{role}' AS role, '{t}' AS table_name, '{o}' AS owner, (SELECT count(*) FROM {c}) AS n_rows"
@@ -114,7 +113,6 @@ def _listing(lake: Lakehouse) -> DataFrame:
 )
 def _visible(lake: Lakehouse) -> DataFrame:
     """Roles without row filters see the same counts, so those are taken once."""
-    lake.materialise(SHARED_MODELS)
     unfiltered = ScopedCatalog(lake, ROLES["analyst"]).listing(OWNERS, UNOWNED)
     everything = unfiltered.select(
         F.explode(F.array(F.lit("analyst"), F.lit("dq_auditor"))).alias("role"), "table_name", "owner", "n_rows"

@@ -5,10 +5,10 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from touchstone.operators import profiling, quality
-from touchstone.plans.lakehouse import BRONZE, LINEAGE, OWNERS, SHARED_MODELS, TABLES, UNOWNED, Lakehouse
+from touchstone.operators import profiling
+from touchstone.plans.lakehouse import BRONZE, LINEAGE, OWNERS, TABLES, UNOWNED, Lakehouse
 from touchstone.plans.oracles import CTES
-from touchstone.plans.registry import over_tables
+from touchstone.plans.registry import over_deployed, over_tables
 from touchstone.sources.derived import EXPRESSIONS
 
 # Column types of the tables, spelled as DuckDB and the contracts spell them.
@@ -43,13 +43,6 @@ def tables(lake: Lakehouse, names: list[str]) -> dict[str, DataFrame]:
     return {name: lake[name].drop("rejected_at") for name in names}
 
 
-def written_tables(lake: Lakehouse, *, read_once: bool = False) -> dict[str, DataFrame]:
-    """All tables, with written copies of the models that are read more than once: all of them
-    for a profile, and for a single read those that other models are built from."""
-    lake.materialise(SHARED_MODELS if read_once else tuple(LINEAGE))
-    return tables(lake, TABLES)
-
-
 def _hidden(value: str) -> str:
     return (
         f"CASE WHEN {value} IS NULL THEN NULL WHEN position('@' IN {value}) > 0 THEN "
@@ -179,9 +172,7 @@ over_tables(
 )(lambda lake: rounded_profile(profiling.profile(lake["bronze_transactions"], "bronze_transactions")))
 
 
-over_tables("catalog_profile", f"SELECT {ROUNDED} FROM whole_profile")(
-    lambda lake: rounded_profile(profiling.profiles(written_tables(lake)))
-)
+over_deployed("catalog_profile", f"SELECT {ROUNDED} FROM whole_profile")(lambda lake: rounded_profile(lake.profiles()))
 
 
 def _owner_case() -> str:
@@ -205,10 +196,10 @@ CTES["whole_catalog"] = (
 
 
 def whole_catalog(lake: Lakehouse, **options) -> DataFrame:
-    return profiling.catalog(written_tables(lake), LINEAGE, OWNERS, UNOWNED, **options)
+    return profiling.catalog(lake.profiles(**options), TABLES, LINEAGE, OWNERS, UNOWNED)
 
 
-over_tables(
+over_deployed(
     "table_profile", "SELECT table_name, layer, owner, row_count, upstreams, n_columns, n_nulls FROM whole_catalog"
 )(
     lambda lake: whole_catalog(lake).select(
@@ -222,7 +213,7 @@ over_tables(
     )
 )
 
-over_tables(
+over_deployed(
     "catalog_cards",
     "SELECT table_name, '# Table: ' || table_name || chr(10) || '- Medallion layer: **' || layer || '**' || chr(10) || "
     "'- Business domain / owner: ' || owner || chr(10) || '- Row count: ' || format('{:,}', row_count) || chr(10) || "
@@ -231,13 +222,27 @@ over_tables(
     "lines AS card FROM whole_catalog",
 )(lambda lake: profiling.cards(whole_catalog(lake)))
 
-over_tables("catalog_json")(
-    lambda lake: whole_catalog(lake).select(
-        "table_name", F.to_json(F.struct("*"), {"ignoreNullFields": "false"}).alias("document")
-    )
+FIELDS = "table_name STRING, layer STRING, owner STRING, row_count BIGINT, upstreams ARRAY<STRING>, columns ARRAY<STRUCT<column_name: STRING, data_type: STRING, null_count: BIGINT, distinct_count: BIGINT, min_text: STRING, max_text: STRING, samples: ARRAY<STRING>, is_personal: BOOLEAN>>"
+
+
+@over_deployed(
+    "catalog_json",
+    "SELECT c.table_name, layer, owner, c.row_count, upstreams, n_columns, ordinal - 1 AS position, column_name, data_type, "
+    "null_count, distinct_count, min_text, max_text, samples, is_personal FROM whole_catalog c JOIN whole_profile USING (table_name)",
 )
+def _json(lake: Lakehouse) -> DataFrame:
+    """The catalog as JSON documents, and what a reader of the documents finds in them."""
+    written = whole_catalog(lake).select(F.to_json(F.struct("*"), {"ignoreNullFields": "false"}).alias("document"))
+    entry = written.select(F.from_json("document", FIELDS).alias("d")).select("d.*")
+    return entry.select("*", F.posexplode("columns").alias("position", "c")).select(
+        "table_name", "layer", "owner", "row_count", F.concat_ws(", ", "upstreams").alias("upstreams"),
+        F.size("columns").cast("bigint").alias("n_columns"), "position",
+        *[F.col(f"c.{n}").alias(n) for n in ("column_name", "data_type", "null_count", "distinct_count", "min_text", "max_text")],
+        F.concat_ws(", ", "c.samples").alias("samples"), F.col("c.is_personal").alias("is_personal"),
+    )
 
-over_tables(
+
+over_deployed(
     "catalog_columns",
     " UNION ALL ".join(
         f"SELECT '{t}' AS table_name, CAST({i} AS INTEGER) AS ordinal, '{c}' AS column_name, "
@@ -245,10 +250,10 @@ over_tables(
         for t in TABLES
         for i, (c, k) in enumerate(SCHEMAS[t], start=1)
     ),
-)(lambda lake: profiling.column_listing(written_tables(lake, read_once=True)))
+)(lambda lake: lake.columns())
 
 
-@over_tables(
+@over_deployed(
     "lineage_direct",
     " UNION ALL ".join(
         [
@@ -261,4 +266,4 @@ over_tables(
     ),
 )
 def _lineage(lake: Lakehouse) -> DataFrame:
-    return profiling.lineage_edges(quality.row_counts(written_tables(lake, read_once=True)), LINEAGE)
+    return profiling.lineage_edges(lake.row_counts(), LINEAGE)

@@ -33,6 +33,16 @@ def over_tables(name: str, oracle: str | None = None):
     return register
 
 
+def over_deployed(name: str, oracle: str | None = None):
+    """Register a plan over the models of the last build, or over planned ones while there is none."""
+
+    def register(plan: Callable[[Lakehouse], DataFrame]) -> Callable[[Lakehouse], DataFrame]:
+        add(name, lambda spark, folder: plan(Lakehouse.deployed(spark, folder)), oracle)
+        return plan
+
+    return register
+
+
 def over_folder(name: str, oracle: str | None = None):
     """Register a plan that reads its own tables."""
 

@@ -4,9 +4,11 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from touchstone.sources import store
+
 BRONZE_SCHEMAS = {
     "bronze_customers": (
         "customer_id BIGINT, first_name STRING, last_name STRING, email STRING, date_of_birth DATE, "
@@ -30,51 +32,33 @@ def read_bronze(spark: SparkSession, folder: str, name: str) -> DataFrame:
     return spark.read.schema(BRONZE_SCHEMAS[name]).parquet(f"{folder}/{name}")
 
 
-def _file_system(spark: SparkSession, path: str):
-    target = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
-    return target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()), target
-
-
 def versions(spark: SparkSession, folder: str, name: str) -> list[str]:
-    """The complete versions of a table, oldest first. Spark marks a version as it commits its last file."""
-    files, pattern = _file_system(spark, f"{folder}/{name}/version=*/_SUCCESS")
-    return sorted(status.getPath().getParent().toString() for status in files.globStatus(pattern) or [])
-
-
-def write_version(df: DataFrame, folder: str, name: str) -> str:
-    """Write a table as a new version next to the old one and return its path.
-
-    Readers go over to it when it is complete; a job that fails leaves the old version in use. The
-    version before is kept for those who still read it, older ones are deleted.
-    """
-    spark = df.sparkSession
-    earlier = versions(spark, folder, name)
-    number = int(earlier[-1].rpartition("version=")[2]) + 1 if earlier else 1
-    path = f"{folder}/{name}/version={number:08}"
-    df.write.mode("overwrite").parquet(path)
-    for old in earlier[:-1]:
-        files, target = _file_system(spark, old)
-        files.delete(target, True)
-    return path
+    """Where the rows of a table are, by build, oldest first; a version that several builds name comes once."""
+    kept = [build.tables[name].parts for build in store.builds(spark, folder) if name in build.tables]
+    return list(dict.fromkeys(f"{folder}/{parts[-1]}" for parts in kept))
 
 
 def read_current(spark: SparkSession, folder: str, name: str) -> DataFrame:
-    """The newest complete version of a table."""
-    complete = versions(spark, folder, name)
-    if not complete:
-        raise FileNotFoundError(f"{folder}/{name} has no complete version")
-    return spark.read.parquet(complete[-1])
+    """A table as the newest build has it."""
+    build = store.latest(spark, folder)
+    if build is None or name not in build.tables:
+        raise FileNotFoundError(f"no build of {folder} has a table {name}")
+    return store.read(spark, folder, build.tables[name])
 
 
 def write_full_refresh(df: DataFrame, folder: str, name: str) -> DataFrame:
-    """Replace a table and return it as read from the new files."""
-    return df.sparkSession.read.schema(df.schema).parquet(write_version(df, folder, name))
+    """Replace a table by a build of its own and return it as read from the new files."""
+    with store.Builder(df.sparkSession, folder) as builder:
+        written = builder.write(name, df)
+        builder.publish()
+    return written
 
 
 def append_rows(df: DataFrame, folder: str, name: str) -> None:
-    """Add rows to the newest version of a table, or to its first one."""
-    complete = versions(df.sparkSession, folder, name)
-    df.write.mode("append").parquet(complete[-1] if complete else f"{folder}/{name}/version={1:08}")
+    """Add rows to a table, or write its first ones."""
+    with store.Builder(df.sparkSession, folder) as builder:
+        builder.append(name, df)
+        builder.publish()
 
 
 def write_json(df: DataFrame, folder: str, name: str) -> None:
@@ -83,12 +67,15 @@ def write_json(df: DataFrame, folder: str, name: str) -> None:
 
 
 def document(rows: DataFrame, order: Sequence[str], line: str, head: Sequence[str], empty: str) -> DataFrame:
-    """A text as position and line: the head, then a line per row in order, or a message if there is none."""
+    """A text as position and line: the head, then a line per row in order, or a message if there is none.
+
+    Rows are sorted by ranges, and positions rise along the ranges, with gaps: no task sees all of them.
+    """
     spark = rows.sparkSession
     top = spark.createDataFrame([(i - len(head), text) for i, text in enumerate(head)], "position BIGINT, line STRING")
-    place = F.row_number().over(Window.orderBy(*order)).cast("bigint")
-    body = rows.select(place.alias("position"), F.col(line).alias("line"))
-    none = body.agg(F.count("*").alias("_n")).filter("_n = 0").select(F.lit(1).cast("bigint"), F.lit(empty))
+    place = F.monotonically_increasing_id() + F.lit(1)
+    body = rows.orderBy(*order).select(place.alias("position"), F.col(line).alias("line"))
+    none = rows.agg(F.count("*").alias("_n")).filter("_n = 0").select(F.lit(1).cast("bigint"), F.lit(empty))
     return top.union(body).union(none)
 
 
