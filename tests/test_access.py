@@ -6,11 +6,14 @@ from datetime import date
 import pytest
 
 from touchstone.plans.access import (
+    GRANTS,
     ROLE_SETTING,
     ROLES,
     AccessError,
+    Grant,
     QueryError,
     ScopedCatalog,
+    access_from,
     current_role,
     role_table,
 )
@@ -214,3 +217,19 @@ def test_describe_and_contracts(spark, london):
     columns = spark.createDataFrame([("bronze_customers", "a"), ("silver_customers", "b")], "contract_id STRING, name STRING")
     assert [r["name"] for r in london.contract_columns(columns).collect()] == ["b"]
     assert "profile_expectations" in IGNORED_PARTS
+
+
+def test_role_table_governs(spark, lake):
+    """A row more in the table, and the role sees a table more; nothing else changes."""
+    rows = [*GRANTS, Grant("branch_ops_leeds", "silver_customers", "city = 'Leeds'")]
+    scoped = ScopedCatalog(lake, access_from(role_table(spark, rows), "branch_ops_leeds"))
+    seen = lake["silver_customers"].filter("city = 'Leeds'").count()
+    assert scoped.names == ["silver_customers"] and scoped.query("SELECT count(*) AS n FROM silver_customers").first()["n"] == seen
+    with pytest.raises(AccessError, match="may not read silver_accounts"):
+        scoped.table("silver_accounts")
+    more = Grant("branch_ops_leeds", "silver_accounts", "city = 'Leeds'", (("customer_id", "silver_customers"),))
+    wider = ScopedCatalog(lake, access_from(role_table(spark, [*rows, more]), "branch_ops_leeds"))
+    assert wider.names == ["silver_accounts", "silver_customers"] and 0 < wider.table("silver_accounts").count()
+    assert access_from(role_table(spark), "dq_auditor").reveals and not scoped.role.reveals
+    with pytest.raises(AccessError, match="known roles: analyst"):
+        access_from(role_table(spark), "branch_ops_leeds")

@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from touchstone.sources import tables
+from touchstone.sources import store, tables
 
 ADDITIVE, BREAKING, METADATA = "additive", "breaking", "metadata"
 COLUMN_FIELDS = ["type", "nullable", "pii", "description"]
@@ -70,7 +70,7 @@ def rule_changes(old: DataFrame, new: DataFrame) -> DataFrame:
 
 
 def header_changes(old: DataFrame, new: DataFrame) -> DataFrame:
-    """Changed header fields of the contracts that both sides have."""
+    """Changed header fields; a contract that one side lacks has none there, so all its fields changed."""
     was = old.select("contract_id", *[F.col(f).alias(f"_old_{f}") for f in HEADER_PATHS])
     now = new.select("contract_id", *[F.col(f).alias(f"_new_{f}") for f in HEADER_PATHS])
     fields = F.array(
@@ -82,7 +82,7 @@ def header_changes(old: DataFrame, new: DataFrame) -> DataFrame:
         ]
     )
     return (
-        was.join(now, "contract_id")
+        was.join(now, "contract_id", "full_outer")
         .select("contract_id", F.inline(fields))
         .filter(~F.col("old").eqNullSafe(F.col("new")))
         .select(
@@ -96,8 +96,18 @@ def header_changes(old: DataFrame, new: DataFrame) -> DataFrame:
     )
 
 
-def summary(headers: DataFrame, changes: DataFrame) -> DataFrame:
-    """Changes per class for every contract, zero where there are none."""
+# What a contract without a baseline starts from.
+FIRST_VERSION = "0.0.0"
+
+
+def summary(headers: DataFrame, changes: DataFrame, new_headers: DataFrame | None = None) -> DataFrame:
+    """Changes per class for every contract, zero where there are none.
+
+    `headers` are those of the baseline. With the proposed ones, contracts that only they have are listed too.
+    """
+    if new_headers is not None:
+        first = new_headers.join(headers, "contract_id", "left_anti").select("contract_id", F.lit(FIRST_VERSION).alias("version"))
+        headers = headers.select("contract_id", "version").unionByName(first)
     counted = changes.groupBy("contract_id").agg(
         *[F.count_if(F.col("classification") == c).alias(c) for c in (ADDITIVE, BREAKING, METADATA)]
     )
@@ -136,8 +146,8 @@ def history(headers: DataFrame, versions: DataFrame) -> DataFrame:
         ", ", *[F.concat(F.col(c).cast("string"), F.lit(f" {c}")) for c in (ADDITIVE, BREAKING, METADATA)]
     )
     entry = F.struct(F.col("next_version").alias("version"), note.alias("note"))
-    logs = headers.select("contract_id", "change_log").join(
-        versions.select("contract_id", entry.alias("_entry")), "contract_id"
+    logs = versions.select("contract_id", entry.alias("_entry")).join(
+        headers.select("contract_id", "change_log"), "contract_id", "left"
     )
     earlier = F.coalesce("change_log", F.array().cast("array<struct<version:string,note:string>>"))
     entries = F.concat(F.array("_entry"), earlier)
@@ -174,10 +184,14 @@ def document(changes: DataFrame, contract_id: str) -> DataFrame:
 
 
 def promote(folder: str, old: DataFrame, new: DataFrame, changes: DataFrame) -> DataFrame:
-    """Write the proposed headers under their new versions, and the change logs; returns the headers as written."""
-    versions = next_versions(summary(old, changes))
-    tables.write_full_refresh(history(old, versions), folder, "contract_history")
-    return tables.write_full_refresh(promoted(new, versions), folder, "contract_headers")
+    """Write the proposed headers under their new versions, and the change logs, as one build; returns the headers
+    as written. A contract that is no longer proposed keeps its log and has no header."""
+    versions = next_versions(summary(old, changes, new))
+    with store.Builder(old.sparkSession, folder) as builder:
+        builder.write("contract_history", history(old, versions))
+        written = builder.write("contract_headers", promoted(new, versions))
+        builder.publish()
+    return written
 
 
 def report(changes: DataFrame) -> DataFrame:

@@ -1,35 +1,42 @@
 """Exact top-k search by inner product, and text vectors to search with.
 
-The index stays where Spark has partitioned it. Every task multiplies its batches with the
-query vectors and keeps k results per query, so what is shuffled is k rows per query and task,
-never a row per pair. Queries are sent in passes of bounded size, and every pass is exact for
-its queries, so any number of them gets whole results.
+Requests are a table. A few of them, bounded in number and bytes, go to the index where it is: every
+task multiplies its batches with them. Any larger number meets the index in blocks: index rows are dealt
+to blocks of bounded size, every block gets all requests after its rows, and a task holds one block while
+requests stream past it. The index is shuffled once, whatever the number of requests. Both ways keep k
+results per request and task or block, and merge them in two levels, never a row per pair.
+
+Text vectors are word weights by the digest of the word, which any engine computes alike.
 """
 
 from __future__ import annotations
 
+import hashlib
+import json
+import math
 import sys
 from collections.abc import Iterable, Iterator, Sequence
-from functools import reduce
+from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark import cloudpickle
-from pyspark.ml import Pipeline, PipelineModel
-from pyspark.ml.feature import IDF, HashingTF, Normalizer, Tokenizer
-from pyspark.ml.functions import vector_to_array
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark import TaskContext, cloudpickle
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from touchstone.session import materialise
+from touchstone.sources import store
 
 # The search function travels with the job, so executors need no copy of this package.
 cloudpickle.register_pickle_by_value(sys.modules[__name__])
 
-# Bounds on one pass of queries, and on the score matrix a task holds at a time.
-PASS_BYTES = 32 * 1024 * 1024
-PASS_QUERIES = 1024
+# Bounds on requests that are sent to the index, on the rows of a block, and on the scores a task holds at a time.
+HELD_REQUESTS = 1024
+HELD_BYTES = 32 * 1024 * 1024
+BLOCK_ROWS = 16_384
 SCORES_HELD = 4_000_000
+# Groups of blocks whose results are merged before those of all blocks are.
+SHARES = 256
 # Scores are compared at this many decimals, so equal vectors tie in every batch.
 DECIMALS = 9
 DIMENSIONS = 384
@@ -52,87 +59,141 @@ def _candidates(scores: np.ndarray, k: int):
     return np.nonzero(np.ones(scores.shape, dtype=bool))
 
 
-def _searcher(shared, k: int, schema: pa.Schema):
+def _vectors(column: pa.Array, width: int | None) -> np.ndarray:
+    """Vectors as the rows of a matrix; they must have one width."""
+    values = column.flatten().to_numpy(zero_copy_only=False).astype(np.float64)
+    width = width if width is not None else len(values) // max(1, len(column))
+    if len(values) != len(column) * width:
+        raise ValueError(f"index and request vectors do not all have {width} dimensions")
+    return values.reshape(len(column), width)
+
+
+def _names(column: pa.Array) -> np.ndarray:
+    """Ids as an array that sorts them."""
+    found = column.to_numpy(zero_copy_only=False)
+    return found.astype(str) if found.dtype == object else found
+
+
+def _search(vectors: np.ndarray, ids: np.ndarray, matrix: np.ndarray, k: int, held=None):
+    """The k best of these vectors, and of those held already, for each row of the matrix of requests."""
+    step = max(k, SCORES_HELD // len(matrix))
+    for start in range(0, len(ids), step):
+        scores = np.round(vectors[start : start + step] @ matrix.T, DECIMALS)
+        rows, queries = _candidates(scores, k)
+        found = queries, scores[rows, queries], ids[start : start + step][rows]
+        held = _best(*(found if held is None else map(np.concatenate, zip(held, found, strict=True))), k)
+    return held
+
+
+def _rows(held, names: np.ndarray, block: int, schema: pa.Schema) -> pa.RecordBatch:
+    queries, scores, ids = held
+    columns = [names[queries].tolist(), ids.tolist(), scores.tolist(), [block] * len(ids)]
+    return pa.RecordBatch.from_arrays([pa.array(c, type=f.type) for c, f in zip(columns, schema, strict=True)], schema=schema)
+
+
+def _beside_index(shared, k: int, schema: pa.Schema):
+    """For mapInArrow: index rows with their id and vector, against requests that are sent along."""
+
     def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         names, matrix = shared.value
         held = None
         for batch in batches:
-            ids = batch.column(0).to_numpy(zero_copy_only=False)
-            ids = ids.astype(str) if ids.dtype == object else ids
-            values = batch.column(1).flatten().to_numpy(zero_copy_only=False).astype(np.float64)
-            if len(values) != len(ids) * matrix.shape[1]:
-                raise ValueError(f"index vectors do not all have {matrix.shape[1]} dimensions")
-            if not len(ids):
-                continue
-            vectors = values.reshape(len(ids), -1)
-            step = max(k, SCORES_HELD // len(matrix))
-            for start in range(0, len(ids), step):
-                scores = np.round(vectors[start : start + step] @ matrix.T, DECIMALS)
-                rows, queries = _candidates(scores, k)
-                found = queries, scores[rows, queries], ids[start : start + step][rows]
-                held = _best(*(found if held is None else map(np.concatenate, zip(held, found, strict=True))), k)
+            if batch.num_rows:
+                held = _search(_vectors(batch.column(1), matrix.shape[1]), _names(batch.column(0)), matrix, k, held)
         if held is not None:
-            queries, scores, ids = held
-            columns = [names[queries], ids, scores]
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(c.tolist(), type=f.type) for c, f in zip(columns, schema, strict=True)], schema=schema
-            )
+            yield _rows(held, names, TaskContext.get().partitionId(), schema)
+
+    return search
+
+
+def _by_block(k: int, schema: pa.Schema):
+    """For mapInArrow: blocks in order, each with its index rows before all requests."""
+
+    def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        current, parts, index = None, [], None
+        for batch in batches:
+            block = batch.column(0).to_numpy(zero_copy_only=False)
+            asked = batch.column(1).to_numpy(zero_copy_only=False)
+            edges = np.flatnonzero(np.r_[True, (block[1:] != block[:-1]) | (asked[1:] != asked[:-1]), True])
+            for start, stop in zip(edges[:-1], edges[1:], strict=True):
+                if block[start] != current:
+                    current, parts, index = block[start], [], None
+                rows = batch.slice(start, stop - start)
+                if not asked[start]:
+                    parts.append((_names(rows.column(2)), _vectors(rows.column(4), None)))
+                    continue
+                if not parts:
+                    continue
+                if index is None:
+                    index = tuple(np.concatenate(c) for c in zip(*parts, strict=True))
+                ids, vectors = index
+                matrix = _vectors(rows.column(4), vectors.shape[1])
+                yield _rows(_search(vectors, ids, matrix, k), _names(rows.column(3)), int(current), schema)
 
     return search
 
 
-def _passes(queries: Iterable[tuple[int | str, Sequence[float]]]) -> Iterator[list]:
-    """Queries in groups of bounded size."""
-    group: list = []
-    for query in queries:
-        full = len(group) == PASS_QUERIES or (len(group) + 1) * len(query[1]) * 8 > PASS_BYTES
-        if group and full:
-            yield group
-            group = []
-        group.append(query)
-    if group:
-        yield group
+ARROW_TYPES = {"bigint": pa.int64(), "int": pa.int32(), "string": pa.string()}
 
 
 def top_k(
     index: DataFrame,
-    queries: Iterable[tuple[int | str, Sequence[float]]],
+    requests: DataFrame | Iterable[tuple[int | str, Sequence[float]]],
     k: int,
     id_column: str = "vec_id",
     vector_column: str = "embedding",
+    held_requests: int = HELD_REQUESTS,
+    block_rows: int = BLOCK_ROWS,
 ) -> DataFrame:
-    """The k nearest index rows of each query, best first: query_id, the row's id, score, rank.
+    """The k nearest index rows of each request, best first: query_id, the row's id, score, rank.
 
-    An index with fewer than k rows returns them all.
+    Requests are a table of query_id (which tells them apart) and vector; a short list of pairs will do
+    as well. Rows without a vector take no part. An index with fewer than k rows returns them all.
+    More than `held_requests` requests meet the index in blocks of about `block_rows`.
     """
     if k < 1:
         raise ValueError("k must be at least 1")
     spark = index.sparkSession
+    if not isinstance(requests, DataFrame):
+        listed = [(name, [float(x) for x in vector]) for name, vector in requests]
+        if not listed:
+            raise ValueError("no queries to search for")
+        kind = "BIGINT" if isinstance(listed[0][0], int) else "STRING"
+        requests = spark.createDataFrame(listed, f"query_id {kind}, vector ARRAY<DOUBLE>")
     vectors = index.select(id_column, vector_column).filter(F.col(vector_column).isNotNull())
-    id_type = index.schema[id_column].dataType.simpleString()
-    results = []
-    for group in _passes(queries):
-        names = np.array([name for name, _ in group])
-        name_type, arrow_name = ("bigint", pa.int64()) if names.dtype.kind in "iu" else ("string", pa.string())
-        arrow_id = {"bigint": pa.int64(), "int": pa.int32(), "string": pa.string()}[id_type]
-        schema = pa.schema([("query_id", arrow_name), (id_column, arrow_id), ("score", pa.float64())])
-        shared = spark.sparkContext.broadcast((names, np.array([v for _, v in group], dtype=np.float64)))
-        results.append(
-            vectors.mapInArrow(
-                _searcher(shared, k, schema), f"query_id {name_type}, {id_column} {id_type}, score DOUBLE"
-            )
-        )
-    if not results:
-        raise ValueError("no queries to search for")
-    order = Window.partitionBy("query_id").orderBy(F.desc("score"), F.asc(id_column))
-    return (
-        reduce(DataFrame.unionByName, results).withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= k)
+    asked = requests.select("query_id", F.col("vector").cast("array<double>").alias("vector")).filter("vector IS NOT NULL")
+    id_type, name_type = (df.schema[c].dataType.simpleString() for df, c in ((index, id_column), (requests, "query_id")))
+    schema = pa.schema(
+        [("query_id", ARROW_TYPES[name_type]), (id_column, ARROW_TYPES[id_type]), ("score", pa.float64()), ("block", pa.int32())]
     )
-
-
-def queries_from(df: DataFrame, id_column: str, vector_column: str) -> list[tuple[int | str, Sequence[float]]]:
-    """Search requests held in a table; `top_k` sends requests from the driver."""
-    return [(row[0], row[1]) for row in df.select(id_column, vector_column).toLocalIterator()]
+    columns = f"query_id {name_type}, {id_column} {id_type}, score DOUBLE, block INT"
+    few = asked.limit(held_requests + 1).collect()
+    if few and len(few) <= held_requests and len(few) * len(few[0][1]) * 8 <= HELD_BYTES:
+        shared = spark.sparkContext.broadcast((np.array([r[0] for r in few]), np.array([r[1] for r in few], dtype=np.float64)))
+        hits = vectors.mapInArrow(_beside_index(shared, k, schema), columns)
+    else:
+        groups = max(1, -(-vectors.count() // block_rows))
+        block = F.pmod(F.xxhash64(F.monotonically_increasing_id()), F.lit(groups)).cast("int")
+        none = F.lit(None)
+        rows = vectors.select(
+            block.alias("block"), F.lit(False).alias("asked"), F.col(id_column).alias("id"),
+            none.cast(name_type).alias("query_id"), F.col(vector_column).cast("array<double>").alias("vector"),
+        )
+        everywhere = F.explode(F.sequence(F.lit(0), F.lit(groups - 1)))
+        sent = asked.select(everywhere.alias("block"), F.lit(True), none.cast(id_type), "query_id", "vector")
+        ordered = rows.union(sent).repartition("block").sortWithinPartitions("block", "asked")
+        hits = ordered.mapInArrow(_by_block(k, schema), columns)
+    return _merged(hits, k, id_column)
+
+
+def _merged(hits: DataFrame, k: int, id_column: str) -> DataFrame:
+    """The k best of each request from the k best of each block: first of some blocks together, then of all."""
+    order = [F.desc("score"), F.asc(id_column)]
+    some = hits.withColumn("share", F.pmod("block", F.lit(SHARES)))
+    halfway = Window.partitionBy("query_id", "share").orderBy(*order)
+    best = some.withColumn("rank", F.row_number().over(halfway)).filter(F.col("rank") <= k).drop("rank", "share")
+    ranked = best.withColumn("rank", F.row_number().over(Window.partitionBy("query_id").orderBy(*order)))
+    return ranked.filter(F.col("rank") <= k).drop("block")
 
 
 def with_columns_of(index: DataFrame, hits: DataFrame, id_column: str, *columns: str) -> DataFrame:
@@ -150,27 +211,87 @@ def citations(hits: DataFrame, name: str) -> DataFrame:
 # ------------------------------------------------------------------ text vectors
 
 
-def text_embedder(corpus: DataFrame, text: str) -> PipelineModel:
-    """Hashed word weights of a corpus: rare words weigh more, and every vector has length one."""
-    stages = [
-        Tokenizer(inputCol=text, outputCol="_words"),
-        HashingTF(inputCol="_words", outputCol="_counts", numFeatures=DIMENSIONS),
-        IDF(inputCol="_counts", outputCol="_weights"),
-        Normalizer(inputCol="_weights", outputCol="_unit"),
-    ]
-    return Pipeline(stages=stages).fit(corpus)
+def buckets(text: Column) -> Column:
+    """The bucket of each word of a text, by the first eight digits of its MD5."""
+    words = F.filter(F.split(F.lower(text), r"[\x20\x09-\x0D]+"), lambda w: w != "")
+    number = F.transform(words, lambda w: F.conv(F.substring(F.md5(w.cast("binary")), 1, 8), 16, 10).cast("bigint"))
+    return F.transform(number, lambda n: (n % DIMENSIONS).cast("int"))
+
+
+@dataclass(frozen=True)
+class Embedder:
+    """Weights of the buckets: those of rare words weigh more. Their number is fixed."""
+
+    weights: tuple[float, ...]
+
+    @property
+    def fingerprint(self) -> str:
+        return hashlib.sha256(json.dumps(self.weights).encode()).hexdigest()
+
+
+def text_embedder(corpus: DataFrame, text: str) -> Embedder:
+    """Weighs a bucket by the logarithm of how few texts have it."""
+    held = corpus.select(F.explode(F.array_distinct(buckets(F.col(text)))).alias("bucket"))
+    frequency = dict(map(tuple, held.groupBy("bucket").count().collect()))
+    total = corpus.count()
+    return Embedder(tuple(math.log((total + 1) / (frequency.get(b, 0) + 1)) for b in range(DIMENSIONS)))
 
 
-def embed(model: PipelineModel, df: DataFrame, *keep: str) -> DataFrame:
-    return model.transform(df).select(*keep, vector_to_array("_unit", "float32").alias("embedding"))
+def embed(model: Embedder, df: DataFrame, *keep: str, text: str = "text") -> DataFrame:
+    """The columns to keep, and `embedding`: word counts times weights, of length one, or zeros if no word weighs anything.
+
+    Words are counted by row and bucket, so the words of a long text are counted before they are shuffled.
+    """
+    # The same row has the same number whenever its task runs again.
+    rows = df.select(*keep, F.monotonically_increasing_id().alias("_row"), buckets(F.col(text)).alias("_buckets"))
+    kept = F.struct(*keep) if keep else F.lit(None)
+    counted = rows.select("_row", kept.alias("_kept"), F.explode_outer("_buckets").alias("_bucket")).groupBy("_row", "_bucket").agg(
+        F.count(F.lit(1)).alias("_n"), F.first("_kept").alias("_kept")
+    )
+    weights = F.array(*[F.lit(w) for w in model.weights])
+    weight = F.coalesce(F.col("_n") * F.element_at(weights, F.col("_bucket") + 1), F.lit(0.0))
+    entry = F.struct(F.coalesce("_bucket", F.lit(-1)).alias("bucket"), weight.alias("weight"))
+    listed = counted.groupBy("_row").agg(F.first("_kept").alias("_kept"), F.map_from_entries(F.collect_list(entry)).alias("_weights"))
+    length = F.sqrt(F.aggregate(F.array_sort(F.map_values("_weights")), F.lit(0.0), lambda total, w: total + w * w))
+    vector = F.transform(
+        F.sequence(F.lit(0), F.lit(DIMENSIONS - 1)),
+        lambda b: F.coalesce(F.try_element_at("_weights", b) / F.nullif("_length", F.lit(0.0)), F.lit(0.0)).cast("float"),
+    )
+    return listed.withColumn("_length", length).select(*[F.col(f"_kept.{c}").alias(c) for c in keep], vector.alias("embedding"))
 
 
-def write_index(vectors: DataFrame, folder: str) -> None:
-    vectors.write.mode("overwrite").parquet(folder)
+# ------------------------------------------------------------------ an index on disk
 
 
-def read_index(spark: SparkSession, folder: str) -> DataFrame:
-    return spark.read.parquet(folder)
+class IndexMismatch(ValueError):
+    """An index that does not fit what it is to be searched with."""
+
+
+def write_index(vectors: DataFrame, folder: str, embedder: str = "", vector_column: str = "embedding") -> None:
+    """Write an index with what it holds: the width of its vectors, how many there are, and whose they are.
+
+    An index whose vectors have several widths is not published.
+    """
+    size = F.size(vector_column)
+    with store.Builder(vectors.sparkSession, folder, embedder) as builder:
+        filled = F.col(vector_column).isNotNull()
+        wide, narrow = F.max(F.when(filled, size)), F.min(F.when(filled, size))
+        builder.write("index", vectors, measures={"width": wide, "narrowest": narrow, "vectors": F.count(vector_column)})
+        if builder.measures["width"] != builder.measures["narrowest"]:
+            raise IndexMismatch(f"vectors have {builder.measures['narrowest']} to {builder.measures['width']} dimensions")
+        builder.publish()
+
+
+def read_index(spark: SparkSession, folder: str, embedder: str | None = None, width: int | None = None) -> DataFrame:
+    """The newest index of a folder; an error if it is of another embedder or width."""
+    build = store.latest(spark, folder)
+    if build is None or "index" not in build.tables:
+        raise FileNotFoundError(f"{folder} holds no index")
+    if embedder is not None and build.sources != embedder:
+        raise IndexMismatch(f"the index was made by embedder {build.sources or 'unknown'}, not {embedder}")
+    if width is not None and build.measures["width"] not in (width, None):
+        raise IndexMismatch(f"the index has {build.measures['width']} dimensions, not {width}")
+    return store.read(spark, folder, build.tables["index"])
 
 
 def search_cards(cards: DataFrame, question: str, k: int, allowed: Sequence[str] | None = None) -> DataFrame:
@@ -180,9 +301,10 @@ def search_cards(cards: DataFrame, question: str, k: int, allowed: Sequence[str]
     """
     cards = materialise(cards, "cards")  # read for fitting, embedding and the answer
     model = text_embedder(cards, "card")
-    asked = embed(model, cards.sparkSession.createDataFrame([(question,)], "card STRING")).first()
+    asked = cards.sparkSession.createDataFrame([(0, question)], "query_id BIGINT, text STRING")
+    requests = embed(model, asked, "query_id").withColumnRenamed("embedding", "vector")
     readable = cards if allowed is None else cards.filter(F.col("table_name").isin(list(allowed)))
-    hits = top_k(embed(model, readable, "table_name"), [(0, asked["embedding"])], k, "table_name")
+    hits = top_k(embed(model, readable, "table_name", text="card"), requests, k, "table_name")
     return with_columns_of(cards, hits, "table_name", "card").select(
         "table_name", F.round("score", 3).alias("score"), "rank", "card"
     )

@@ -84,9 +84,9 @@ def role_table(spark: SparkSession, grants: Iterable[Grant] = GRANTS) -> DataFra
 class Access:
     """The grants of one role by table."""
 
-    def __init__(self, role: str, grants: Sequence[Grant] = GRANTS) -> None:
+    def __init__(self, role: str, grants: Sequence[Grant] = GRANTS, reveals: bool | None = None) -> None:
         self.role = role
-        self.reveals = role in REVEALING
+        self.reveals = role in REVEALING if reveals is None else reveals
         self.grants = {grant.table_name: grant for grant in grants if grant.role == role}
         if not self.grants:
             raise AccessError(f"unknown role {role}; known roles: {', '.join(sorted({g.role for g in grants}))}")
@@ -98,6 +98,18 @@ class Access:
         return [self.grants[table] for table in tables]
 
 
+def access_from(table: DataFrame, role: str) -> Access:
+    """What a role table grants a role. It has one row for each table the role may read; a role that one of its
+    rows lets see personal values sees them."""
+    rows = table.filter(F.col("role") == role).collect()
+    grants = [
+        Grant(r["role"], r["table_name"], r["condition"] or "true", tuple((p["key"], p["parent"]) for p in r["path"] or []))
+        for r in rows
+    ]
+    known = grants or [Grant(r["role"], "") for r in table.select("role").distinct().collect()]
+    return Access(role, known, any(r["reveals"] for r in rows))
+
+
 ROLES = {name: Access(name) for name in dict.fromkeys(grant.role for grant in GRANTS)}
 
 

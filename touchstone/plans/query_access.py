@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from touchstone.operators import profiling
-from touchstone.plans.access import ROLES, ScopedCatalog
+from touchstone.plans.access import GRANTS, ROLES, Grant, ScopedCatalog, access_from, role_table
 from touchstone.plans.lakehouse import OWNERS, TABLES, UNOWNED, Lakehouse
 from touchstone.plans.oracles import CTES
 from touchstone.plans.query_catalog import _owner_case, profile_oracle, rounded_profile, ROUNDED
@@ -121,6 +121,27 @@ def _visible(lake: Lakehouse) -> DataFrame:
     return everything.unionByName(london.select(F.lit(LONDON.role).alias("role"), "table_name", "owner", "n_rows"))
 
 
+CTES["leeds_customers"] = "SELECT * FROM silver_customers WHERE city = 'Leeds'"
+LEEDS = [
+    Grant("branch_ops_leeds", "silver_customers", "city = 'Leeds'"),
+    Grant("branch_ops_leeds", "silver_accounts", "city = 'Leeds'", (("customer_id", "silver_customers"),)),
+    Grant("branch_ops_leeds", "gold_monthly_channel_volume"),
+]
+
+
+@over_tables(
+    "role_table_access",
+    "SELECT 'silver_customers' AS table_name, 'customers' AS subject, (SELECT count(*) FROM leeds_customers) AS n_rows UNION ALL "
+    "SELECT 'silver_accounts', 'accounts', (SELECT count(*) FROM silver_accounts SEMI JOIN leeds_customers USING (customer_id)) UNION ALL "
+    "SELECT 'gold_monthly_channel_volume', 'monthly_channel_volume', (SELECT count(*) FROM gold_monthly_channel_volume)",
+)
+def _by_role_table(lake: Lakehouse) -> DataFrame:
+    """A role that only rows of the role table know."""
+    table = role_table(lake.spark, [*GRANTS, *LEEDS])
+    listing = ScopedCatalog(lake, access_from(table, "branch_ops_leeds")).listing(OWNERS, UNOWNED)
+    return listing.select("table_name", F.expr("substring(table_name, instr(table_name, '_') + 1)").alias("subject"), "n_rows")
+
+
 def _personal_oracle(role: str, masked: bool, relation: str) -> str:
     return (
         f"SELECT '{role}' AS role, column_name, min_text, max_text, samples FROM "

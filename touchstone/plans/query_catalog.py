@@ -9,8 +9,12 @@ from touchstone.operators import profiling
 from touchstone.plans.lakehouse import BRONZE, LINEAGE, OWNERS, TABLES, UNOWNED, Lakehouse
 from touchstone.plans.oracles import CTES
 from touchstone.plans.registry import over_deployed, over_tables
+from touchstone.sources.contracts import load_contract, personal_names
 from touchstone.sources.derived import EXPRESSIONS
 
+# The columns that contracts call personal; tables without a contract have the usual ones.
+CONTRACTED = {"silver_customers": personal_names(load_contract("silver_customers"))}
+
 # Column types of the tables, spelled as DuckDB and the contracts spell them.
 COLUMN_TYPES = {
     "bronze_customers": "BIGINT VARCHAR VARCHAR VARCHAR DATE VARCHAR VARCHAR INTEGER DATE",
@@ -51,14 +55,14 @@ def _hidden(value: str) -> str:
     )
 
 
-def profile_oracle(table: str, masked: bool = True, relation: str | None = None) -> str:
+def profile_oracle(table: str, masked: bool = True, relation: str | None = None, more: tuple[str, ...] = ()) -> str:
     """One SELECT per column; the oracle reads the table as often as it likes."""
     relation = relation or table
     selects = []
     for i, (column, kind) in enumerate(SCHEMAS[table], start=1):
         number = kind in ("BIGINT", "INTEGER", "DOUBLE")
         ranged = number or kind in ("DATE", "TIMESTAMP")
-        personal = column in profiling.PERSONAL
+        personal = column in profiling.PERSONAL or column in more
         hide = _hidden if personal and masked else (lambda v: v)
         low = f"(SELECT CAST(min({column}) AS VARCHAR) FROM {relation})" if ranged else "CAST(NULL AS VARCHAR)"
         high = f"(SELECT CAST(max({column}) AS VARCHAR) FROM {relation})" if ranged else "CAST(NULL AS VARCHAR)"
@@ -154,6 +158,24 @@ def _samples(lake: Lakehouse) -> DataFrame:
     )
 
 
+def with_city(contract: dict) -> dict:
+    """A proposed contract that calls the city personal, too."""
+    columns = [{**column, "pii": column["pii"] or column["name"] == "city"} for column in contract["schema"]]
+    return {**contract, "schema": columns}
+
+
+over_tables(
+    "profile_by_contract",
+    f"SELECT {ROUNDED} FROM ({profile_oracle('silver_customers', more=('city',))})",
+)(
+    lambda lake: rounded_profile(
+        profiling.profile(
+            lake["silver_customers"], "silver_customers", personal=personal_names(with_city(load_contract("silver_customers")))
+        )
+    )
+)
+
+
 @over_tables(
     "mask_pii",
     "SELECT customer_id, "
@@ -172,7 +194,9 @@ over_tables(
 )(lambda lake: rounded_profile(profiling.profile(lake["bronze_transactions"], "bronze_transactions")))
 
 
-over_deployed("catalog_profile", f"SELECT {ROUNDED} FROM whole_profile")(lambda lake: rounded_profile(lake.profiles()))
+over_deployed("catalog_profile", f"SELECT {ROUNDED} FROM whole_profile")(
+    lambda lake: rounded_profile(lake.profiles(personal=CONTRACTED))
+)
 
 
 def _owner_case() -> str:
@@ -196,7 +220,7 @@ CTES["whole_catalog"] = (
 
 
 def whole_catalog(lake: Lakehouse, **options) -> DataFrame:
-    return profiling.catalog(lake.profiles(**options), TABLES, LINEAGE, OWNERS, UNOWNED)
+    return profiling.catalog(lake.profiles(**{"personal": CONTRACTED, **options}), TABLES, LINEAGE, OWNERS, UNOWNED)
 
 
 over_deployed(
@@ -213,16 +237,24 @@ over_deployed(
     )
 )
 
-over_deployed(
-    "catalog_cards",
+CTES["catalog_texts"] = (
     "SELECT table_name, '# Table: ' || table_name || chr(10) || '- Medallion layer: **' || layer || '**' || chr(10) || "
     "'- Business domain / owner: ' || owner || chr(10) || '- Row count: ' || format('{:,}', row_count) || chr(10) || "
     "'- Upstream tables (lineage): ' || CASE WHEN upstreams = '' THEN '— (raw landing)' ELSE upstreams END || chr(10) || "
     f"chr(10) || '## Columns' || chr(10) || '{profiling.CARD_COLUMNS}' || chr(10) || '{profiling.CARD_RULE}' || chr(10) || "
-    "lines AS card FROM whole_catalog",
-)(lambda lake: profiling.cards(whole_catalog(lake)))
+    "lines AS card FROM whole_catalog"
+)
+
+over_deployed("catalog_cards", "SELECT * FROM catalog_texts")(lambda lake: profiling.cards(whole_catalog(lake)))
 
-FIELDS = "table_name STRING, layer STRING, owner STRING, row_count BIGINT, upstreams ARRAY<STRING>, columns ARRAY<STRUCT<column_name: STRING, data_type: STRING, null_count: BIGINT, distinct_count: BIGINT, min_text: STRING, max_text: STRING, samples: ARRAY<STRING>, is_personal: BOOLEAN>>"
+COLUMN_FIELDS = (
+    "column_name: STRING, data_type: STRING, null_count: BIGINT, distinct_count: BIGINT, min_text: STRING, max_text: STRING, "
+    "samples: ARRAY<STRING>, is_personal: BOOLEAN"
+)
+FIELDS = (
+    "table_name STRING, layer STRING, owner STRING, row_count BIGINT, upstreams ARRAY<STRING>, "
+    f"columns ARRAY<STRUCT<{COLUMN_FIELDS}>>"
+)
 
 
 @over_deployed(

@@ -13,9 +13,10 @@ from touchstone.plans import medallion
 from touchstone.plans.lakehouse import TABLES, Lakehouse
 from touchstone.plans.oracles import CTES
 from touchstone.plans.registry import over_folder, over_tables
-from touchstone.session import isolated
-from touchstone.sources.contracts import load_contract
+from touchstone.session import drop_at_exit, isolated, scratch_path
+from touchstone.sources.contracts import contract_columns, contract_documents, load_contract, read_contracts
 from touchstone.sources.registry import Registry
+from touchstone.sources.tables import read_current, write_json, write_report
 
 CONTRACT = load_contract("silver_customers")
 
@@ -276,6 +277,97 @@ over_folder(
 )(lambda spark, folder: contract_diff.report(all_changes(Registry(spark, folder))))
 
 
+# ------------------------------------------------------------------ contracts of one side, promotion, files
+
+NUMBER = "CAST(replace(contract_id, 'ds_', '') AS BIGINT)"
+NEW_ONLY, OLD_ONLY = f"{NUMBER} % 41 = 0", f"{NUMBER} % 43 = 0"
+_FILLED = " + ".join(f"CAST({field} IS NOT NULL AS BIGINT)" for field in contract_diff.HEADER_PATHS)
+CTES["one_sided"] = (
+    "SELECT contract_id, '0.0.0' AS version, (SELECT count(*) FROM new_columns c WHERE c.contract_id = h.contract_id AND nullable IS NOT false) "
+    "+ (SELECT count(*) FROM new_rules r WHERE r.contract_id = h.contract_id) AS additive, (SELECT count(*) FROM new_columns c "
+    f"WHERE c.contract_id = h.contract_id AND nullable = false) AS breaking, {_FILLED} AS metadata FROM new_headers h "
+    f"WHERE {NEW_ONLY} AND NOT {OLD_ONLY} UNION ALL SELECT contract_id, version, 0, (SELECT count(*) FROM old_columns c "
+    "WHERE c.contract_id = h.contract_id) + (SELECT count(*) FROM old_rules r WHERE r.contract_id = h.contract_id), "
+    f"{_FILLED} FROM old_headers h WHERE {OLD_ONLY} AND NOT {NEW_ONLY}"
+)
+
+
+@over_folder(
+    "contract_one_sided",
+    "SELECT contract_id, version, additive, breaking, metadata, CASE WHEN breaking > 0 THEN 'major' WHEN additive > 0 THEN 'minor' "
+    "ELSE 'patch' END AS level, CASE WHEN breaking > 0 THEN (CAST(split_part(version, '.', 1) AS INTEGER) + 1) || '.0.0' WHEN additive > 0 "
+    "THEN split_part(version, '.', 1) || '.' || (CAST(split_part(version, '.', 2) AS INTEGER) + 1) || '.0' ELSE split_part(version, '.', 1) "
+    "|| '.' || split_part(version, '.', 2) || '.' || (CAST(split_part(version, '.', 3) AS INTEGER) + 1) END AS next_version FROM one_sided",
+)
+def _one_sided(spark: SparkSession, folder: str) -> DataFrame:
+    """Contracts that are proposed without a baseline, and contracts that are no longer proposed."""
+    registry = Registry(spark, folder)
+
+    def old(df: DataFrame) -> DataFrame:
+        return df.filter(f"NOT ({NEW_ONLY})")
+
+    def new(df: DataFrame) -> DataFrame:
+        return df.filter(f"NOT ({OLD_ONLY})")
+
+    changes = (
+        contract_diff.column_changes(old(registry.old_columns), new(registry.new_columns))
+        .unionByName(contract_diff.rule_changes(old(registry.old_rules), new(registry.new_rules)))
+        .unionByName(contract_diff.header_changes(old(registry.old_headers), new(registry.new_headers)))
+    )
+    versions = contract_diff.next_versions(
+        contract_diff.summary(old(registry.old_headers), changes, new(registry.new_headers))
+    )
+    return versions.filter(f"{NEW_ONLY} OR {OLD_ONLY}")
+
+
+@over_folder(
+    "contract_promotion",
+    "SELECT contract_id, next_version AS version, owner, CAST(2 AS BIGINT) AS n_entries, next_version AS latest "
+    "FROM promoted JOIN new_headers USING (contract_id)",
+)
+def _promotion(spark: SparkSession, folder: str) -> DataFrame:
+    """All proposals promoted in one build; headers and change logs as read back from it."""
+    registry, path = Registry(spark, folder), scratch_path(spark, "promotion")
+    drop_at_exit(spark, path)
+    headers = contract_diff.promote(path, registry.old_headers, registry.new_headers, all_changes(registry))
+    log = read_current(spark, path, "contract_history").groupBy("contract_id").agg(
+        F.count(F.lit(1)).alias("n_entries"), F.min_by("version", "position").alias("latest")
+    )
+    return headers.join(log, "contract_id").select("contract_id", "version", "owner", "n_entries", "latest")
+
+
+@over_folder(
+    "contract_files",
+    "SELECT contract_id, name, type, nullable, pii, description FROM old_columns SEMI JOIN old_headers USING (contract_id)",
+)
+def _files(spark: SparkSession, folder: str) -> DataFrame:
+    """The columns of all contracts, from contract files that are written and read."""
+    registry, path = Registry(spark, folder), scratch_path(spark, "contracts")
+    drop_at_exit(spark, path)
+    written = contract_documents(registry.old_headers, registry.old_columns, registry.old_rules)
+    write_json(written, path, "contracts")
+    return contract_columns(read_contracts(spark, f"{path}/contracts", by_line=True)).drop("ordinal")
+
+
+REPORTED = "ds_1"
+_REPORT_HEAD = [f"# {REPORTED}", "", f"Not compared: {', '.join(contract_diff.IGNORED_PARTS)}.", "", *contract_diff.REPORT_HEAD]
+
+
+@over_folder(
+    "contract_report_file",
+    f"SELECT unnest({_REPORT_HEAD}) AS line UNION ALL SELECT '| ' || path || ' | ' || kind || ' | **' || classification || '** | ' || "
+    "coalesce(old_form, 'None') || ' → ' || coalesce(new_form, 'None') || ' |' FROM all_changes "
+    f"WHERE contract_id = '{REPORTED}' UNION ALL SELECT '{contract_diff.NO_CHANGES}' "
+    f"WHERE NOT EXISTS (FROM all_changes WHERE contract_id = '{REPORTED}')",
+)
+def _report_file(spark: SparkSession, folder: str) -> DataFrame:
+    """The lines of a report file that was written."""
+    path = scratch_path(spark, "reports")
+    drop_at_exit(spark, path)
+    write_report(contract_diff.document(all_changes(Registry(spark, folder)), REPORTED), path, f"{REPORTED}.md")
+    return spark.read.text(f"{path}/{REPORTED}.md").withColumnRenamed("value", "line")
+
+
 # ------------------------------------------------------------------ reviews
 
 # The conversation table carries no verdicts, so a line is added to three turns in four.

@@ -50,9 +50,25 @@ def _checked(contract: dict[str, Any], source: str) -> dict[str, Any]:
     return contract
 
 
-def read_contracts(spark: SparkSession, folder: str) -> DataFrame:
-    """All JSON contracts of a folder, one row each."""
-    return spark.read.schema(CONTRACT_SCHEMA).option("multiLine", "true").json(folder)
+def personal_names(contract: dict[str, Any]) -> list[str]:
+    """The columns that a contract calls personal."""
+    return [column["name"] for column in contract["schema"] if column.get("pii")]
+
+
+def read_contracts(spark: SparkSession, folder: str, by_line: bool = False) -> DataFrame:
+    """All JSON contracts of a folder, one row each: one in each file, or one in each line."""
+    return spark.read.schema(CONTRACT_SCHEMA).option("multiLine", str(not by_line).lower()).json(folder)
+
+
+def contract_documents(headers: DataFrame, columns: DataFrame, rules: DataFrame) -> DataFrame:
+    """Contract tables as documents of CONTRACT_SCHEMA, as far as the tables go. A contract has few columns and rules."""
+    named = columns.groupBy("contract_id").agg(
+        F.array_sort(F.collect_list(F.struct("name", "type", "nullable", "pii", "description"))).alias("schema")
+    )
+    ruled = rules.groupBy("contract_id").agg(F.array_sort(F.collect_list(F.struct("name", "severity", "assertion"))).alias("quality_rules"))
+    whole = headers.join(named, "contract_id", "left").join(ruled, "contract_id", "left")
+    about = F.struct(F.col("contract_id").alias("name"), "version", "domain", "owner", "change_log")
+    return whole.select(about.alias("metadata"), "description", F.struct("freshness").alias("semantics"), "schema", "quality_rules")
 
 
 def contract_columns(contracts: DataFrame) -> DataFrame:
