@@ -11,6 +11,7 @@ import pyarrow as pa
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
+from tokenizers import Tokenizer
 
 from touchstone.llm import token_links
 from touchstone.llm.queries import QUERIES
@@ -18,6 +19,8 @@ from touchstone.llm.queries import QUERIES
 PATHS = [public_tokenizers.path(name) for name in ("byte_bpe_50k.json", "piece_bpe_32k.model")]
 A, B, SHOWN = token_links.sides(*PATHS)
 SCHEMA = "doc_id BIGINT, text STRING"
+PLAIN = Tokenizer.from_file(PATHS[0])
+PLAIN.encode_special_tokens = True
 
 
 def grouped(text: str | None):
@@ -109,6 +112,19 @@ def test_long_texts_are_cut_between_tokens(parts):
         assert [i for p in parts for i in side.encode([p])[0]] == (side.encode([text])[0] if text else [])
 
 
+@given(st.text(alphabet=st.sampled_from("aB'sédñ ßÀÿ12 \n\t.,!-_<|>ſ²½\x1c\x85\xa0日😀\u0345"), max_size=40))
+@settings(max_examples=400, deadline=None)
+def test_words_have_the_ids_that_texts_have(text):
+    whole = PLAIN.encode(" " + text, add_special_tokens=False).ids
+    assert A.encode([text, text]) == [whole, whole]
+
+
+def test_words_are_forgotten(monkeypatch):
+    monkeypatch.setattr(token_links, "KNOWN_WORDS", 3)
+    texts = [f"one two{i} three " + "x" * 50 for i in range(9)]
+    assert [A.encode([t])[0] for t in texts] == [PLAIN.encode(" " + t, add_special_tokens=False).ids for t in texts]
+
+
 def test_runs_and_merges(small_runs):
     """Many small runs of small frames give the same counts as one count over all links."""
     rng = np.random.default_rng(2)

@@ -26,9 +26,11 @@ import os
 import re
 from collections.abc import Callable, Iterator
 from functools import lru_cache
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
+import regex
 import zstandard
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
@@ -47,6 +49,13 @@ FRAME = 1 << 16
 MERGED_RUNS = 128
 #: Characters that are encoded together, and after which a text may be cut.
 SLICE = 1 << 20
+#: Words that are remembered, and the length from which a word is not.
+KNOWN_WORDS = 400_000
+LONG_WORD = 32
+#: ASCII and Latin letters with marks.
+PLAIN = re.compile(r"[\n\x20-\x7e\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u024f]*")
+# Fixed value: how byte-level tokenizers of this family split a text into words.
+WORDS = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+")
 CUT = re.compile(r"(?<=[^\s]) (?=[^\s])")
 COUNTS = ("n_a", "n_b", "n_groups", "n_links")
 
@@ -86,10 +95,41 @@ def byte_level(path: str) -> Side:
         known = all(c in byte_of for c in token)
         tokens.append(bytes(byte_of[c] for c in token) if known else token.encode())
 
-    def encode(texts: list[str]) -> list[list[int]]:
-        return [e.ids for e in tokenizer.encode_batch_fast([" " + t for t in texts], add_special_tokens=False)]
+    def ids_of(texts: list[str]) -> list[list[int]]:
+        return [e.ids for e in tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
 
-    return Side(encode, tokens)
+    return Side(WordMemory(ids_of).encode, tokens)
+
+
+class WordMemory:
+    """Encodes texts word by word, and remembers the ids of words.
+
+    Only texts of plain characters are split here, where all versions of Unicode agree what a letter is;
+    others go to the tokenizer whole.
+    """
+
+    def __init__(self, ids_of: Callable[[list[str]], list[list[int]]]) -> None:
+        self.ids_of = ids_of
+        self.known: dict[str, list[int]] = {}
+
+    def encode(self, texts: list[str]) -> list[list[int]]:
+        texts = [" " + t for t in texts]
+        found: list[list[int]] = [[]] * len(texts)
+        plain = [i for i, text in enumerate(texts) if PLAIN.fullmatch(text)]
+        others = sorted({*range(len(texts))} - {*plain})
+        for i, ids in zip(others, self.ids_of([texts[i] for i in others]), strict=True):
+            found[i] = ids
+        words = {i: WORDS.findall(texts[i]) for i in plain}
+        if len(self.known) > KNOWN_WORDS:
+            self.known.clear()
+        new = [w for w in {*chain.from_iterable(words.values())} if w not in self.known]
+        self.known.update(zip(new, self.ids_of(new), strict=True))
+        for i, own in words.items():
+            found[i] = list(chain.from_iterable(map(self.known.__getitem__, own)))
+        long = [w for w in new if len(w) > LONG_WORD]
+        for word in long:
+            del self.known[word]
+        return found
 
 
 def pieces(path: str) -> Side:
