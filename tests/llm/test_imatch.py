@@ -80,7 +80,7 @@ def test_against_brute_force(spark):
     band = (math.log(1.5), math.log(60))
     out = imatch.report(docs, band).collect()
     wanted = expected(rows, band)
-    assert len(out) == len(wanted)
+    assert sorted(str(r["doc_id"]) for r in out) == sorted(str(i) for i, _ in rows)
     for r in out:
         n, sha, edited, following = wanted[r["doc_id"]]
         assert (r["n_chars"], r["edited_sha256"]) == (n, sha)
@@ -94,3 +94,11 @@ def test_against_brute_force(spark):
 def test_few_documents(spark, rows):
     docs = spark.createDataFrame([(i, t, None, None, None) for i, t in rows], SCHEMA)
     assert [(r["near_edited"] in (0.0, 1.0), r["near_next"]) for r in imatch.report(docs).collect()] == [(True, 1.0)] * len(rows)
+
+
+def test_repeated_rows_are_returned_as_often_as_they_come(spark):
+    rows = [(None, "x y")] * 4 + [(5, "a b c")] * 3 + [(3, "d e")]
+    docs = spark.createDataFrame([(i, t, None, None, None) for i, t in rows], SCHEMA).repartition(3)
+    out = imatch.report(docs).collect()
+    assert sorted((r["doc_id"] or 0, r["n_chars"], r["next_doc_id"]) for r in out) == [(0, 3, 5)] * 4 + [(3, 3, None)] + [(5, 5, 3)] * 3
+    assert len({tuple(r) for r in out}) == 3

@@ -10,7 +10,8 @@ large subsets tell equal texts, small ones tell how many terms two texts share.
 Terms are lower-case words. A text without a term of the lexicon has the hash of all its terms
 instead, and is like its equals only.
 
-Cases: null texts are empty. Rows with the same doc_id and text count as one document. The next
+Cases: null texts are empty. Rows with the same doc_id and text are looked at once, have the same
+result, and are returned as often as they come; the next document is one that differs. The next
 document of the last is the first, so a lone document is next to itself. A null doc_id comes last.
 No documents give no rows. Only doc_id and text are read.
 """
@@ -79,8 +80,10 @@ def lexicon(documents: DataFrame, band: tuple[float, float] = IDF_BAND) -> DataF
 def edited(documents: DataFrame, nexts: DataFrame) -> DataFrame:
     """Each document with its edited text: the last half replaced by the start of the next document.
 
-    Both joins read the same columns of the documents, so they share one shuffle of the texts.
+    Both joins read the same columns of the documents, so they share one shuffle of the texts. Repeated
+    rows are combined in it, so that copies do not meet copies.
     """
+    documents = documents.dropDuplicates(["key"])
     heads = documents.join(nexts.withColumnRenamed("key", "of").withColumnRenamed("next_key", "key"), "key").select(
         F.col("of").alias("key"), F.expr("substring(text, 1, half)").alias("head"), "half",
         F.col("key").alias("next_key"), F.col("doc_id").alias("next_doc_id"),
@@ -146,10 +149,12 @@ def likeness(a: str, b: str, whole_a: str, whole_b: str) -> Column:
 def report(docs: DataFrame, band: tuple[float, float] = IDF_BAND) -> DataFrame:
     """Per document: doc_id, n_chars, edited_sha256, fingerprint, edited_fingerprint, near_edited, near_next, next_doc_id."""
     documents = keyed(docs)
+    copies = documents.groupBy("key").agg(F.count("*").cast("int").alias("n")).filter("n > 1")
     terms = materialise(lexicon(documents, band), "imatch-lexicon")
     prints = materialise(fingerprints(documents, next_documents(documents), terms), "imatch-prints")
     following = prints.select(F.col("key").alias("next_key"), F.col("own").alias("next_own"), F.col("whole").alias("next_whole"))
-    return prints.join(following, "next_key").select(
+    again = F.explode(F.array_repeat(F.lit(1), F.coalesce("n", F.lit(1)))).alias("again")
+    return prints.join(following, "next_key").join(copies, "key", "left").select("*", again).select(
         "doc_id", "n_chars", "edited_sha256", shown("own", "whole").alias("fingerprint"),
         shown("other", "edited_whole").alias("edited_fingerprint"),
         likeness("own", "other", "whole", "edited_whole").alias("near_edited"),
