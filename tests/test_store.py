@@ -183,3 +183,16 @@ def test_catalog_queries_write_nothing(spark, folder, tmp_path):
     for name in names:
         assert sorted(map(str, QUERIES[name](spark, folder).collect())) == before[name]
     assert Lakehouse.deployed(spark, folder).built("silver_accounts") is not None
+
+
+@pytest.mark.parametrize("empty", [BRONZE, ["bronze_accounts"], ["bronze_customers"], ["bronze_transactions"]])
+def test_empty_tables_are_built(spark, landed, tmp_path, empty):
+    bronze = str(tmp_path / "bronze")
+    for name in BRONZE:
+        rows = spark.read.parquet(f"{landed}/{name}")
+        (rows.limit(0) if name in empty else rows).write.parquet(f"{bronze}/{name}")
+    lake = Lakehouse.over_folder(spark, bronze, AS_OF)
+    lake.build(str(tmp_path / "models"))
+    counts = {r["table_name"]: r["n_rows"] for r in lake.row_counts().collect()}
+    assert counts == {name: lake[name].count() for name in TABLES} and all(counts[name] == 0 for name in empty)
+    assert lake.profiles().count() == lake.columns().count()

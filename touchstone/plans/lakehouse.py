@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 from touchstone.functions.dates import month_label
 from touchstone.operators import profiling
 from touchstone.plans import medallion
-from touchstone.session import drop_at_exit, scratch_path, shared_dir
+from touchstone.session import drop_at_exit, has_shared_dir, scratch_path, shared_dir
 from touchstone.sources import store
 from touchstone.sources.derived import SOURCES, derive
 from touchstone.sources.tables import read_bronze
@@ -135,6 +135,8 @@ class Lakehouse:
         Without such a build every model is planned; nothing is written here.
         """
         lake = cls.over_test_tables(spark, folder)
+        if not has_shared_dir(spark):
+            return lake
         models = models_folder(spark, folder)
         build = store.latest(spark, models)
         if build is not None and build.sources == fingerprint(spark, folder):
@@ -314,8 +316,9 @@ class Lakehouse:
         measures = {key: F.expr(text) for key, text in MEASURES.get(name, {}).items()}
         written = builder.write(name, self._plan(name), by, directory, measures)
         if landed:
-            builder.measures[f"landed_{landed}"] = watch.get["rows"]
             del self._tables[landed]
+            count = store.observed(watch, lambda: {"rows": self[landed].count()})
+            builder.measures[f"landed_{landed}"] = count["rows"]
         return written
 
     def _take_profiles(self, builder: store.Builder, names: Sequence[str]) -> None:

@@ -66,6 +66,11 @@ def isolated(spark: SparkSession) -> SparkSession:
     return child
 
 
+def has_shared_dir(spark: SparkSession) -> bool:
+    """Whether there is a folder that all executors can reach."""
+    return bool(spark.conf.get(SHARED_DIR, None)) or spark.sparkContext.master.startswith("local")
+
+
 def shared_dir(spark: SparkSession) -> str:
     """The folder all executors can reach, as the cluster names it in `spark.checkpoint.dir`.
 

@@ -12,10 +12,11 @@ from __future__ import annotations
 
 import json
 import uuid
-from collections.abc import Mapping, Sequence
+from collections.abc import Callable, Mapping, Sequence
 from dataclasses import asdict, dataclass, field
 from types import TracebackType
 
+from py4j.protocol import Py4JJavaError
 from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
@@ -96,6 +97,15 @@ def read(spark: SparkSession, folder: str, version: Version, with_directory: boo
     return whole if with_directory else whole.select(*schema.names)
 
 
+def observed(watch: Observation, otherwise: Callable[[], dict]) -> dict:
+    """What an observation saw. Where adaptive execution finds out that a part of a plan is empty it leaves that part
+    out, with what it was to observe; then `otherwise` says it."""
+    try:
+        return watch.get
+    except Py4JJavaError:
+        return otherwise()
+
+
 class BuildError(RuntimeError):
     """A build that may not be published."""
 
@@ -141,7 +151,8 @@ class Builder:
             watched = watched.hint("rebalance", by)
         writer = watched.write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
         (writer.partitionBy(by) if by else writer).parquet(path)
-        found = watch.get
+        nothing = df.limit(0).agg(F.count(F.lit(1)).alias("rows"), *counts, *named)
+        found = observed(watch, lambda: nothing.first().asDict())
         self.measures |= {key: found[f"m_{i}"] for i, key in enumerate(measures)}
         return found["rows"], {c: found[f"_{i}"] for i, c in enumerate(names)}
 
