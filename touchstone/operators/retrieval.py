@@ -251,13 +251,15 @@ def embed(model: Embedder, df: DataFrame, *keep: str, text: str = "text") -> Dat
     weights = F.array(*[F.lit(w) for w in model.weights])
     weight = F.coalesce(F.col("_n") * F.element_at(weights, F.col("_bucket") + 1), F.lit(0.0))
     entry = F.struct(F.coalesce("_bucket", F.lit(-1)).alias("bucket"), weight.alias("weight"))
-    listed = counted.groupBy("_row").agg(F.first("_kept").alias("_kept"), F.map_from_entries(F.collect_list(entry)).alias("_weights"))
-    length = F.sqrt(F.aggregate(F.array_sort(F.map_values("_weights")), F.lit(0.0), lambda total, w: total + w * w))
+    listed = counted.groupBy("_row").agg(
+        F.first("_kept").alias("_kept"), F.map_from_entries(F.collect_list(entry)).alias("_weights"),
+        F.sqrt(F.sum(weight * weight)).alias("_length"),
+    )
     vector = F.transform(
         F.sequence(F.lit(0), F.lit(DIMENSIONS - 1)),
         lambda b: F.coalesce(F.try_element_at("_weights", b) / F.nullif("_length", F.lit(0.0)), F.lit(0.0)).cast("float"),
     )
-    return listed.withColumn("_length", length).select(*[F.col(f"_kept.{c}").alias(c) for c in keep], vector.alias("embedding"))
+    return listed.select(*[F.col(f"_kept.{c}").alias(c) for c in keep], vector.alias("embedding"))
 
 
 # ------------------------------------------------------------------ an index on disk
