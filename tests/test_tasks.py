@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from touchstone.operators import profiling
 from touchstone.session import TASK_BYTES, TASK_SETTINGS
 from touchstone.sources.derived import source_table
 
@@ -13,3 +14,17 @@ def test_tasks_over_the_sources_stay_small(spark, folder):
     other.conf.set(TASK_SETTINGS[1], "1000KB")
     source_table(other, folder, "bronze_transactions")
     assert other.conf.get(TASK_SETTINGS[0]) == str(TASK_BYTES) and other.conf.get(TASK_SETTINGS[1]) == "1000KB"
+
+
+def test_counts_and_samples_come_from_one_pass(spark, capsys):
+    """The distinct values are sent to Python once, and counted there."""
+    df = spark.range(3000).selectExpr(
+        "id % 700 AS a", "CAST(id % 11 AS STRING) AS b", "CAST(-id AS DOUBLE) AS c", "CAST(id % 9 - 4 AS DECIMAL(5,1)) AS d"
+    )
+    profiling.measured({"t": df}).explain()
+    assert capsys.readouterr().out.count("MapInArrow") == 1
+    other = df.selectExpr("CAST(NULL AS INT) AS n", "a AS m").repartition(5)
+    rows = {r["column_name"]: r for r in profiling.profiles({"t": df, "u": other}).collect()}
+    assert {c: r["distinct_count"] for c, r in rows.items()} == {"a": 700, "b": 11, "c": 3000, "d": 9, "n": 0, "m": 700}
+    assert rows["b"]["samples"] == ["0", "1", "10", "2", "3"] and rows["d"]["samples"] == ["-4.0", "-3.0", "-2.0", "-1.0", "0.0"]
+    assert rows["c"]["samples"] == [f"{-v}.0" for v in range(2999, 2994, -1)] and rows["n"]["samples"] == []
