@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from touchstone.operators import profiling
+from touchstone.operators import profiling, retrieval
 from touchstone.session import TASK_BYTES, TASK_SETTINGS
 from touchstone.sources.derived import source_table
 
@@ -28,3 +28,14 @@ def test_counts_and_samples_come_from_one_pass(spark, capsys):
     assert {c: r["distinct_count"] for c, r in rows.items()} == {"a": 700, "b": 11, "c": 3000, "d": 9, "n": 0, "m": 700}
     assert rows["b"]["samples"] == ["0", "1", "10", "2", "3"] and rows["d"]["samples"] == ["-4.0", "-3.0", "-2.0", "-1.0", "0.0"]
     assert rows["c"]["samples"] == [f"{-v}.0" for v in range(2999, 2994, -1)] and rows["n"]["samples"] == []
+
+
+def test_texts_are_embedded_where_they_are(spark, capsys):
+    """A text vector needs no other row, so nothing is shuffled; words are told apart by their bytes."""
+    docs = spark.createDataFrame([(1, "\u00c9t\u00e9 \u00e9t\u00e9\tred\u00a0red"), (2, "red"), (None, None), (2, "red")], "doc_id BIGINT, text STRING")
+    model = retrieval.text_embedder(docs, "text")
+    vectors = retrieval.embed(model, docs, "doc_id")
+    vectors.explain()
+    assert "Exchange" not in capsys.readouterr().out
+    found = sorted((r["doc_id"] or 0, sum(x > 0 for x in r["embedding"])) for r in vectors.collect())
+    assert found == [(0, 0), (1, 2), (2, 1), (2, 1)]

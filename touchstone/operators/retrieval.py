@@ -23,6 +23,7 @@ import pyarrow as pa
 from pyspark import TaskContext, cloudpickle
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, FloatType, StructField, StructType
 
 from touchstone.session import materialise
 from touchstone.sources import store
@@ -211,11 +212,26 @@ def citations(hits: DataFrame, name: str) -> DataFrame:
 # ------------------------------------------------------------------ text vectors
 
 
-def buckets(text: Column) -> Column:
-    """The bucket of each word of a text, by the first eight digits of its MD5."""
-    words = F.filter(F.split(F.lower(text), r"[\x20\x09-\x0D]+"), lambda w: w != "")
-    number = F.transform(words, lambda w: F.conv(F.substring(F.md5(w.cast("binary")), 1, 8), 16, 10).cast("bigint"))
-    return F.transform(number, lambda n: (n % DIMENSIONS).cast("int"))
+#: Words whose bucket a task remembers.
+KNOWN_WORDS = 200_000
+
+
+class Buckets(dict):
+    """The bucket of a word in UTF-8, by the first eight digits of its MD5; words recur, so they are remembered."""
+
+    def __missing__(self, word: bytes) -> int:
+        if len(self) >= KNOWN_WORDS:
+            self.clear()
+        found = self[word] = int(hashlib.md5(word).hexdigest()[:8], 16) % DIMENSIONS
+        return found
+
+    def counts(self, text: bytes | None) -> np.ndarray:
+        """How often each bucket occurs in a text; its words are what ASCII white space parts."""
+        return np.bincount([self[word] for word in text.split()] if text else np.empty(0, dtype=int), minlength=DIMENSIONS)
+
+
+def _lowered(text: str) -> Column:
+    return F.lower(F.col(text)).cast("binary").alias("_text")
 
 
 @dataclass(frozen=True)
@@ -229,37 +245,53 @@ class Embedder:
         return hashlib.sha256(json.dumps(self.weights).encode()).hexdigest()
 
 
+def _held(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """For mapInArrow: how many texts of a task have each bucket, and under no bucket how many there are."""
+    known, texts, total = Buckets(), np.zeros(DIMENSIONS, dtype=np.int64), 0
+    for batch in batches:
+        total += batch.num_rows
+        for text in batch.column(0):
+            texts += known.counts(text.as_py()) > 0
+    yield pa.RecordBatch.from_pydict({"bucket": pa.array([*range(DIMENSIONS), None], pa.int32()), "n": [*texts.tolist(), total]})
+
+
 def text_embedder(corpus: DataFrame, text: str) -> Embedder:
     """Weighs a bucket by the logarithm of how few texts have it."""
-    held = corpus.select(F.explode(F.array_distinct(buckets(F.col(text)))).alias("bucket"))
-    frequency = dict(map(tuple, held.groupBy("bucket").count().collect()))
-    total = corpus.count()
+    held = corpus.select(_lowered(text)).mapInArrow(_held, "bucket INT, n BIGINT")
+    frequency = dict(map(tuple, held.groupBy("bucket").agg(F.sum("n")).collect()))
+    total = frequency.get(None, 0)
     return Embedder(tuple(math.log((total + 1) / (frequency.get(b, 0) + 1)) for b in range(DIMENSIONS)))
 
 
+def _weighed(weights: Sequence[float]):
+    """For mapInArrow: rows whose last column is a text, with its vector instead."""
+    scale = np.array(weights)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        known = Buckets()
+        for batch in batches:
+            *kept, texts = batch.columns
+            rows = np.zeros((batch.num_rows, DIMENSIONS), dtype=np.float32)
+            for i, text in enumerate(texts):
+                weighed = known.counts(text.as_py()) * scale
+                length = math.sqrt(weighed @ weighed)
+                if length:
+                    rows[i] = weighed / length
+            starts = pa.array(np.arange(batch.num_rows + 1, dtype=np.int32) * DIMENSIONS)
+            vectors = pa.ListArray.from_arrays(starts, pa.array(rows.ravel()))
+            yield pa.RecordBatch.from_arrays([*kept, vectors], names=[*batch.schema.names[:-1], "embedding"])
+
+    return run
+
+
 def embed(model: Embedder, df: DataFrame, *keep: str, text: str = "text") -> DataFrame:
     """The columns to keep, and `embedding`: word counts times weights, of length one, or zeros if no word weighs anything.
 
-    Words are counted by row and bucket, so the words of a long text are counted before they are shuffled.
+    A vector has a fixed number of buckets, so a text is counted where it is, and nothing is shuffled.
     """
-    # The same row has the same number whenever its task runs again.
-    rows = df.select(*keep, F.monotonically_increasing_id().alias("_row"), buckets(F.col(text)).alias("_buckets"))
-    kept = F.struct(*keep) if keep else F.lit(None)
-    counted = rows.select("_row", kept.alias("_kept"), F.explode_outer("_buckets").alias("_bucket")).groupBy("_row", "_bucket").agg(
-        F.count(F.lit(1)).alias("_n"), F.first("_kept").alias("_kept")
-    )
-    weights = F.array(*[F.lit(w) for w in model.weights])
-    weight = F.coalesce(F.col("_n") * F.element_at(weights, F.col("_bucket") + 1), F.lit(0.0))
-    entry = F.struct(F.coalesce("_bucket", F.lit(-1)).alias("bucket"), weight.alias("weight"))
-    listed = counted.groupBy("_row").agg(
-        F.first("_kept").alias("_kept"), F.map_from_entries(F.collect_list(entry)).alias("_weights"),
-        F.sqrt(F.sum(weight * weight)).alias("_length"),
-    )
-    vector = F.transform(
-        F.sequence(F.lit(0), F.lit(DIMENSIONS - 1)),
-        lambda b: F.coalesce(F.try_element_at("_weights", b) / F.nullif("_length", F.lit(0.0)), F.lit(0.0)).cast("float"),
-    )
-    return listed.select(*[F.col(f"_kept.{c}").alias(c) for c in keep], vector.alias("embedding"))
+    rows = df.select(*keep, _lowered(text))
+    schema = StructType([*df.select(*keep).schema.fields, StructField("embedding", ArrayType(FloatType()))])
+    return rows.mapInArrow(_weighed(model.weights), schema)
 
 
 # ------------------------------------------------------------------ an index on disk
