@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from touchstone.operators import profiling, retrieval
+from touchstone.operators import contract_diff, profiling, retrieval
 from touchstone.session import TASK_BYTES, TASK_SETTINGS
 from touchstone.sources.derived import source_table
 
@@ -39,3 +39,22 @@ def test_texts_are_embedded_where_they_are(spark, capsys):
     assert "Exchange" not in capsys.readouterr().out
     found = sorted((r["doc_id"] or 0, sum(x > 0 for x in r["embedding"])) for r in vectors.collect())
     assert found == [(0, 0), (1, 2), (2, 1), (2, 1)]
+
+
+def test_a_promotion_compares_contracts_once(spark, tmp_path):
+    """The headers and the change logs are made from one comparison."""
+    rows = [(f"ds_{i}", "1.0.0", "d", "o", "t", "daily", [("1.0.0", "Baseline.")]) for i in range(20)]
+    fields = "contract_id STRING, version STRING, domain STRING, owner STRING, description STRING, freshness STRING"
+    old = spark.createDataFrame(rows, f"{fields}, change_log ARRAY<STRUCT<version: STRING, note: STRING>>")
+    seen = spark.sparkContext.accumulator(0)
+
+    def watched(batches):
+        for batch in batches:
+            seen.add(batch.num_rows)
+            yield batch
+
+    changes = old.selectExpr("contract_id", "'breaking' AS classification")
+    changes = changes.mapInArrow(watched, changes.schema)
+    headers = contract_diff.promote(str(tmp_path / "p"), old, old.drop("change_log"), changes)
+    assert {r["version"] for r in headers.collect()} == {"2.0.0"} and headers.count() == 20
+    assert seen.value == 20

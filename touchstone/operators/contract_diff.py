@@ -9,6 +9,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from touchstone.session import materialise
 from touchstone.sources import store, tables
 
 ADDITIVE, BREAKING, METADATA = "additive", "breaking", "metadata"
@@ -185,8 +186,9 @@ def document(changes: DataFrame, contract_id: str) -> DataFrame:
 
 def promote(folder: str, old: DataFrame, new: DataFrame, changes: DataFrame) -> DataFrame:
     """Write the proposed headers under their new versions, and the change logs, as one build; returns the headers
-    as written. A contract that is no longer proposed keeps its log and has no header."""
-    versions = next_versions(summary(old, changes, new))
+    as written. A contract that is no longer proposed keeps its log and has no header. Both tables need the versions,
+    which are one small row per contract and take comparing all columns and rules, so they are written in between."""
+    versions = materialise(next_versions(summary(old, changes, new)), "versions")
     with store.Builder(old.sparkSession, folder) as builder:
         builder.write("contract_history", history(old, versions))
         written = builder.write("contract_headers", promoted(new, versions))
