@@ -111,3 +111,42 @@ def test_representatives_and_no_documents(spark):
     docs = spark.createDataFrame([(4, text, "en", "s", 1), (2, text, "de", "t", 2), (2, text, "de", "t", 2), (9, None, None, None, None)], SCHEMA)
     assert sorted(tuple(r) for r in near_join.representatives(docs).collect()) == [(2, text, "de", "t", 2), (9, None, None, None, None)]
     assert near_join.join(docs.limit(0)).collect() == []
+
+
+def test_a_large_group_hands_on_no_pairs_that_join_nothing(spark, monkeypatch):
+    rng = random.Random(5)
+    base = " ".join("".join(rng.choices("abcdefgh", k=3)) for _ in range(120))
+    rows = [(i, changed(rng, base, rng.randint(3, 9))) for i in range(150)]
+    docs = spark.createDataFrame([(i, t, "en", "s", 0) for i, t in rows], SCHEMA)
+    tried, write = [], near_join.materialise
+
+    def watched(df, name):
+        table = write(df, name)
+        if name == "near-pairs":
+            tried.append(table.count())
+        return table
+
+    monkeypatch.setattr(near_join, "materialise", watched)
+    monkeypatch.setattr(near_join, "TILE_NODES", 40)
+    out = sorted((tuple(r) for r in near_join.join(docs).collect()), key=repr)
+    assert out == brute(rows)
+    assert sum(tried) <= 4 * len(rows)
+
+
+def test_links_of_a_tile_join_what_its_similar_pairs_join():
+    rng = np.random.default_rng(4)
+    base = rng.integers(0, 1 << 63, 60, dtype=np.uint64)
+    sets = [np.unique(np.r_[base[rng.random(60) > 0.1], rng.integers(0, 1 << 63, rng.integers(1, 6), dtype=np.uint64)]) for _ in range(80)]
+    sets.sort(key=len)
+    tile = near_join.pd.DataFrame({"node": range(80), "part": [n % 2 for n in range(80)], "one": 0, "two": 1})
+    links = near_join.joining_links(tile, sets)
+
+    def joined(pairs):
+        label = list(range(80))
+        for a, b in pairs:
+            label = [label[a] if x == label[b] else x for x in label]
+        return {tuple(n for n in range(80) if label[n] == x) for x in label}
+
+    common = {(a, b): len(np.intersect1d(sets[a], sets[b])) for b in range(80) for a in range(b) if (a - b) % 2}
+    similar = [(a, b) for (a, b), n in common.items() if 100 * n >= 75 * (len(sets[a]) + len(sets[b]) - n)]
+    assert set(links) <= set(similar) and len(links) < 80 < len(similar) and joined(links) == joined(similar)

@@ -3,13 +3,15 @@
 Documents with equal shingle sets are one node. Two nodes can only be similar enough if the first
 quarter of their shingles, in one order for all, have one in common; the order puts rare shingles
 first, by a sketch of all counts, so that a passage many documents share is seldom looked at.
-The nodes that share such a shingle are a group. Within a group, only nodes whose sizes allow the
+The nodes that share such a shingle are a group; large groups with the same two smallest nodes, which
+mostly hold nearly the same nodes, are one. Within a group, only nodes whose sizes allow the
 similarity meet, in tiles of bounded size; there a bitmap of hashed shingles bounds their overlap: each
 shingle flips one bit, so two sets differ in at least as many shingles as their bitmaps in bits.
 What passes is settled by intersecting the sorted sets themselves.
 
-Links are only needed to tell components, so a tile of many nodes does not hand on all its pairs: it
-covers its nodes with stars, round by round, until no untried pair of two components is left.
+Links are only needed to tell components, so a large group does not hand on all its pairs. The texts of
+its nodes come to the tile, which intersects the sets of pairs that no links found there join yet, and
+hands on only the links that join: fewer than it has nodes.
 
 Sets and shingles are told apart by 64-bit hashes.
 
@@ -26,7 +28,7 @@ import numpy as np
 import pandas as pd
 import xxhash
 import zstandard
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, GroupedData
 from pyspark.sql import functions as F
 
 from touchstone.llm.common import byte_slices, mapped, materialise, small_batches
@@ -36,13 +38,15 @@ from touchstone.llm.shingles import shingle_sets
 PERCENT = 75
 SKETCH_BITS = 18
 BUCKET_ENTRIES = 400_000
+#: Nodes of a part of a group, and their shingles, on average; a tile is one part or two.
 TILE_NODES = 1024
+TILE_SHINGLES = 2_000_000
 #: Groups up to this size hand on all pairs at once.
 SMALL_GROUP = 8
-#: Nodes with the most untried pairs that hand on all of theirs in later rounds; this saves rounds.
-MORE_CENTRES = 16
 #: Groups that one task call handles together, on average.
 CALL_GROUPS = 2000
+#: Shingles of the nodes that one task call settles together, on average.
+CALL_SHINGLES = 250_000
 #: Bits of the filter for texts: so many for each wanted text, and at most.
 FILTER_BITS, FILTER_MOST = 16, 1 << 27
 #: Groups in which arrays of fixed size are folded before the driver folds those of the groups.
@@ -52,6 +56,7 @@ NODES = "doc_id BIGINT, doc BIGINT, mark BIGINT, node BIGINT, size BIGINT, bitma
 ENTRIES = "bucket INT, shingles BINARY, nodes BINARY"
 GROUPS = "gid BIGINT, nodes ARRAY<BIGINT>"
 PAIRS = "a BIGINT, b BIGINT"
+OPEN = "gid BIGINT, part INT, one INT, two INT, node BIGINT, size BIGINT"
 NO_ID = -(1 << 63)
 
 
@@ -153,7 +158,7 @@ def entries(magnitude, buckets: int) -> Callable[[Iterator[pd.DataFrame]], Itera
 
 
 def groups(bucket: pd.DataFrame) -> pd.DataFrame:
-    """The distinct sets of nodes that share a shingle of the bucket."""
+    """The distinct sets of nodes that share a shingle of the bucket, nodes in order."""
     shingles = np.frombuffer(b"".join(bucket["shingles"]), np.uint64)
     owners = np.frombuffer(b"".join(bucket["nodes"]), np.int64)
     order = np.lexsort((owners, shingles))
@@ -202,64 +207,76 @@ def passing(sizes: np.ndarray, bitmaps: list[bytes]) -> tuple[np.ndarray, np.nda
     return np.concatenate(left or [none]), np.concatenate(right or [none])
 
 
-def stars(left: np.ndarray, right: np.ndarray, degree: np.ndarray, order: np.ndarray) -> np.ndarray:
-    """Of the pairs, those of stars that cover all nodes with pairs; centres are taken in the order given."""
-    chosen = np.zeros(len(left), dtype=bool)
-    covered = degree == 0
-    for centre in order:
-        if covered.all():
-            break
-        if not covered[centre]:
-            own = (left == centre) | (right == centre)
-            chosen |= own
-            covered[centre] = True
-            covered[left[own]] = covered[right[own]] = True
-    return chosen
-
-
-def tile_pairs(call: pd.DataFrame, first_round: bool) -> pd.DataFrame:
-    """For groupBy on calls: the pairs to try next, of every tile among the rows.
-
-    In the first round the smallest nodes are centres: tiles that hold nearly the same nodes then
-    choose the same pairs. Later the nodes with the most untried pairs are.
-    """
-    found: set[tuple[int, int]] = set()
+def tiles_of(call: pd.DataFrame) -> Iterator[pd.DataFrame]:
+    """The tiles among the rows, each in order of size."""
     call = call.sort_values(["gid", "one", "two", "size", "node"], kind="stable")
     keys = call[["gid", "one", "two"]].to_numpy()
     starts = np.flatnonzero(np.r_[True, (keys[1:] != keys[:-1]).any(axis=1)])
     for a, b in zip(starts, [*starts[1:], len(keys)], strict=True):
-        tile = call.iloc[a:b]
-        label = tile["label"].to_numpy()
-        if b - a < 2 or (label == label[0]).all():
-            continue
-        left, right = passing(tile["size"].to_numpy(), tile["bitmap"].tolist())
-        open_pairs = label[left] != label[right]
-        if tile["one"].iloc[0] != tile["two"].iloc[0]:
-            part = tile["part"].to_numpy()
-            open_pairs &= part[left] != part[right]
-        left, right = left[open_pairs], right[open_pairs]
+        yield call.iloc[a:b]
+
+
+def meeting(tile: pd.DataFrame, bitmaps: list[bytes], sizes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Pairs of nodes that may be similar; the tile is in order of size. Nodes of one part meet in its own tile."""
+    left, right = passing(sizes, bitmaps)
+    if tile["one"].iloc[0] != tile["two"].iloc[0]:
+        part = tile["part"].to_numpy()
+        across = part[left] != part[right]
+        left, right = left[across], right[across]
+    return left, right
+
+
+def small_pairs(call: pd.DataFrame) -> pd.DataFrame:
+    """For groupBy on calls: the pairs to try, of every tile among the rows."""
+    found: set[tuple[int, int]] = set()
+    for tile in tiles_of(call):
+        left, right = meeting(tile, tile["bitmap"].tolist(), tile["size"].to_numpy())
         names = tile["node"].to_numpy()
-        tried = {int(n): set(map(int, t)) for n, t in zip(names, tile["tried"], strict=True) if t is not None and len(t)}
-        if tried:
-            fresh = np.array([int(names[j]) not in tried.get(int(names[i]), ()) for i, j in zip(left, right, strict=True)], dtype=bool)
-            left, right = left[fresh], right[fresh]
-        if b - a > SMALL_GROUP:
-            degree = np.bincount(left, minlength=b - a) + np.bincount(right, minlength=b - a)
-            order = np.argsort(names if first_round else -degree, kind="stable")
-            chosen = stars(left, right, degree, order)
-            if not first_round:
-                chosen |= np.isin(left, order[:MORE_CENTRES]) | np.isin(right, order[:MORE_CENTRES])
-            left, right = left[chosen], right[chosen]
         first, second = names[left], names[right]
         found.update(zip(np.minimum(first, second).tolist(), np.maximum(first, second).tolist(), strict=True))
     return pd.DataFrame(sorted(found), columns=["a", "b"], dtype=np.int64)
 
 
-def choice(first_round: bool) -> Callable[[pd.DataFrame], pd.DataFrame]:
-    def run(call: pd.DataFrame) -> pd.DataFrame:
-        return tile_pairs(call, first_round)
-
-    return run
+def open_nodes(call: pd.DataFrame) -> pd.DataFrame:
+    """For groupBy on calls: the nodes of each tile that may be similar to another."""
+    found = [call.iloc[:0]]
+    for tile in tiles_of(call):
+        found.append(tile.iloc[np.unique(np.concatenate(meeting(tile, tile["bitmap"].tolist(), tile["size"].to_numpy())))])
+    return pd.concat(found)[["gid", "part", "one", "two", "node", "size"]]
+
+
+def joining_links(tile: pd.DataFrame, sets: list[np.ndarray]) -> list[tuple[int, int]]:
+    """Similar pairs that join all nodes of the tile which any of its similar pairs joins."""
+    sizes, names = np.array([len(s) for s in sets]), tile["node"].to_numpy()
+    label = np.arange(len(sets))
+    left, right = meeting(tile, [bitmap(s) for s in sets], sizes)
+    shingles, flat = np.unique(np.concatenate(sets), return_inverse=True)
+    places = np.split(flat, np.cumsum(sizes)[:-1])
+    held = np.zeros(len(shingles), dtype=bool)
+    links = []
+    for centre in np.unique(left).tolist():
+        others = right[np.searchsorted(left, centre) : np.searchsorted(left, centre, "right")]
+        others = others[label[others] != label[centre]]
+        if not len(others):
+            continue
+        held[places[centre]] = True
+        starts = np.cumsum(sizes[others]) - sizes[others]
+        common = np.add.reduceat(held[np.concatenate([places[o] for o in others])], starts, dtype=np.int64)
+        held[places[centre]] = False
+        for other in others[100 * common >= PERCENT * (sizes[centre] + sizes[others] - common)].tolist():
+            if label[other] != label[centre]:
+                links.append((int(names[centre]), int(names[other])))
+                label[label == label[other]] = label[centre]
+    return links
+
+
+def settled(call: pd.DataFrame) -> pd.DataFrame:
+    """For groupBy on calls: the links that join nodes, of every tile among the rows, from the texts of its nodes."""
+    unpack = zstandard.ZstdDecompressor()
+    texts = dict(zip(call["node"].tolist(), call["packed"], strict=True))
+    sets = dict(zip(texts, shingle_sets([unpack.decompress(t) for t in texts.values()]), strict=True))
+    found = [link for tile in tiles_of(call) for link in joining_links(tile, [sets[n] for n in tile["node"]])]
+    return pd.DataFrame(found, columns=["a", "b"], dtype=np.int64)
 
 
 def filter_bits(size: int) -> Callable[[Iterator[pd.DataFrame]], Iterator[pd.DataFrame]]:
@@ -301,18 +318,21 @@ def similar(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
             yield part.loc[ok, ["a", "b"]]
 
 
-def with_texts(documents: DataFrame, table: DataFrame, pairs: DataFrame) -> DataFrame:
-    """The pairs with the compressed texts of both nodes. A filter of bounded size lets few other texts pass."""
-    wanted = pairs.select(F.col("a").alias("node")).union(pairs.select("b")).distinct()
+def texts_of(documents: DataFrame, table: DataFrame, wanted: DataFrame) -> DataFrame:
+    """node and packed, its compressed text, of the nodes wanted. A filter of bounded size lets few other texts pass."""
     places = materialise(table.join(wanted, "node").select("node", "rep.doc", "rep.mark"), "near-wanted")
     size = int(min(FILTER_MOST, max(1024, FILTER_BITS * places.count())))
     folded = folded_rows(places.select("mark").mapInPandas(filter_bits(size), "bits BINARY"), "bits", np.uint8, np.bitwise_or)
-    bits = np.unpackbits(folded, count=size).astype(bool)
+    bits = np.unpackbits(folded, count=size).astype(bool) if folded is not None else np.zeros(size, bool)
     held = documents.sparkSession.sparkContext.broadcast(bits)
     texts = documents.select("doc", "mark", "text").mapInPandas(wanted_texts(held), "doc BIGINT, mark BIGINT, packed BINARY")
-    found = materialise(texts.join(places, ["doc", "mark"]).select("node", "packed").dropDuplicates(["node"]), "near-texts")
-    one = found.select(F.col("node").alias("a"), F.col("packed").alias("packed_a"))
-    two = found.select(F.col("node").alias("b"), F.col("packed").alias("packed_b"))
+    return materialise(texts.join(places, ["doc", "mark"]).select("node", "packed").dropDuplicates(["node"]), "near-texts")
+
+
+def with_texts(texts: DataFrame, pairs: DataFrame) -> DataFrame:
+    """The pairs with the compressed texts of both nodes."""
+    one = texts.select(F.col("node").alias("a"), F.col("packed").alias("packed_a"))
+    two = texts.select(F.col("node").alias("b"), F.col("packed").alias("packed_b"))
     return pairs.join(one, "a").join(two, "b")
 
 
@@ -334,17 +354,20 @@ def components(links: DataFrame) -> DataFrame:
             return labels
 
 
-def merged(labels: DataFrame, links: DataFrame) -> DataFrame:
-    """The labels after more links. Only the components that these connect are looked at."""
-    ends = links
-    for end in ("a", "b"):
-        own = labels.select(F.col("node").alias(end), F.col("label").alias(f"of_{end}"))
-        ends = ends.join(own, end, "left").withColumn(f"of_{end}", F.coalesce(f"of_{end}", end))
-    apart = ends.filter("of_a <> of_b").select(F.col("of_a").alias("a"), F.col("of_b").alias("b")).distinct()
-    roots = components(apart)
-    moved = roots.select(F.col("node").alias("label"), F.col("label").alias("now"))
-    known = labels.join(moved, "label", "left").select("node", F.coalesce("now", "label").alias("label"))
-    return materialise(known.union(roots.join(labels, "node", "left_anti").select("node", "label")), "near-labels")
+def large_tiles(groups: DataFrame, known: DataFrame) -> DataFrame:
+    """The tiles of large groups. Those with the same two smallest nodes are one group; its parts meet in pairs."""
+    key = F.xxhash64(F.col("nodes")[0], F.col("nodes")[1]).alias("gid")
+    members = materialise(groups.select(key, F.explode("nodes").alias("node")).distinct().join(known, "node"), "near-members")
+    most = F.greatest(F.count("*") / TILE_NODES, F.sum("size") / TILE_SHINGLES)
+    dealt = members.join(members.groupBy("gid").agg(F.ceil(most).cast("int").alias("parts")), "gid")
+    dealt = dealt.withColumn("part", F.pmod(F.xxhash64("node"), F.col("parts")).cast("int"))
+    dealt = dealt.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
+    return dealt.withColumn("one", F.least("part", "other")).withColumn("two", F.greatest("part", "other"))
+
+
+def in_calls(tiles: DataFrame, calls: int) -> GroupedData:
+    """The rows of tiles grouped by so many calls, at least one; a tile is in one call."""
+    return tiles.groupBy(F.pmod(F.xxhash64("gid", "one", "two"), F.lit(max(1, calls))).alias("call"))
 
 
 def labelled(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
@@ -366,35 +389,21 @@ def labelled(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
     packed = documents.select("text").mapInPandas(entries(magnitude, buckets), ENTRIES)
     shared = packed.groupBy("bucket").applyInPandas(groups, GROUPS)
     once = materialise(shared.groupBy("gid").agg(F.first("nodes").alias("nodes")), "near-groups")
-    parts = F.ceil(F.size("nodes") / TILE_NODES).cast("int")
-    members = once.select("gid", F.size("nodes").alias("members"), parts.alias("parts"), F.explode("nodes").alias("node"))
-    dealt = members.withColumn("part", F.pmod(F.xxhash64("node"), F.col("parts")).cast("int")).withColumn(
-        "other", F.explode(F.sequence(F.lit(0), F.col("parts") - 1))
-    )
-    tiles = materialise(
-        dealt.join(distinct.select("node", "size", "bitmap"), "node").select(
-            "gid", "members", "part", F.least("part", "other").alias("one"), F.greatest("part", "other").alias("two"),
-            "node", "size", "bitmap",
-        ), "near-tiles",
-    )
-    links = spark.createDataFrame([], PAIRS)
-    tried, labels = links, spark.createDataFrame([], "node BIGINT, label BIGINT")
-    open_tiles, first_round = tiles, True
-    while True:
-        calls = max(1, open_tiles.count() // (2 * CALL_GROUPS))
-        failed = tried.join(links, ["a", "b"], "left_anti")
-        ends = failed.union(failed.select("b", "a")).groupBy(F.col("a").alias("node")).agg(F.collect_set("b").alias("tried"))
-        state = open_tiles.join(labels, "node", "left").join(ends, "node", "left").withColumn("label", F.coalesce("label", "node"))
-        call = F.pmod(F.xxhash64("gid", "one", "two"), F.lit(calls))
-        chosen = state.groupBy(call.alias("call")).applyInPandas(choice(first_round), PAIRS)
-        pairs = materialise(chosen.distinct(), "near-pairs")
-        if not pairs.head(1):
-            break
-        tried = tried.union(pairs)
-        fresh = materialise(with_texts(documents, distinct, pairs).mapInPandas(similar, PAIRS), "near-similar")
-        links = links.union(fresh)
-        labels = components(fresh) if first_round else merged(labels, fresh)
-        open_tiles, first_round = tiles.filter(F.col("members") > SMALL_GROUP), False
+    tile = ["gid", "part", "one", "two", "node", "size", "bitmap"]
+    known = distinct.select("node", "size", "bitmap")
+    whole = [F.lit(0).alias(c) for c in ("part", "one", "two")]
+    few = once.filter(F.size("nodes") <= SMALL_GROUP)
+    small = few.select("gid", F.explode("nodes").alias("node"), *whole).join(known, "node").select(tile)
+    tiles = materialise(large_tiles(once.filter(F.size("nodes") > SMALL_GROUP), known).select(tile), "near-tiles")
+    n_small = few.agg(F.sum(F.size("nodes"))).first()[0] or 0
+    pairs = materialise(in_calls(small, n_small // (2 * CALL_GROUPS)).applyInPandas(small_pairs, PAIRS).distinct(), "near-pairs")
+    opened = materialise(in_calls(tiles, tiles.count() // (2 * CALL_GROUPS)).applyInPandas(open_nodes, OPEN), "near-open")
+    wanted = pairs.select(F.col("a").alias("node")).union(pairs.select("b")).union(opened.select("node")).distinct()
+    texts = texts_of(documents, distinct, wanted)
+    calls = (opened.agg(F.sum("size")).first()[0] or 0) // CALL_SHINGLES
+    settling = in_calls(opened.join(texts, "node"), calls).applyInPandas(settled, PAIRS)
+    links = materialise(with_texts(texts, pairs).mapInPandas(similar, PAIRS).union(settling), "near-similar")
+    labels = components(links)
     return owners, distinct.join(labels, "node", "left").withColumn("label", F.coalesce("label", "node"))
 
 
