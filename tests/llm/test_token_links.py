@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 import hashlib
+import re
+import unicodedata
 from collections import Counter, defaultdict
 
 import numpy as np
@@ -119,6 +121,14 @@ def test_words_have_the_ids_that_texts_have(text):
     assert A.encode([text, text]) == [whole, whole]
 
 
+def test_plain_words_are_split_without_unicode_tables():
+    plain = "".join(c for c in map(chr, range(0x250)) if token_links.PLAIN.fullmatch(c))
+    letters = [c for c in plain if re.fullmatch(f"[{token_links.LETTERS}]", c)]
+    assert letters == [c for c in plain if unicodedata.category(c)[0] == "L"]
+    assert [c for c in plain if unicodedata.category(c)[0] == "N"] == list("0123456789")
+    assert isinstance(token_links.WORDS, re.Pattern)
+
+
 def test_words_are_forgotten(monkeypatch):
     monkeypatch.setattr(token_links, "KNOWN_WORDS", 3)
     texts = [f"one two{i} three " + "x" * 50 for i in range(9)]

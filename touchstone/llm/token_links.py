@@ -30,7 +30,6 @@ from itertools import chain
 
 import numpy as np
 import pyarrow as pa
-import regex
 import zstandard
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
@@ -54,8 +53,9 @@ KNOWN_WORDS = 400_000
 LONG_WORD = 32
 #: ASCII and Latin letters with marks.
 PLAIN = re.compile(r"[\n\x20-\x7e\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u024f]*")
-# Fixed value: how byte-level tokenizers of this family split a text into words.
-WORDS = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+")
+LETTERS = "A-Za-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u024f"
+# Fixed value: how byte-level tokenizers of this family split a text into words; here for plain characters.
+WORDS = re.compile(rf"'s|'t|'re|'ve|'m|'ll|'d| ?[{LETTERS}]+| ?[0-9]+| ?[^\n {LETTERS}0-9]+|[\n ]+(?![^\n ])|[\n ]+")
 CUT = re.compile(r"(?<=[^\s]) (?=[^\s])")
 COUNTS = ("n_a", "n_b", "n_groups", "n_links")
 
@@ -183,7 +183,9 @@ class Document:
             return 0
         at_a, at_b = np.array(ids_a, np.int64), np.array(ids_b, np.int64)
         ends_a, ends_b = np.cumsum(a.lengths[at_a]), np.cumsum(b.lengths[at_b])
-        shared_a, shared_b = np.isin(ends_a, ends_b, assume_unique=True), np.isin(ends_b, ends_a, assume_unique=True)
+        ending = np.zeros((2, len(raw) + 1), bool)
+        ending[0, ends_a] = ending[1, ends_b] = True
+        shared_a, shared_b = ending[1, ends_a], ending[0, ends_b]
         most = len(shown) // 3
         # Tokens in groups: those of the left side come after all earlier ones of the right side, and the other way round.
         before_a = np.cumsum(shared_a) - shared_a
