@@ -25,6 +25,16 @@ def test_words_encode_like_the_whole_text(text):
     assert np.frombuffer(ENCODER.encode(text), "<u4").tolist() == whole
 
 
+def test_plain_words_go_to_the_model_alone():
+    letters = [c for c in map(chr, range(0x250)) if packing.PLAIN.fullmatch(c)]
+    words = letters + [a + b for a in letters for b in letters[::5]] + ["Straßenbahn", "ÉLANÇÄ", "retitioning...", "x" * 300]
+    encoder = packing.WordEncoder(tokenizer())
+    whole = PLAIN.encode(" ".join(words), add_special_tokens=False).ids
+    encoder.tokenizer = None
+    encoder[b"..."] = np.array(PLAIN.encode("...").ids, "<u4").tobytes()
+    assert np.frombuffer(encoder.encode(" ".join(words)), "<u4").tolist() == whole
+
+
 def test_least_squares_is_optimal():
     rng = np.random.default_rng(3)
     matrix = packing.patterns(12)

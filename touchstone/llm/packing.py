@@ -15,6 +15,7 @@ documents give no rows. Special tokens spelled out in a text are what the tokeni
 from __future__ import annotations
 
 import re
+import struct
 import zlib
 from bisect import bisect_left, insort
 from collections.abc import Callable, Iterator
@@ -41,8 +42,10 @@ class WordEncoder(dict):
 
     No token reaches over ASCII white space, so a text is the sequence of its words, and words
     recur. A plain word is looked up in lower case and without the marks at its end, which are tokens
-    of their own. A full memory is put aside and serves until the next one is full: words that recur
-    stay. That changes no result.
+    of their own. Letters do not depend on those beside them until tokens are made, so a plain word goes
+    letter by letter through what the tokenizer does before, and then to its model alone: most of the time
+    for a new word is spent before the model. A full memory is put aside and serves until the next one is
+    full: words that recur stay. That changes no result.
     """
 
     def __init__(self, path: str):
@@ -50,6 +53,9 @@ class WordEncoder(dict):
 
         super().__init__()
         self.tokenizer = Tokenizer.from_file(path)
+        self.model = self.tokenizer.model
+        prepare, split = self.tokenizer.normalizer.normalize_str, self.tokenizer.pre_tokenizer.pre_tokenize_str
+        self.letters = {ord(c): split(prepare(c))[0][0] for c in map(chr, range(256)) if PLAIN.fullmatch(c)}
         self.aside: dict[bytes, bytes] = {}
 
     def __missing__(self, word: bytes) -> bytes:
@@ -66,7 +72,11 @@ class WordEncoder(dict):
         plain = PLAIN.fullmatch(word)
         if plain and (plain[2] or word != word.lower()):
             return self[plain[1].lower().encode()] + (self[plain[2].encode()] if plain[2] else b"")
-        return np.array(self.tokenizer.encode(word, add_special_tokens=False).ids, dtype="<u4").tobytes()
+        if plain:
+            ids = [token.id for token in self.model.tokenize(word.translate(self.letters))]
+        else:
+            ids = self.tokenizer.encode(word, add_special_tokens=False).ids
+        return struct.pack(f"<{len(ids)}I", *ids)
 
     def encode(self, text: str | None) -> bytes:
         return b"".join(map(self.__getitem__, text.encode().split())) if isinstance(text, str) else b""
