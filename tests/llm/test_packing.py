@@ -92,3 +92,12 @@ def test_packed_documents(spark):
         assert ends <= 128
     assert len(held) <= -(-sum(r["length"] for r in out) // 128) + 2
     assert packing.pack(docs.limit(0), tokenizer()).collect() == []
+
+
+def test_places_start_no_python_workers(spark):
+    rows = packing.places({4096: 3, 1000: 9, 7: 20})
+    table = packing.place_table(spark, rows)
+    assert "ExistingRDD" not in table._jdf.queryExecution().toString()
+    assert sorted(map(tuple, table.collect())) == sorted(rows)
+    none = packing.place_table(spark, [])
+    assert none.count() == 0 and none.dtypes == table.dtypes == [(c.split()[0], "bigint") for c in packing.PLACES.split(", ")]

@@ -19,8 +19,9 @@ WORD = r"[^\x20\x09-\x0D]+"
 #: Rows that one group of a running total holds on average.
 GROUP_ROWS = 1024
 
-#: Arrow batches stay under this, so that a task with very long documents stays in memory.
-BATCH_BYTES = 16 * 1024**2
+#: Arrow batches stay under this, so that a task with very long documents stays in memory. The JVM, Arrow and Python each
+#: hold a batch at once, on both ways, and what they took for it stays with the executor.
+BATCH_BYTES = 4 * 1024**2
 
 
 def documents(spark: SparkSession, folder: str) -> DataFrame:

@@ -22,7 +22,8 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+import pyarrow as pa
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from touchstone.llm.common import mapped, materialise, running_total, small_batches
@@ -239,6 +240,13 @@ def places(histogram: dict[int, int], capacity: int = CAPACITY, grid: int = GRID
     return rows
 
 
+def place_table(spark: SparkSession, rows: list[tuple[int, ...]]) -> DataFrame:
+    """The rows as a table that goes to the JVM as Arrow: a list of rows would start Python workers of its own on the executors."""
+    names = [column.split()[0] for column in PLACES.split(", ")]
+    columns = zip(*rows, strict=True) if rows else [()] * len(names)
+    return spark.createDataFrame(pa.table({n: pa.array(c, pa.int64()) for n, c in zip(names, columns, strict=True)}))
+
+
 def pack(docs: DataFrame, tokenizer: str, capacity: int = CAPACITY) -> DataFrame:
     """Per piece: doc_id, piece, start, length, ids_crc32, sequence_id, offset.
 
@@ -250,7 +258,7 @@ def pack(docs: DataFrame, tokenizer: str, capacity: int = CAPACITY) -> DataFrame
     cut_up = mapped(docs.select("doc_id", "text"), cut(tokenizer, capacity), PIECES)
     pieces = materialise(cut_up, "pieces")
     histogram = {r["length"]: r["count"] for r in pieces.groupBy("length").count().collect()}
-    table = spark.createDataFrame(places(histogram, capacity), PLACES)
+    table = place_table(spark, places(histogram, capacity))
     place = F.pmod(F.xxhash64("doc_id", "piece"), F.lit(1 << 32))
     ranked = running_total(pieces, "length", place, [place, "doc_id", "piece"], F.lit(1), sum(histogram.values()))
     rank = F.col("before")
