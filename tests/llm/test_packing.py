@@ -1,6 +1,8 @@
 from __future__ import annotations
 
 import zlib
+from itertools import product
+from string import ascii_lowercase
 
 import numpy as np
 import pytest
@@ -35,6 +37,15 @@ def test_plain_words_go_to_the_model_alone():
     assert np.frombuffer(encoder.encode(" ".join(words)), "<u4").tolist() == whole
 
 
+def test_memory_of_words_stays_small():
+    encoder = packing.WordEncoder(tokenizer())
+    for first in ascii_lowercase[:18]:
+        encoder.encode(" ".join(first + "".join(rest) for rest in product(ascii_lowercase, repeat=3)))
+    assert len(encoder) + len(encoder.aside) <= 200_000
+    words = "aaaa raab zzzz raab"
+    assert np.frombuffer(encoder.encode(words), "<u4").tolist() == PLAIN.encode(words, add_special_tokens=False).ids
+
+
 def test_least_squares_is_optimal():
     rng = np.random.default_rng(3)
     matrix = packing.patterns(12)

@@ -31,7 +31,8 @@ from touchstone.llm.common import mapped, materialise, running_total, small_batc
 CAPACITY = 4096
 END = 1
 GRID = 256
-CACHE_WORDS = 1_000_000
+#: Words that are remembered, at some 150 bytes each; as many again are aside.
+CACHE_WORDS = 100_000
 #: Letters that every lower-casing treats alike, and marks.
 PLAIN = re.compile(r"([A-Za-zÀ-ÖØ-öø-ÿ]+)([.,;:!?]*)")
 PIECES = "doc_id BIGINT, piece INT, start BIGINT, length BIGINT, ids_crc32 BIGINT"
